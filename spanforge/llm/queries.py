@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, mixing, tokens
 from .common import table
 
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -41,3 +48,33 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query(
+    "op4_source_mix",
+    r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+e AS (SELECT *, CASE WHEN size > 0 THEN floor(log2(size::DOUBLE) * 8 + 1e-9)::INT ELSE -1 END AS cls FROM d),
+src AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
+w AS (SELECT source, z, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w FROM src),
+c0 AS (SELECT *, (SELECT sum(z) FROM w)::BIGINT AS total FROM w),
+level AS (SELECT max(lv) AS lv FROM (
+  SELECT (a.total - 3 * coalesce((SELECT sum(z) FROM c0 b WHERE 3 * b.z * a.w < 3 * a.z * b.w), 0))::DOUBLE / (SELECT sum(w) FROM c0 b WHERE 3 * b.z * a.w >= 3 * a.z * b.w)::DOUBLE AS lv,
+    3 * a.z::DOUBLE / a.w AS bound FROM c0 a) WHERE lv < bound),
+t AS (SELECT source, z, w, total, 3 * z::DOUBLE / w <= (SELECT coalesce(lv, 1e300) FROM level) AS capped FROM c0),
+tt AS (SELECT source, z, CASE WHEN capped THEN (3 * z)::DOUBLE ELSE ((total - (SELECT coalesce(sum(3 * z), 0) FROM t WHERE capped)::BIGINT) * w)::DOUBLE / (SELECT sum(w) FROM t WHERE NOT capped)::DOUBLE END AS target FROM t),
+blocks AS (SELECT source, cls, ceil(count(*) / 20000.0)::BIGINT AS b FROM e GROUP BY ALL),
+r AS (SELECT e.doc_id, e.source, e.size, row_number() OVER (PARTITION BY e.source ORDER BY e.cls, (e.doc_id % 2147483648 * 2654435761 % 4294967296) % b, e.size, e.doc_id) AS rnk
+  FROM e JOIN blocks ON e.source IS NOT DISTINCT FROM blocks.source AND e.cls = blocks.cls),
+f AS (SELECT r.*, z, target, CASE WHEN z > 0 THEN target / z::DOUBLE ELSE 0 END AS f,
+  ('0x' || substr(md5('7:' || coalesce('=' || r.source, 'null')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u FROM r JOIN tt ON r.source IS NOT DISTINCT FROM tt.source)
+SELECT doc_id, size, z AS source_size, target, (size * least(3, floor(rnk::DOUBLE * f + u) - floor((rnk - 1)::DOUBLE * f + u)))::BIGINT AS taken FROM f""",
+)
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.plan(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op2_token_ids")
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
