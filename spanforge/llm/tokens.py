@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow, chunks, ship, shared_dir
+from .common import LOWER, _arrow, chunks, ship, shared_dir
 
 MAGIC, HEAD, ROW, FOOT = b"IDZ1", struct.Struct("<4sB3x32s"), struct.Struct("<?7xqQQQ"), struct.Struct("<QQQ4s4x")
 NO_ID = 0
@@ -41,16 +41,23 @@ def opened(uri: str):
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space; serialized little-endian, `width` bytes an id."""
+    """Ids of whole texts by a tokenizer that drops white space; serialized little-endian, `width` bytes an id.
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    Words are known in two generations of at most `cache_words`: when the young one is full, it becomes the old one, so that frequent words stay.
+    """
+
+    #: ASCII punctuation that, after a letter at a word's end, is a piece of its own; without the apostrophe.
+    TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, cache_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size() <= 2**16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.most = cache_words
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes words joined by spaces and cuts the ids at word ends."""
@@ -62,15 +69,35 @@ class Encoder:
             cut = np.searchsorted(first, starts) * self.width
             data = np.array(enc.ids, self.kind).tobytes()
             for w, a, b in zip(words[at : at + 2000], cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                self.cache[w] = data[a:b]
+                self.young[w] = data[a:b]
+
+    def need(self, words: set[bytes]) -> None:
+        young, old, learn, joined = self.young, self.old, set(), []
+        for w in words:
+            if (x := old.get(w)) is not None:
+                young[w] = x
+                continue
+            stem = w.rstrip(self.TAIL)
+            if stem and len(stem) < len(w) and b"<|" not in w and (97 <= stem[-1] <= 122 or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
+                joined.append((w, stem, w[len(stem) :]))
+                learn.update(x for x in joined[-1][1:] if x not in young)
+            else:
+                learn.add(w)
+        for w in [w for w in learn if w in old]:
+            young[w] = old[w]
+            learn.discard(w)
+        self.learn(list(learn))
+        for w, stem, tail in joined:
+            young[w] = young[stem] + young[tail]
 
     def __call__(self, texts: list) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        known = self.cache
-        if new := {w for ws in split for w in ws if w not in known}:
-            self.learn(list(new))
+        # A combining mark can join a capital in another way than its small letter: such texts keep their capitals.
+        split = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        known = self.young
+        if new := set().union(*split).difference(known):
+            self.need(new)
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
