@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, tokens
+from . import decontaminate, mixing, quality, tokens, urls
 from .common import table
 
 
@@ -78,3 +78,40 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_ids")
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    d = quality.judged(quality.stats(docs), quality.learned_rules(docs, table(spark, sf_dir, "labels")))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query(
+    "op6_url_reputation",
+    r"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+n AS (SELECT DISTINCT host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts FROM p),
+n2 AS (SELECT host, parts, array_to_string(parts[-2:], '.') AS two, array_to_string(parts[-2:], '.') IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'net.au', 'org.au', 'org.uk') AS deep FROM n),
+names AS (SELECT host, CASE WHEN deep THEN two ELSE parts[-1] END AS suffix, CASE WHEN deep THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM n2),
+marks AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM p JOIN marks USING (page_id) JOIN names USING (host) GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM h) AS m0 FROM h GROUP BY suffix),
+ks AS (SELECT coalesce(round(CASE WHEN o > 0 AND f > 0 THEN least(greatest(f / o - 1, 2), 1000) ELSE 1000 END, 6), 1000) AS k FROM (SELECT sum(n * (good / n - m0) ** 2 - m0 * (1 - m0)) AS o, sum(m0 * (1 - m0) * (n - 1)) AS f FROM s0)),
+s AS (SELECT suffix, (good + k * m0) / (n + k) AS m, k FROM s0, ks),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS m0 FROM h JOIN s USING (suffix) GROUP BY domain, suffix),
+kd AS (SELECT coalesce(round(CASE WHEN o > 0 AND f > 0 THEN least(greatest(f / o - 1, 2), 1000) ELSE 1000 END, 6), 1000) AS k FROM (SELECT sum(n * (good / n - m0) ** 2 - m0 * (1 - m0)) AS o, sum(m0 * (1 - m0) * (n - 1)) AS f FROM d0)),
+d AS (SELECT domain, (good + k * m0) / (n + k) AS m, k FROM d0, kd),
+h0 AS (SELECT host, n, good, m AS m0 FROM h JOIN d USING (domain)),
+kh AS (SELECT coalesce(round(CASE WHEN o > 0 AND f > 0 THEN least(greatest(f / o - 1, 2), 1000) ELSE 1000 END, 6), 1000) AS k FROM (SELECT sum(n * (good / n - m0) ** 2 - m0 * (1 - m0)) AS o, sum(m0 * (1 - m0) * (n - 1)) AS f FROM h0)),
+hh AS (SELECT host, (good + k * m0) / (n + k) AS m, n + k AS w FROM h0, kh),
+known AS (SELECT names.host, coalesce(hh.m, d.m, s.m, 1.0) AS mean, coalesce(hh.w, d.k, s.k, 2.0) AS w FROM names LEFT JOIN hh USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix)),
+ruled AS (SELECT p.*, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN mean + 1.645 * sqrt(mean * (1 - mean) / (w + 1)) < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN known USING (host)""",
+)
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return d.select("page_id", "host", "path", "rule", "verdict")
