@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, tokens, urls
+from . import decontaminate, mixing, quality, secretscan, tokens, urls
 from .common import table
 
 
@@ -115,3 +115,9 @@ FROM ruled JOIN known USING (host)""",
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return d.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = secretscan.scan(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
