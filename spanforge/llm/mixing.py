@@ -29,20 +29,19 @@ def size_class(size: str) -> Column:
 
 
 def offset(source: str, seed: int) -> Column:
-    """In [0, 1), from the source's name and the seed; reruns agree."""
-    name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    """In [0, 1), from the source's key and the seed; reruns agree."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(source))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """From source and its size (a row each): target, at most `most` times the size; what is above is reshared by weight.
+    """From src ("=" and the name, or "null") and its size (a row each): target, at most `most` times the size; what is above is reshared by weight.
 
     With sources ordered by most * size / weight, those capped come first: a source is capped if the level that the
     rest would get, once all before it are capped, is above its own bound.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row a source: an aggregate, not documents
+    order = Window.orderBy(F.col("src").startswith("=").desc(), "src")  # a row a source: an aggregate, not documents
     w = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    by = Window.orderBy("bound", F.col("source").asc_nulls_last())
+    by = Window.orderBy("bound", F.col("src").startswith("=").desc(), "src")
     every = Window.partitionBy()
     s = sizes.withColumn("w", w).withColumn("bound", most * F.col("source_size") / F.col("w"))
     s = s.withColumns({"total": F.sum("source_size").over(every), "all_w": F.sum("w").over(every), "size_to": F.sum("source_size").over(by), "w_to": F.sum("w").over(by)})
@@ -51,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     held = F.sum(F.when(F.col("capped"), most * F.col("source_size")).otherwise(0)).over(every)
     free_w = F.sum(F.when(~F.col("capped"), F.col("w")).otherwise(0)).over(every)
     target = F.when(F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(((F.col("total") - held) * F.col("w")).cast("double") / free_w.cast("double"))
-    return s.select("source", "source_size", target.alias("target"))
+    return s.select("src", "source_size", target.alias("target"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> Column:
@@ -61,23 +60,25 @@ def sized(docs: DataFrame, text: str = "text") -> Column:
 def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 20_000) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, copies, and the columns to carry (as a struct `row`)."""
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    d = docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), sized(docs, text).alias("size"), *row).withColumn("cls", size_class("size"))
-    classes = d.groupBy("source", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
-    targets = source_targets(classes.groupBy("source").agg(F.sum("s").alias("source_size")), weights, most)
-    info = classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("c.source").alias("s0"), F.col("c.cls").alias("c0"), "source_size", "target", F.ceil(F.col("n") / cell_rows).cast("bigint").alias("blocks")
-    )
-    mixed = F.pmod(F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint") % 2147483648 * 2654435761 % 4294967296, F.col("blocks"))
-    d = d.join(info, F.col("source").eqNullSafe(F.col("s0")) & (F.col("cls") == F.col("c0"))).withColumn("blk", mixed).drop("s0", "c0", "blocks")
-    cells = d.groupBy("source", "cls", "blk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("cls", "blk")
-    cells = cells.select(F.col("source").alias("s1"), F.col("cls").alias("c1"), F.col("blk").alias("b1"), (F.sum("n").over(before) - F.col("n")).alias("before"))
-    ranked = d.withColumn("nr", F.row_number().over(Window.partitionBy("source", "cls", "blk").orderBy("size", "doc_id")))
-    ranked = ranked.join(cells, F.col("source").eqNullSafe(F.col("s1")) & (F.col("cls") == F.col("c1")) & (F.col("blk") == F.col("b1")))
-    at, f = F.col("before") + F.col("nr"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
-    u = offset("source", seed)
-    copies = F.least(F.floor(at.cast("double") * f + u) - F.floor((at - 1).cast("double") * f + u), F.lit(most)).cast("bigint")
-    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *(["row"] if carry else []))
+    name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))  # never null, so that keys can be joined and dealt alike
+    d = docs.select(F.col(doc).alias("doc_id"), name.alias("src"), sized(docs, text).alias("size"), *row).withColumn("cls", size_class("size"))
+    counts = d.select("src", "cls", "size", "doc_id")
+    classes = counts.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    targets = source_targets(classes.groupBy("src").agg(F.sum("s").alias("source_size")), weights, most)
+    info = classes.join(targets, "src").select("src", "cls", "source_size", "target", F.ceil(F.col("n") / cell_rows).cast("bigint").alias("blocks"))
+    hashed = F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint") % 2147483648 * 2654435761 % 4294967296
+    block = F.pmod(hashed, F.col("blocks")).alias("blk")
+    cells = counts.join(info, ["src", "cls"]).select("src", "cls", block).groupBy("src", "cls", "blk").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("src").orderBy("cls", "blk")
+    cells = cells.select("src", "cls", "blk", (F.sum("n").over(before) - F.col("n")).alias("before"))
+    # The last join and the window deal out by the same keys: what is carried is shuffled once.
+    d = d.join(info, ["src", "cls"]).withColumn("blk", block).join(cells, ["src", "cls", "blk"])
+    at = F.col("before") + F.row_number().over(Window.partitionBy("src", "cls", "blk").orderBy("size", "doc_id"))
+    f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
+    u = offset("src", seed)
+    d = d.withColumn("at", at.cast("double"))
+    copies = F.least(F.floor(F.col("at") * f + u) - F.floor((F.col("at") - 1) * f + u), F.lit(most)).cast("bigint")
+    return d.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *(["row"] if carry else []))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

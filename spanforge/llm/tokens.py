@@ -187,7 +187,10 @@ def write_tokens(
     sample_bytes / sample_docs characters of it); what is written covers every whole text.
     """
     ship(docs.sparkSession)
-    sample = docs.select(F.substring(F.col(text), 1, sample_bytes // sample_docs).alias("t"), F.xxhash64(F.col(doc)).alias("h")).where("t is not null").orderBy("h", "t").limit(sample_docs)
+    hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc)).alias("h"), F.col(text).alias("t"))
+    bound = hashed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    cut = F.substring("t", 1, sample_bytes // sample_docs)
+    sample = hashed.where(F.lit(False) if bound is None else F.col("h") <= bound).select("h", cut.alias("t")).orderBy("h", "t").limit(sample_docs)
     end = np.array([end_id], encoder(tokenizer).kind).tobytes()
     dictionary = trained([x + end for x in encoder(tokenizer)([r.t.encode() for r in sample.select("t").collect()])], dictionary_bytes)
     fs, path = opened(folder)
