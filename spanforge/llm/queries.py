@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, secretscan, suffixdedup, tokens, urls
+from . import decontaminate, mixing, neardup, pii, quality, secretscan, suffixdedup, tokens, urls
 from .common import table, tokenizer_path
 
 QUERIES: dict = {}
@@ -145,3 +145,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffixdedup.without_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["e"] - s["a"])
     return d.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.find(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
