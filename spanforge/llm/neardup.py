@@ -244,7 +244,7 @@ def across(members: DataFrame, classes: DataFrame, sketch: Sketch, share: int, b
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     m = m.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc", "n", "c", "regs")
 
-    def pairs(table: pa.Table) -> pa.Table:
+    def pairs(table):
         blk, i, j = (table.column(x).to_numpy() for x in ("blk", "i", "j"))
         doc, n, c = (table.column(x).to_numpy() for x in ("doc", "n", "c"))
         regs = np.stack([np.frombuffer(r, np.uint16) for r in table.column("regs").to_pylist()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, pii, quality, secretscan, suffixdedup, tokens, urls
+from . import decontaminate, lm, mixing, neardup, pii, quality, secretscan, suffixdedup, tokens, urls
 from .common import table, tokenizer_path
 
 QUERIES: dict = {}
@@ -151,3 +151,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii.find(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op7_context_mixing")
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
