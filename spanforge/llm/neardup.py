@@ -155,9 +155,9 @@ def sketched(docs: DataFrame, sketch: Sketch, size: int, *, doc: str, text: str)
 
 
 def banded(classes: DataFrame, rows: int) -> DataFrame:
-    """key, doc, n: a row for each band."""
+    """key, doc, n, band: a row for each band."""
     ship(classes.sparkSession)
-    schema = T._parse_datatype_string("key bigint, doc bigint, n bigint")
+    schema = T._parse_datatype_string("key bigint, doc bigint, n bigint, band int")
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +171,19 @@ def banded(classes: DataFrame, rows: int) -> DataFrame:
                 keys = mix(keys * U(0x9FB21C651E98DF25) + regs[:, j : bands * rows : rows] + U(1))
             keys = mix(keys + np.arange(1, bands + 1, dtype=U) * BASE).astype(np.int64)
             doc, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), bands) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(doc), pa.array(n)], schema=arrow)
+            band = np.tile(np.arange(bands, dtype=np.int32), len(regs))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(doc), pa.array(n), pa.array(band)], schema=arrow)
 
     return classes.select("doc", "n", "regs").mapInArrow(run, schema)
 
 
+def chosen(texts: DataFrame, classes: DataFrame, wanted: DataFrame, small_ids: int = 2_000_000) -> DataFrame:
+    """doc, text, n, regs of the wanted documents. Up to small_ids ids (16 MB) go to every task, so that only their texts move; more are joined by a shuffle."""
+    wanted = wanted.distinct()
+    few = wanted.limit(small_ids + 1).count() <= small_ids
+    return texts.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").join(classes.select("doc", "n", "regs"), "doc")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch, size: int, share: int, salt_rows: int = 500) -> DataFrame:
     """Those of the pairs (a, b) whose sets have 100 * intersection >= share * union. texts: doc, text, a row for each class."""
     ship(pairs.sparkSession)
@@ -184,9 +192,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sk
     floor = share / 100 - 5 * math.sqrt(share / 100 * (1 - share / 100) / sketch.m)
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("s"))
     salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("s").cast("bigint")).alias("salt"))
-    # Only what is asked for is shuffled: texts of documents in pairs.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    full = texts.join(wanted, "doc", "left_semi").join(classes.select("doc", "n", "regs"), "doc")
+    full = chosen(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
     heads = salts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s").cast("bigint") - 1)).alias("salt")).join(full, F.col("a") == F.col("doc"))
     others = salted.join(full, F.col("b") == F.col("doc"))
     cols = ("a", "salt", "doc", "text", "n", "regs")
@@ -233,24 +239,42 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def across(members: DataFrame, classes: DataFrame, sketch: Sketch, share: int, block: int = 2000) -> DataFrame:
-    """Pairs across components inside buckets, by registers. members: key, doc, n, c. Buckets are cut into blocks, and blocks meet pairwise."""
+def across(members: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch, size: int, share: int, rows: int, block: int = 1000) -> DataFrame:
+    """Confirmed links (a, b) across components inside buckets. members: key, band, doc, n, c. Buckets are cut into blocks, and blocks meet pairwise.
+
+    Inside a task, pairs that a link already joined are passed over, so what comes out grows with the documents, not with their
+    pairs; each pair is looked at in its first common band only. Sets are compared in full.
+    """
     schema = T._parse_datatype_string("a bigint, b bigint")
     arrow = _arrow(schema)
     floor = share / 100 - 5 * math.sqrt(share / 100 * (1 - share / 100) / sketch.m)
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    m = members.join(sizes, "key").join(classes.select("doc", "regs"), "doc")
+    m = members.join(sizes, "key").join(chosen(texts, classes, members.select("doc")).drop("n"), "doc")
     m = m.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("nb").cast("bigint")).cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "doc", "n", "c", "regs")
+    m = m.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "band", "blk", "doc", "n", "c", "regs", F.col("text").cast("binary").alias("text"))
 
-    def pairs(table):
+    def links(table):
         blk, i, j = (table.column(x).to_numpy() for x in ("blk", "i", "j"))
         doc, n, c = (table.column(x).to_numpy() for x in ("doc", "n", "c"))
         regs = np.stack([np.frombuffer(r, np.uint16) for r in table.column("regs").to_pylist()])
+        bands, band = regs.shape[1] // rows, int(table.column("band")[0].as_py())
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         values, counts = np.unique(c, return_counts=True)
-        usual = values[counts.argmax()]
-        out_a, out_b = [], []
+        usual, sets, out = values[counts.argmax()], {}, []
+
+        def hashes(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets([table.column("text")[k].as_py()], size)[0]
+            return sets[k]
+
         for k in np.flatnonzero(c != usual).tolist():
             ok = (c != c[k]) & ((c == usual) | (doc > doc[k])) & (100 * np.minimum(n, n[k]) >= share * np.maximum(n, n[k]))
             if i[0] != j[0]:
@@ -258,13 +282,22 @@ def across(members: DataFrame, classes: DataFrame, sketch: Sketch, share: int, b
             at = np.flatnonzero(ok)
             for s in range(0, len(at), 4096):
                 part = at[s : s + 4096]
+                equal = regs[part] == regs[k]
+                part = part[equal[:, : bands * rows].reshape(-1, bands, rows).all(2).argmax(1) == band]
                 more, less = (regs[part] > regs[k]).sum(1), (regs[part] < regs[k]).sum(1)
-                part = part[sketch.likely(n[part].astype(float), np.full(len(part), float(n[k])), more, less) >= floor]
-                out_a += np.minimum(doc[part], doc[k]).tolist()
-                out_b += np.maximum(doc[part], doc[k]).tolist()
-        return pa.table({"a": out_a, "b": out_b}, schema=arrow)
+                likely = sketch.likely(n[part].astype(float), np.full(len(part), float(n[k])), more, less) if len(part) else np.empty(0)
+                for x in part[np.argsort(-likely)][: int((likely >= floor).sum())].tolist():
+                    a, b = root(int(c[k])), root(int(c[x]))
+                    if a == b:
+                        continue
+                    mine, other = hashes(k), hashes(x)
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * both >= share * (len(mine) + len(other) - both):
+                        up[max(a, b)] = min(a, b)
+                        out.append({"a": int(min(doc[k], doc[x])), "b": int(max(doc[k], doc[x]))})
+        return pa.Table.from_pylist(out, schema=arrow)
 
-    return m.groupBy("key", "i", "j").applyInArrow(pairs, schema).distinct()
+    return m.groupBy("key", "i", "j").applyInArrow(links, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 5, share: int = 85, rows: int = 6, sketch: Sketch | None = None) -> DataFrame:
@@ -277,6 +310,7 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     ids = classes.select("doc", "digest")
     buckets = banded(classes, rows)
     many = buckets.groupBy("key").agg(F.min("doc").alias("a"), F.min_by("n", "doc").alias("na"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    many = written(many, folder, "many")
     buckets = written(buckets.join(many, "key"), folder, "buckets")  # only rows of buckets with several members
     near = f"100 * least(n, na) >= {share} * greatest(n, na)"
     stars = written(buckets.where(f"doc <> a and {near}").select("a", F.col("doc").alias("b")).distinct(), folder, "stars")
@@ -284,14 +318,13 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     links = written(confirmed(stars, classes, texts, sketch, size, share), folder, "links1")
     found = components(links, f"{folder}/cc1")
-    members = buckets.join(found.select(F.col("v").alias("doc"), "c"), "doc", "left").select("key", "doc", "n", F.coalesce("c", "doc").alias("c"))
+    members = buckets.join(found.select(F.col("v").alias("doc"), "c"), "doc", "left").select("key", "band", "doc", "n", F.coalesce("c", "doc").alias("c"))
     mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = across(members.join(mixed, "key", "left_semi"), classes, sketch, share)
-    rest = written(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), folder, "rest")
-    if not rest.isEmpty():
-        more = written(confirmed(rest, classes, texts, sketch, size, share), folder, "links2")
-        if not more.isEmpty():
-            found = components(links.union(more), f"{folder}/cc2")
+    # A bucket of two was settled by the first round; its pair need not be looked at again.
+    open_ = written(members.join(mixed, "key", "left_semi").join(many.where("size > 2").select("key"), "key", "left_semi"), folder, "open")
+    more = written(across(open_, classes, texts, sketch, size, share, rows), folder, "links2")
+    if not more.isEmpty():
+        found = components(links.union(more), f"{folder}/cc2")
     groups = ids.join(found.select(F.col("v").alias("doc"), "c"), "doc", "left").select(F.col("digest").alias("dg"), F.col("doc").alias("class_id"), F.coalesce("c", "doc").alias("c"))
     out = d.join(groups, (F.col("digest") == F.col("dg")) & F.col("doc").isNotNull(), "left")
     comp = F.coalesce("c", "doc")
