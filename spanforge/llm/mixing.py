@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, shared_dir, written
 
 #: Size classes in an octave of words; a class is then narrower than 9 %.
 PER_OCTAVE = 8
@@ -62,7 +62,9 @@ def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: st
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))  # never null, so that keys can be joined and dealt alike
     d = docs.select(F.col(doc).alias("doc_id"), name.alias("src"), sized(docs, text).alias("size"), *row).withColumn("cls", size_class("size"))
-    counts = d.select("src", "cls", "size", "doc_id")
+    # Words are counted once: what is known of the documents, without their texts, is a table; rows that are carried get it again.
+    counts = written(d.select("doc_id", "src", "size", "cls"), shared_dir(docs.sparkSession), "sizes")
+    d = d if carry else counts
     classes = counts.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     targets = source_targets(classes.groupBy("src").agg(F.sum("s").alias("source_size")), weights, most)
     info = classes.join(targets, "src").select("src", "cls", "source_size", "target", F.ceil(F.col("n") / cell_rows).cast("bigint").alias("blocks"))
