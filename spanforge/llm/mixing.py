@@ -57,7 +57,7 @@ def sized(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 20_000) -> DataFrame:
+def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 1000) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, copies, and the columns to carry (as a struct `row`)."""
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))  # never null, so that keys can be joined and dealt alike

@@ -56,7 +56,7 @@ level AS (SELECT max(lv) AS lv FROM (
     3 * a.z::DOUBLE / a.w AS bound FROM c0 a) WHERE lv < bound),
 t AS (SELECT source, z, w, total, 3 * z::DOUBLE / w <= (SELECT coalesce(lv, 1e300) FROM level) AS capped FROM c0),
 tt AS (SELECT source, z, CASE WHEN capped THEN (3 * z)::DOUBLE ELSE ((total - (SELECT coalesce(sum(3 * z), 0) FROM t WHERE capped)::BIGINT) * w)::DOUBLE / (SELECT sum(w) FROM t WHERE NOT capped)::DOUBLE END AS target FROM t),
-blocks AS (SELECT source, cls, ceil(count(*) / 20000.0)::BIGINT AS b FROM e GROUP BY ALL),
+blocks AS (SELECT source, cls, ceil(count(*) / 1000.0)::BIGINT AS b FROM e GROUP BY ALL),
 r AS (SELECT e.doc_id, e.source, e.size, row_number() OVER (PARTITION BY e.source ORDER BY e.cls, (e.doc_id % 2147483648 * 2654435761 % 4294967296) % b, e.size, e.doc_id) AS rnk
   FROM e JOIN blocks ON e.source IS NOT DISTINCT FROM blocks.source AND e.cls = blocks.cls),
 f AS (SELECT r.*, z, target, CASE WHEN z > 0 THEN target / z::DOUBLE ELSE 0 END AS f,
