@@ -6,10 +6,12 @@ fragment, shorter than twice the length. Only anchors that occur at least twice
 represented by their first occurrence, within a task before the shuffle and again after it, so a passage that a third of all documents
 share is no hot key. For an anchor with more than `hot` occurrences every window is dealt out by the hash of the whole window.
 
+What is left are fragments that have an anchor in common and differ. Their windows' fingerprints leave the parts that can hold a repeat; what decides is the following.
+
 The fragments that meet are a collection of short strings. In round j the suffixes of length j of all strings are inserted, one symbol per
 string: where the new suffix goes follows from the symbol's rank in the transform so far, and its common prefix with both neighbours from
-the range minimum over the former common prefixes. Transform, common prefixes and suffix ids are files that each round reads
-and writes from front to end. At the end, runs of common prefixes of at least `length` are the groups of equal windows; all but the first
+the range minimum over the former common prefixes. Transform and common prefixes are files that each round reads
+and writes from front to end; string and start of each suffix follow at the end by going back through the transform. At the end, runs of common prefixes of at least `length` are the groups of equal windows; all but the first
 occurrence (by doc_id, then start) are removed.
 
 Nulls: a null text is empty; a null doc_id counts as the smallest. Rows with one id and one text are one document and get the same result;
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow, chunks, map_texts, ship
+from .common import _arrow, chunks, map_texts, shared_dir, ship, written
 from .neardup import mix
 
 U = np.uint64
@@ -77,19 +79,16 @@ def anchors(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.n
 
 
 class Transform:
-    """Files of the transform, of common prefixes, and of suffixes (string number, length), for strings of up to 254 bytes."""
+    """Files of the transform and of common prefixes, for strings of up to 254 bytes."""
 
     def __init__(self, strings: list[bytes], folder: str):
         self.n = len(strings)
         self.sizes = np.array([len(s) for s in strings], np.int64)
-        width = int(self.sizes.max())
+        self.width = int(self.sizes.max())
         # Right-aligned; 0 is the end mark, and UTF-8 has no byte above 0xF4, so every symbol moves up by one.
-        self.text = np.zeros((width, self.n), np.uint8)
-        for i, s in enumerate(strings):
-            self.text[width - len(s) :, i] = np.frombuffer(s, np.uint8) + 1
-        self.width = width
-        self.files = {k: [Path(folder, f"{k}{i}") for i in range(2)] for k in ("bwt", "lcp", "sid", "len")}
-        self.kinds = {"bwt": np.uint8, "lcp": np.uint8, "sid": np.int32, "len": np.uint8}
+        rows = np.frombuffer(b"".join(s.rjust(self.width, b"\xff") for s in strings), np.uint8).reshape(self.n, self.width)
+        self.text = np.ascontiguousarray((rows + np.uint8(1)).T)
+        self.files = {k: [Path(folder, f"{k}{i}") for i in range(2)] for k in ("bwt", "lcp")}
         self.turn = 0
 
     def symbol(self, j: int) -> np.ndarray:
@@ -97,51 +96,71 @@ class Transform:
         return self.text[self.width - 1 - j] if j < self.width else np.zeros(self.n, np.uint8)
 
     def read(self, k: str) -> np.ndarray:
-        return np.fromfile(self.files[k][self.turn], self.kinds[k])
+        return np.fromfile(self.files[k][self.turn], np.uint8)
 
     def write(self, k: str, x: np.ndarray) -> None:
         x.tofile(self.files[k][1 - self.turn])
 
-    def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Common prefix with the suffix before, string and length of each suffix, in order."""
+    def build(self) -> tuple[np.ndarray, np.ndarray]:
+        """The transform and, for each suffix in order, its common prefix with the one before."""
         n = self.n
-        for k, x in (("bwt", self.symbol(0)), ("lcp", np.zeros(n, np.uint8)), ("sid", np.arange(n, dtype=np.int32)), ("len", np.zeros(n, np.uint8))):
-            self.write(k, x)
+        self.write("bwt", self.symbol(0))
+        self.write("lcp", np.zeros(n, np.uint8))
         self.turn = 1 - self.turn
-        place, live = np.arange(n), np.arange(n, dtype=np.int32)  # of the strings that get a symbol this round
+        place, live = np.arange(n), np.arange(n)  # of the strings that get a symbol this round, in order of place
         for j in range(1, self.width + 1):
             bwt, lcp = self.read("bwt"), self.read("lcp")
             order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            done = int(np.searchsorted(bwt[order], 1))
-            r = rank[place]
+            ends = np.cumsum(np.bincount(bwt, minlength=256))
             c = bwt[place]
+            sort = np.argsort(c, kind="stable")  # by symbol, and in each by place: the order of the new suffixes
+            place, live, c = place[sort], live[sort], c[sort]
+            r = np.empty(len(place), np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
+            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                s = int(c[a])
+                first = int(ends[s - 1])
+                r[a:e] = first + np.searchsorted(order[first : int(ends[s])], place[a:e])
             # Neighbours with the same symbol, in the former order; common prefixes are one more than the least between.
             before, after = np.maximum(r - 1, 0), np.minimum(r + 1, len(order) - 1)
-            has_before, has_after = (r > 0) & (bwt[order[before]] == c), (r + 1 < len(order)) & (bwt[order[after]] == c)
-            low, high = np.where(has_before, self._least(lcp, order[before], place) + 1, 0), np.where(has_after, self._least(lcp, place, order[after]) + 1, 0)
-            to = n - done + r
-            sort = np.argsort(to)
-            to, live, low, high = to[sort], live[sort], low[sort], high[sort]
+            has_before, has_after = r > ends[c - 1], r + 1 < ends[c]
+            low = np.where(has_before, self._least(lcp, order[before], place) + 1, 0)
+            high = np.where(has_after, self._least(lcp, place, order[after]) + 1, 0)
+            to = n - int(ends[0]) + r
             old = np.ones(len(bwt) + len(to), bool)
             old[to] = False
-            for k, x in (("bwt", self.symbol(j)[live]), ("lcp", low), ("sid", live), ("len", j)):
-                now = np.empty(len(old), self.kinds[k])
-                now[old] = bwt if k == "bwt" else lcp if k == "lcp" else self.read(k)
-                now[to] = x
+            symbol = self.symbol(j)[live]
+            for k, was in (("bwt", bwt), ("lcp", lcp)):
+                now = np.empty(len(old), np.uint8)
+                now[old] = was
                 if k == "lcp":
                     nxt = to + 1
                     ok = nxt < len(now)
                     now[nxt[ok]] = high[ok]
                     now[to] = low
+                else:
+                    now[to] = symbol
                 self.write(k, now)
             self.turn = 1 - self.turn
-            more = self.symbol(j)[live] != 0
+            more = symbol != 0
             place, live = to[more], live[more]
             if not len(live):
                 break
-        return self.read("lcp"), self.read("sid"), self.read("len")
+        return self.read("bwt"), self.read("lcp")
+
+    def suffixes(self, bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """String and length of each suffix in order, by going back from every string's end through the transform."""
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        sid, size = np.empty(len(bwt), np.int32), np.zeros(len(bwt), np.uint8)
+        place, live = np.arange(self.n), np.arange(self.n, dtype=np.int32)
+        sid[place] = live
+        for j in range(1, self.width + 1):
+            live_now = self.sizes[live] >= j
+            live, place = live[live_now], rank[place[live_now]]
+            sid[place], size[place] = live, j
+        return sid, size
 
     @staticmethod
     def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,22 +178,74 @@ def repeats(strings: list[bytes], where: list[tuple], length: int) -> list[tuple
     if len(strings) < 2:
         return []
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        lcp, sid, size = Transform(strings, folder).build()
+        t = Transform(strings, folder)
+        bwt, lcp = t.build()
     same = lcp >= length
     if not same.any():
         return []
+    sid, size = t.suffixes(bwt)
+    # Of each group, the window that stands first: places as ranks, in the order of where.
+    by = sorted(range(len(strings)), key=lambda i: where[i][:-1])
+    doc = np.empty(len(strings), np.int64)
+    n = -1
+    for k, i in enumerate(by):
+        n += k == 0 or where[i][:-1] != where[by[k - 1]][:-1]
+        doc[i] = n
     edge = np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))
-    sizes = np.array([len(s) for s in strings])
-    out = []
-    for a, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-        group = [(s, int(sizes[s]) - int(n)) for s, n in zip(sid[a - 1 : e].tolist(), size[a - 1 : e].tolist(), strict=True)]
-        key = lambda x: (*where[x[0]][:-1], where[x[0]][-1] + x[1])
-        first = min(group, key=key)
-        out += [x for x in group if key(x) != key(first)]
-    return out
+    starts, ends = np.flatnonzero(edge == 1) - 1, np.flatnonzero(edge == -1)
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(ends - starts)[:-1]]), ends - starts) + np.arange((ends - starts).sum())
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    s = sid[at].astype(np.int64)
+    start = t.sizes[s] - size[at]
+    key = doc[s] << 32 | (np.array([w[-1] for w in where], np.int64)[s] + start)
+    first = np.full(len(starts), np.iinfo(np.int64).max)
+    np.minimum.at(first, group, key)
+    later = key > first[group]
+    return list(zip(s[later].tolist(), start[later].tolist(), strict=True))
+
+
+def trimmed(frags: list[bytes], where: list[tuple], length: int) -> tuple[list[bytes], list[tuple]]:
+    """The parts of the fragments whose windows have an equal fingerprint among the others': only these can hold a repeat."""
+    data = b"".join(frags)
+    sizes = np.array([len(f) for f in frags])
+    starts = np.cumsum(sizes) - sizes
+    size = 1 << (length.bit_length() - 1)
+    h = gram_hashes(np.frombuffer(data, np.uint8), size)
+    rest = length - size
+    h = mix(h[: len(h) - rest] * U(0xD6E8FEB86659FD93) + h[rest:]) if rest else h
+    n = sizes - length + 1
+    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    _, inv, count = np.unique(h[at], return_inverse=True, return_counts=True)
+    keep = count[inv] > 1
+    at, frag = at[keep], np.repeat(np.arange(len(frags)), n)[keep]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (frag[1:] != frag[:-1])])) if len(at) else np.empty(0, np.int64)
+    run = np.diff(np.append(new, len(at)))
+    out, places = [], []
+    for a, f, k in zip(at[new].tolist(), frag[new].tolist(), run.tolist(), strict=True):
+        out.append(data[a : a + k + length - 1])
+        places.append((*where[f][:-1], where[f][-1] + a - int(starts[f])))
+    return out, places
+
+
+def settled(frags: list[bytes], where: list[tuple], length: int) -> list[tuple]:
+    """(uid, first byte, end) of windows to remove among fragments that met; where: (doc, uid, start)."""
+    spans, first = [], {}
+    for s, w in sorted(zip(*trimmed(frags, where, length), strict=True), key=lambda x: x[1]):
+        if s in first:  # equal in full to an earlier one
+            spans.append((w[1], w[2], w[2] + len(s)))
+        else:
+            first[s] = w
+    strings, places = list(first), list(first.values())
+    for s, start in repeats(strings, places, length):
+        a = places[s][2] + start
+        if spans and spans[-1][0] == places[s][1] and spans[-1][1] <= a <= spans[-1][2]:
+            spans[-1] = (spans[-1][0], spans[-1][1], max(spans[-1][2], a + length))
+        else:
+            spans.append((places[s][1], a, a + length))
+    return spans
 
 
-def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_bytes: int) -> DataFrame:
+def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_bytes: int, small_hashes: int) -> DataFrame:
     """uid, spans (first byte, end) to remove. docs: doc (not null), uid, text (binary)."""
     ship(docs.sparkSession)
 
@@ -192,12 +263,34 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
         return {"a": out}
 
     each = map_texts(docs, found, "a array<struct<h:bigint,n:int>>", keep=("uid",)).select("uid", F.explode("a").alias("a")).select("uid", "a.h", "a.n")
-    many = each.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    mine = each.select("uid", "h").join(many, "h").groupBy("uid").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hots"))
-    located = docs.join(mine, "uid")
+    many = written(each.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")), shared_dir(docs.sparkSession), "anchors")
+    known = None
+    if many.limit(small_hashes + 1).count() <= small_hashes:
+        # Up to small_hashes repeated anchors (9 bytes each) go to every task; more come to the documents by joins.
+        t = many.toArrow()
+        h, is_hot = t.column("h").to_numpy(), t.column("hot").to_numpy()
+        order = np.argsort(h)
+        known = docs.sparkSession.sparkContext.broadcast((h[order], is_hot[order]))
+        located = docs
+    else:
+        mine = each.select("uid", "h").join(many, "h").groupBy("uid").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
+        located = docs.join(mine, "uid")
     schema = T._parse_datatype_string("key bigint, frag binary, doc bigint, uid bigint, first int, size int")
     arrow = _arrow(schema)
 
+    def chosen(batch: pa.RecordBatch, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which anchors are repeated, and which of them hot."""
+        if known is not None:
+            all_h, all_hot = known.value
+            if not len(all_h):
+                return np.zeros(len(h), bool), np.zeros(len(h), bool)
+            i = np.minimum(np.searchsorted(all_h, h), len(all_h) - 1)
+            hit = all_h[i] == h
+            return hit, hit & all_hot[i]
+        own = [dict(zip(a, b, strict=True)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        got = [own[d].get(x) for d, x in zip(doc.tolist(), h.tolist(), strict=True)]
+        return np.array([x is not None for x in got], bool), np.array([bool(x) for x in got], bool)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fragments with a repeated anchor, each once a task; a row without frag is a span that is surely removed."""
         kept: dict[tuple[int, bytes], tuple[int, int, int]] = {}
@@ -222,29 +315,31 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
             if place < was:
                 kept[key, frag] = place
                 place = was
-            spans.append((place[1], None, *place, len(frag)))
+            if spans and spans[-1][3] == place[1] and spans[-1][4] <= place[2] <= spans[-1][4] + spans[-1][5]:
+                last = spans[-1]
+                spans[-1] = (*last[:5], max(last[5], place[2] + len(frag) - last[4]))
+            else:
+                spans.append((place[1], None, *place, len(frag)))
 
         for batch in chunks(batches, 2, 1 << 20):
-            docs_, uids, texts, hs, hots = (batch.column(i).to_pylist() for i in range(5))
+            docs_, uids, texts = (batch.column(i).to_pylist() for i in range(3))
             texts = [t or b"" for t in texts]
             doc, first, count, h = anchors(b"".join(texts), [len(t) for t in texts], length, gram)
             h = h.astype(np.int64)
-            own = [frozenset(x) for x in hs]
-            hot_own = [frozenset(x) for x in hots]
-            for d, s, c, x in zip(doc.tolist(), first.tolist(), count.tolist(), h.tolist(), strict=True):
-                if x not in own[d]:
-                    continue
-                if x in hot_own[d]:
+            hit, is_hot = chosen(batch, doc, h)
+            for d, s, c, x, w in zip(doc[hit].tolist(), first[hit].tolist(), count[hit].tolist(), h[hit].tolist(), is_hot[hit].tolist(), strict=True):
+                if w:
                     for i in range(s, s + c):
                         window = texts[d][i : i + length]
                         add(int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), window, (docs_[d], uids[d], i))
                 else:
                     add(x, texts[d][s : s + c + length - 1], (docs_[d], uids[d], s))
-            if held > 48 << 20 or len(spans) > 200_000:
+            if held > 64 << 20 or len(spans) > 200_000:
                 yield flush()
         yield flush()
 
-    frags = located.select("doc", "uid", "text", "hs", "hots").mapInArrow(cut, schema)
+    columns = ["doc", "uid", "text"] + (["hs", "hots"] if known is None else [])
+    frags = located.select(*columns).mapInArrow(cut, schema)
     frags = frags.repartition("key").sortWithinPartitions("key", "frag", "doc", "uid", "first")
     span_schema = T._parse_datatype_string("uid bigint, a int, e int")
     span_arrow = _arrow(span_schema)
@@ -257,8 +352,7 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
 
         def settle() -> None:
             nonlocal held
-            for s, start in repeats(strings, where, length):
-                spans.append((where[s][1], where[s][2] + start, where[s][2] + start + length))
+            spans.extend(settled(strings, where, length))
             strings.clear()
             where.clear()
             held = 0
@@ -314,10 +408,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 16, hot: int = 100_000, bucket_bytes: int = 2 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 100_000, bucket_bytes: int = 4 << 20, small_hashes: int = 8_000_000) -> DataFrame:
     """A row for each document: doc_id, n_bytes, removed (spans of bytes), kept (the remaining bytes)."""
     d = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(doc).cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("text"))
-    spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, bucket_bytes=bucket_bytes)
+    spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, bucket_bytes=bucket_bytes, small_hashes=small_hashes)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc].dataType), *T._parse_datatype_string("n_bytes bigint, removed array<struct<a:int,e:int>>, kept binary").fields])
     arrow = _arrow(schema)
 
