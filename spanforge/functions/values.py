@@ -79,7 +79,7 @@ def double_text(v: Column) -> Column:
     s = v.cast("string")
     m, e = F.substring_index(s, "E", 1), F.substring_index(s, "E", -1).try_cast("int")
     mantissa = F.regexp_replace(m, r"\.0$", "")
-    sci = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    sci = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, F.lpad(F.abs(e).cast("string"), 2, "0")).otherwise(F.abs(e).cast("string")))
     a = F.abs(v)
     plain = F.when((a >= 1e7) & (a < 1e16) | (a >= 1e-4) & (a < 1e-3), _plain(v))
     return F.when(F.isnan(v), "nan").when(a == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).when(s.contains("E"), F.coalesce(plain, sci)).otherwise(s)

@@ -515,3 +515,27 @@ def bin_varint_fields(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, line::INT AS line, printf('%08x', line) || '  ' || rpad(rtrim(regexp_replace(substr(h, 2 * line + 1, 32), '(..)', '\\1 ', 'g')), 48, ' ') || '  ' || substr(p_name, line + 1, 16) AS text FROM l""")
 def bin_hexdump(spark: SparkSession, sf: str) -> DataFrame:
     return rawbytes.hexdump(table(spark, sf, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("content")))
+
+
+# The wire --------------------------------------------------------------------------------------------------------------
+
+
+@query("codec_roundtrip", f"WITH {EV} SELECT packet_idx, track, ts, type, name, value, k FROM ev")
+def codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as packets, encoded to the trace's bytes, decoded again."""
+    from ..sources import trace
+    from ..sources.schema import PACKET
+
+    e = views.events(spark, sf)
+    empty = spark.createDataFrame([], PACKET)
+    kinds = {f.name: f.dataType for f in empty.schema["event"].dataType.fields}
+    ann = empty.schema["event"].dataType["annotations"].dataType
+    one = {"path": F.array(F.lit(0)), "holder": F.lit("root"), "name": F.lit("k"), "kind": F.lit("int"), "int_v": F.col("k")}
+    k = F.struct(*[one.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ann.elementType.fields])
+    event = {"type": F.col("type"), "track_uuid": F.col("track"), "name": F.col("name"), "double_counter_value": F.col("value"), "annotations": F.array(k)}
+    fields = {"trace": F.concat(F.lit("t"), (F.col("track") % 8).cast("string")), "packet_idx": F.col("packet_idx"), "timestamp": F.col("ts"), "seq_id": F.col("packet_idx"), "kind": F.lit("track_event"), "event": F.struct(*[event.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])}
+    packets = e.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+    back = trace.decoded(trace.serialized(packets))
+    # The file has no packet number of ours; the sequence id carries it here.
+    v = F.col("event")
+    return back.select(F.col("seq_id").alias("packet_idx"), v["track_uuid"].alias("track"), F.col("timestamp").alias("ts"), v["type"].alias("type"), v["name"].alias("name"), v["double_counter_value"].alias("value"), v["annotations"][0]["int_v"].alias("k"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,7 +54,12 @@ def _batches(rows: Iterator[dict], arrow: pa.Schema) -> Iterator[pa.RecordBatch]
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Packets of all files of a path (glob, folder, remote), read by Spark and decoded a file a row."""
-    ship(spark)
+    return decoded(spark.read.format("binaryFile").load(path).select(F.col("path").alias("trace"), "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """files: trace, content. Their packets."""
+    ship(files.sparkSession)
     schema = T._parse_datatype_string(S.PACKET)
     arrow = to_arrow_schema(schema)
 
@@ -62,7 +68,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from _batches(rows_of(data.as_py(), name), arrow)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return files.select("trace", "content").mapInArrow(run, schema)
 
 
 @dataclass
@@ -176,8 +182,6 @@ def register(spark: SparkSession) -> None:
 
 def serialized(packets: DataFrame) -> DataFrame:
     """trace, content: each trace's bytes. Packets are encoded where they are; only bytes of one trace come together."""
-    from pyspark.sql import functions as F
-
     ship(packets.sparkSession)
     schema = T._parse_datatype_string("trace string, packet_idx bigint, frame_bytes binary")
     arrow = to_arrow_schema(schema)
