@@ -9,8 +9,8 @@ Predictions, in the logistic domain, are mixed by weights that a gate selects (w
 a fit on a bounded sample and go on learning inside each document, a block of bytes at a time; an adaptive map, fitted on that
 sample, refines the mixed probability. A document's score depends on its own text and the model only.
 
-The unigram base needs the corpus count of every word. Vocabulary grows with the corpus, so it is never broadcast: documents are dealt to
-blocks of bounded size, each block asks once for each of its words, and the counts come back to the block.
+The unigram base needs the corpus count of every word. Vocabulary grows with the corpus: up to a checked size its sorted files are
+mapped by every task; beyond, documents are dealt to blocks of bounded size, each block asks once for each of its words, and the counts come back to the block.
 
 Nulls: a null text is empty (just the end); a null id counts as training. Repeated rows count as often as they come. Without training
 documents N = 0 and the tables are empty: every bit costs one bit.
@@ -21,17 +21,20 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import tempfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, _arrow, chunks, ship
-from .neardup import BASE, SPACE, mix, powers
+from .common import LOWER, _arrow, chunks, map_texts, shared_dir, ship, written
+from .neardup import SPACE, mix, powers, word_hashes
 
 U, U4 = np.uint64, np.uint32
 END = 255  # no UTF-8 text has this byte
@@ -85,18 +88,20 @@ class Stream:
         so_far = (prefix[:-1] - prefix[word]) * inv[word]
         two, four = back[0] | back[1] << U4(8), back[0] | back[1] << U4(8) | back[2] << U4(16) | back[3] << U4(24)
         ctx = [(two + U4(1)) * U4(0x85EBCA6B), (four ^ four >> U4(15)) * U4(0xC2B2AE35) + U4(7), (mix(so_far + U(3)) >> U(32)).astype(U4)]
-        self.edges = np.array([0, n])
+        j = np.zeros(n, np.uint16)
         if block:
             j = np.minimum(at // block, 65535).astype(np.uint16)
             order = np.argsort(j, kind="stable")
-            data, doc, ctx = data[order], doc[order], [c[order] for c in ctx]
-            self.edges = np.concatenate([[0], np.cumsum(np.bincount(j))])
+            data, doc, ctx, j = data[order], doc[order], [c[order] for c in ctx], j[order]
         size = code.size[data]
-        first = np.cumsum(size) - size
-        self.edges = np.append(first, size.sum())[self.edges]
+        first = np.append(np.cumsum(size) - size, size.sum())
+        # Segments: bits of one text in one block. Steps: segments of one block.
+        seg = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (j[1:] != j[:-1])]))
+        self.seg, self.seg_doc = first[np.append(seg, n)], doc[seg]
+        self.steps = np.concatenate([[0], np.cumsum(np.bincount(j[seg]))])
+        first = first[:-1]
         path = np.repeat(code.start[data] - first, size) + np.arange(size.sum())
         self.bit, node = code.bit[path], code.node[path]
-        self.doc = np.repeat(doc, size)
         self._ctx, self._node, self._size = ctx, node, size
 
     def slots(self, k: int, bits: int) -> np.ndarray:
@@ -121,54 +126,79 @@ class Model:
         self.weights[:, K] = 0
         self.map = np.tile(1 / (1 + np.exp(-(np.arange(BUCKETS) - 16) / 2)), (GATES, 1)).astype(np.float32)
 
-    def mixed(self, texts: list[bytes], block: int, rate: float, shared: bool = False) -> tuple[Stream, np.ndarray, np.ndarray]:
-        """Each decision's mixed prediction (logistic), and its gate; the weights learn by block, per text or (to fit) for all."""
-        s = Stream(self.code, texts, block)
+    def inputs(self, s: Stream) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each table's prediction of each decision (0: not known), and the gate: which are known."""
         inputs = [self.tables[k][s.slots(k, self.bits)] for k in range(K)]
-        gate = sum((x != 0).astype(np.int32) << k for k, x in enumerate(inputs))
-        w = np.tile(self.weights, (1 if shared else len(texts), 1))
-        which = gate if shared else s.doc * GATES + gate
-        dots = np.empty(len(gate), np.float32)
-        for a, e in zip(s.edges[:-1].tolist(), s.edges[1:].tolist(), strict=True):
-            i = which[a:e]
-            own = w[i]
-            dot = own[:, K] * np.float32(0.5)
-            for k in range(K):
-                dot += own[:, k] * inputs[k][a:e]
-            dots[a:e] = dot
-            if e == len(gate) and not shared:
-                break
-            err = s.bit[a:e] - 1 / (1 + np.exp(-dot))
-            scale = rate / (np.bincount(i, minlength=len(w)) + 60)
+        gate = (inputs[0] != 0).astype(np.uint8)
+        for k in range(1, K):
+            gate |= (inputs[k] != 0).view(np.uint8) << np.uint8(k)
+        return inputs, gate
+
+    def mixed(self, texts: list[bytes], block: int, rate: float) -> tuple[Stream, np.ndarray, np.ndarray, np.ndarray]:
+        """Each decision's mixed prediction, as logarithm of odds and as probability, and its gate.
+
+        The gate's weights are scaled by factors of the text, which learn online, a block at a time.
+        """
+        s = Stream(self.code, texts, block)
+        inputs, gate = self.inputs(s)
+        factor = np.ones((len(texts), K + 1), np.float32)
+        dots, ps = np.empty(len(gate), np.float32), np.empty(len(gate), np.float32)
+        for a, e in zip(s.steps[:-1].tolist(), s.steps[1:].tolist(), strict=True):
+            lo, hi = int(s.seg[a]), int(s.seg[e])
+            docs, size, g = s.seg_doc[a:e], np.diff(s.seg[a : e + 1]), gate[lo:hi]
+            xs = [self.weights[:, k][g] for k in range(K + 1)]
+            own = factor[docs]
+            dot = dots[lo:hi]
+            dot[:] = xs[K] * np.repeat(own[:, K], size)
             for k in range(K):
-                w[:, k] += (scale * np.bincount(i, err * inputs[k][a:e], minlength=len(w))).astype(np.float32)
-            w[:, K] += (scale * np.bincount(i, err * 0.5, minlength=len(w))).astype(np.float32)
-        if shared:
-            self.weights = w
-        return s, dots, gate
+                xs[k] *= inputs[k][lo:hi]
+                dot += xs[k] * np.repeat(own[:, k], size)
+            p = ps[lo:hi]
+            np.exp(-dot, out=p)
+            p += 1
+            np.divide(1, p, out=p)
+            if e < len(s.seg_doc):
+                err = s.bit[lo:hi] - p
+                step = (rate / (size + 60)).astype(np.float32)
+                for k in range(K + 1):
+                    factor[docs, k] += step * np.add.reduceat(err * xs[k], s.seg[a:e] - lo)
+        return s, dots, ps, gate
 
     def fit(self, texts: list[bytes]) -> None:
-        """Weights, then the map, on a bounded sample."""
+        """Weights by online steps over a bounded sample, then the map."""
         if not texts:
             return
+        w = self.weights
+        s = Stream(self.code, texts, 64)
+        inputs, gate = self.inputs(s)
         for rate in (0.8, 0.4, 0.2):
-            self.mixed(texts, 64, rate, shared=True)
-        s, dot, gate = self.mixed(texts, 512, 0.3)
-        i = gate * BUCKETS + self.bucket(dot)
+            for a, e in zip(s.steps[:-1].tolist(), s.steps[1:].tolist(), strict=True):
+                part = slice(int(s.seg[a]), int(s.seg[e]))
+                g = gate[part]
+                xs = [x[part] for x in inputs] + [np.ones(len(g), np.float32)]
+                err = s.bit[part] - 1 / (1 + np.exp(-sum(w[:, k][g] * x for k, x in enumerate(xs))))
+                scale = rate / (np.bincount(g, minlength=GATES) + 60)
+                for k, x in enumerate(xs):
+                    w[:, k] += (scale * np.bincount(g, err * x, minlength=GATES)).astype(np.float32)
+        s, dot, _, gate = self.mixed(texts, 512, 0.3)
+        i = gate.astype(np.int64) * BUCKETS + self.bucket(dot)
         n, one = (np.bincount(i, x, minlength=GATES * BUCKETS) for x in (np.ones(len(i)), s.bit))
         self.map = ((one + 20 * self.map.ravel()) / (n + 20)).reshape(GATES, BUCKETS).astype(np.float32)
 
     @staticmethod
     def bucket(dot: np.ndarray) -> np.ndarray:
-        return np.clip(dot * 2 + 16.5, 0, BUCKETS - 1).astype(np.int32)
+        return np.clip(dot * 2 + np.float32(16.5), 0, BUCKETS - 1).astype(np.int16)
 
     def log10(self, texts: list[bytes], block: int = 512, rate: float = 0.3) -> np.ndarray:
         """log10 probability of each text."""
-        s, dot, gate = self.mixed(texts, block, rate)
-        p = 1 / (1 + np.exp(-dot))
-        p = 0.5 * p + 0.5 * self.map.ravel()[gate * BUCKETS + self.bucket(dot)]
-        p = np.where(s.bit, p, 1 - p)
-        return np.bincount(s.doc, np.log10(np.maximum(p, 1e-7)), minlength=len(texts))
+        s, dot, p, gate = self.mixed(texts, block, rate)
+        q = self.map.ravel()[gate * np.int16(BUCKETS) + self.bucket(dot)]
+        p += q
+        p *= 0.5
+        p = np.abs((s.bit ^ 1) - p)  # of what came
+        np.maximum(p, 1e-7, out=p)
+        per_segment = np.add.reduceat(np.log(p).astype(np.float64), s.seg[:-1])
+        return np.bincount(s.seg_doc, per_segment, minlength=len(texts)) / math.log(10)
 
 
 def held_out(doc: str) -> Column:
@@ -230,60 +260,188 @@ def fitted(docs: DataFrame, *, most_bits: int, sample_docs: int, sample_bytes: i
     return model
 
 
-def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, most_bits: int = 22, sample_docs: int = 200, sample_bytes: int = 4000) -> DataFrame:
-    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    ship(docs.sparkSession)
-    d = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fitted(d.select("uid", "held", "text"), most_bits=most_bits, sample_docs=sample_docs, sample_bytes=sample_bytes))
-    n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(n_bytes / block_bytes))
-    d = d.select(F.pmod("uid", F.lit(n_blocks)).alias("blk"), "doc_id", "held", "text")
-    ask_schema = T._parse_datatype_string("word binary, blk bigint, n bigint")
-    ask_arrow = _arrow(ask_schema)
+def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts, each text's words and then its end; tokens of each text."""
+    lows = [(t or b"").translate(LOWER) for t in texts]
+    data = b"\n".join(x + b" \xff" for x in lows) + b"\n"  # the byte that no text has stands for the end
+    h, starts = word_hashes(data)
+    n = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(x) + 3 for x in lows)])))
+    return h.view(np.int64), n
+
+
+def counted(hashes: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and their counts."""
+    if not hashes:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    u, inv = np.unique(np.concatenate(hashes), return_inverse=True)
+    return u, np.bincount(inv, None if counts is None else np.concatenate(counts), minlength=len(u)).astype(np.int64)
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """h, c: each distinct token of the training texts and its count; tasks send a row for each of their distinct tokens."""
+    schema = T._parse_datatype_string("h bigint, n bigint")
+    arrow = _arrow(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs: list[np.ndarray] = []
+        ns: list[np.ndarray] = []
+        for batch in chunks(batches, 0, 1 << 20):
+            h, n = np.unique(token_hashes(batch.column(0).to_pylist())[0], return_counts=True)
+            hs.append(h)
+            ns.append(n)
+            if sum(map(len, hs)) > 4_000_000:
+                h, n = counted(hs, ns)
+                hs, ns = ([h], [n]) if len(h) < 2_000_000 else ([], [])
+                if not hs:
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], schema=arrow)
+        h, n = counted(hs, ns)
+        for at in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=arrow)
+
+    return train.select("text").mapInArrow(count, schema).groupBy("h").agg(F.sum("n").alias("c"))
+
+
+PARTS = 64
+
+
+class Vocabulary:
+    """Counts of words by hash in sorted files of the shared folder, mapped, not loaded; a file for each of the highest six bits."""
+
+    def __init__(self, folder: str):
+        self.parts = []
+        for i in range(PARTS):
+            path = local_file(f"{folder}/{i}")
+            x = np.memmap(path, np.int64, "r") if path else np.empty(0, np.int64)
+            self.parts.append((x[: len(x) // 2], x[len(x) // 2 :]))
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        u, inv = np.unique(h, return_inverse=True)
+        out = np.zeros(len(u), np.int64)
+        cut = np.searchsorted(u >> 58, np.arange(-PARTS // 2, PARTS // 2 + 1))
+        for i, (a, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            keys, values = self.parts[i]
+            if a < e and len(keys):
+                at = np.minimum(np.searchsorted(keys, u[a:e]), len(keys) - 1)
+                out[a:e] = np.where(keys[at] == u[a:e], values[at], 0)
+        return out[inv]
+
+
+def local_file(uri: str) -> str | None:
+    """A path to the file's bytes; what is not on a mounted file system is copied to this process's temporary folder."""
+    fs, path = pa_fs.FileSystem.from_uri(uri)
+    if fs.get_file_info(path).type != pa_fs.FileType.File:
+        return None
+    if isinstance(fs, pa_fs.LocalFileSystem):
+        return path
+    with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(delete=False) as out:
+        out.write(f.read())
+    return out.name
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(folder: str) -> Vocabulary:
+    if folder not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[folder] = Vocabulary(folder)
+    return _vocabularies[folder]
+
+
+def write_vocabulary(known: DataFrame, folder: str) -> None:
+    def save(group):
+        h, c = group.column("h").to_numpy(), group.column("c").to_numpy()
+        order = np.argsort(h)
+        fs, path = pa_fs.FileSystem.from_uri(f"{folder}/{int(h[0] >> 58) + PARTS // 2}")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
+        with fs.open_output_stream(tmp) as f:
+            f.write(np.concatenate([h[order], c[order]]).tobytes())
+        fs.move(tmp, path)
+        return pa.table({"n": [len(h)]})
+
+    known.groupBy(F.expr("shiftright(h, 58)")).applyInArrow(save, "n bigint").agg(F.sum("n")).collect()
+
+
+def tokens_scored(texts: list, counts: np.ndarray, n: np.ndarray) -> dict:
+    """part: the sum of log10(c + 1) over a text's tokens; what that is divided by is the same for all texts."""
+    starts = np.cumsum(n) - n  # every text has its end, so none is empty
+    return {"n_tokens": n.tolist(), "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts).tolist(), "part": np.add.reduceat(np.log10(counts + 1.0), starts).tolist(), "n_bytes": [len(t or b"") for t in texts]}
+
+
+SCORED = "n_tokens bigint, n_known bigint, part double, n_bytes bigint, score double"
+
+
+def scored_by_files(d: DataFrame, known: DataFrame, model) -> DataFrame:
+    """For a vocabulary of checked size: its files are read where the documents are."""
+    folder = f"{shared_dir(d.sparkSession)}/words"
+    write_vocabulary(known, folder)
+
+    def fn(texts: list) -> dict:
+        h, n = token_hashes(texts)
+        return tokens_scored(texts, vocabulary(folder).counts(h), n) | {"score": np.concatenate([model.value.log10(part) for part in sliced(texts)]).tolist()}
+
+    return map_texts(d, fn, SCORED, keep=("doc_id", "held"))
+
+
+def sliced(texts: list, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in runs of about `most` bytes."""
+    part, size = [], 0
+    for t in texts:
+        t = t or b""
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def scored_by_blocks(d: DataFrame, known: DataFrame, model, block_bytes: int) -> DataFrame:
+    """For any vocabulary: documents are dealt to blocks of bounded size, a block asks once for each of its words, and the counts come back to it."""
+    n_blocks = max(1, math.ceil((d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("blk"), "doc_id", "held", "text")
 
     def ask(group):
-        """Each word of the block once, with its count in the block's training texts; the end is the empty word."""
-        counts: dict[bytes, int] = {b"": 0}
-        for batch in group.to_batches(2000):
-            for t, held in zip(batch.column("text").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                words = (t or b"").translate(LOWER).split()
-                if held:
-                    for w in words:
-                        counts.setdefault(w, 0)
-                else:
-                    counts[b""] += 1
-                    for w in words:
-                        counts[w] = counts.get(w, 0) + 1
-        return pa.table([pa.array(list(counts), pa.binary()), pa.array(np.full(len(counts), group.column("blk")[0].as_py())), pa.array(list(counts.values()), pa.int64())], schema=ask_arrow)
-
-    # Asked words are dealt out once, for their sums and for the answers (at most a row for each block).
-    asked = d.groupBy("blk").applyInArrow(ask, ask_schema).repartition("word")
-    known = asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
-    answers = asked.join(known, "word").select("blk", "word", "c")
-    totals = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc].dataType), *T._parse_datatype_string("held_out boolean, n_tokens bigint, n_known bigint, part double, score double, n_bytes bigint").fields])
+        h = np.unique(np.concatenate([token_hashes(b.column("text").to_pylist())[0] for b in group.to_batches(2000)]))
+        return pa.table({"h": h, "blk": np.full(len(h), group.column("blk")[0].as_py(), np.int64)})
+
+    answers = d.groupBy("blk").applyInArrow(ask, "h bigint, blk bigint").join(known, "h")
+    schema = T.StructType([d.schema["doc_id"], d.schema["held"], *T._parse_datatype_string(SCORED).fields])
     arrow = _arrow(schema)
 
     def score(left, right):
-        """part: the sum of log10(c + 1); what it is divided by is the same for all documents."""
-        get = dict(zip(right.column("word").to_pylist(), np.log10(right.column("c").to_numpy() + 1.0).tolist(), strict=True)).get
-        out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "part", "score", "n_bytes")}
+        keys, values = right.column("h").to_numpy(), right.column("c").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out: dict[str, list] = {f.name: [] for f in schema.fields[2:]}
         for batch in chunks(iter(left.select(["doc_id", "held", "text"]).to_batches()), 2, 1 << 20):
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for t in texts:
-                words = t.translate(LOWER).split()
-                words.append(b"")
-                logs = [x for x in map(get, words) if x is not None]
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(len(logs))
-                out["part"].append(math.fsum(logs))
-                out["n_bytes"].append(len(t))
-            out["score"] += model.value.log10(texts).tolist()
-        return pa.table([left.column("doc_id"), left.column("held"), *(pa.array(out[n], arrow.field(n).type) for n in ("n_tokens", "n_known", "part", "score", "n_bytes"))], schema=arrow)
-
-    rows = d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score, schema)
-    n, v = totals.select("n").scalar(), totals.select("v").scalar()
-    base = F.col("part") - F.col("n_tokens") * F.log10((n + v + 1).cast("double"))
+            texts = batch.column(2).to_pylist()
+            h, n = token_hashes(texts)
+            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+            counts = np.where(keys[at] == h, values[at], 0) if len(keys) else np.zeros(len(h), np.int64)
+            got = tokens_scored(texts, counts, n) | {"score": np.concatenate([model.value.log10(part) for part in sliced(texts)]).tolist()}
+            for k, v in got.items():
+                out[k] += v
+        return pa.table([left.column("doc_id"), left.column("held"), *(pa.array(out[f.name], arrow.field(f.name).type) for f in schema.fields[2:])], schema=arrow)
+
+    return d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score, schema)
+
+
+def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, most_bits: int = 22, sample_docs: int = 200, sample_bytes: int = 4000, small_words: int = 16_000_000) -> DataFrame:
+    """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    Words are known by 64-bit hashes. A vocabulary of at most small_words (16 bytes each) is read from files by every task; a larger one is joined by blocks.
+    """
+    ship(docs.sparkSession)
+    d = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(d.select("uid", "held", "text"), most_bits=most_bits, sample_docs=sample_docs, sample_bytes=sample_bytes))
+    known = written(word_counts(d.where("not held")), shared_dir(docs.sparkSession), "words")
+    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    d = d.drop("uid")
+    rows = scored_by_files(d, known, model) if v <= small_words else scored_by_blocks(d, known, model, block_bytes)
+    base = F.col("part") - F.col("n_tokens") * math.log10(n + v + 1)
     return rows.select(
-        F.col("doc_id").alias(doc), "held_out", "n_tokens", "n_known", n.alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")
+        F.col("doc_id").alias(doc), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")
     )
