@@ -61,9 +61,9 @@ def char_class(c: str) -> int:
 
 
 def log_p(run: str) -> float:
-    """-log10 of the combined p-value that the run is language; 0 for one without two classes of characters."""
+    """-log10 of the combined p-value that the run is language; 0 for one without two of small letters, capitals, digits (marks join words)."""
     n = len(run)
-    kinds = [char_class(c) for c in run]
+    kinds = [k for k in map(char_class, run) if k < 3]
     if len(set(kinds)) < 2:
         return 0.0
     _, alphabet, chi, change = next(e for e in ENCODINGS if set(run) <= set(e[1]))
@@ -73,7 +73,8 @@ def log_p(run: str) -> float:
     # Without repeats x2 is k / n - 1 at least; language adds chi.
     z_chi = (chi + (k - 1) / n - x2) / math.sqrt(2 * (k - 1) / n**2 + 4 * chi / n + 1e-9)
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
-    z_runs = (changes - change * (n - 1)) / math.sqrt(change * (1 - change) * (n - 1))
+    pairs = len(kinds) - 1
+    z_runs = (changes - change * pairs) / math.sqrt(change * (1 - change) * pairs)
     code = np.array([alphabet.index(c) for c in run], float)
     code -= code.mean()
     var = (code**2).mean()
