@@ -57,7 +57,7 @@ def sized(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 1000) -> DataFrame:
+def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 1000, small_classes: int = 500_000) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, copies, and the columns to carry (as a struct `row`)."""
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))  # never null, so that keys can be joined and dealt alike
@@ -66,8 +66,11 @@ def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: st
     counts = written(d.select("doc_id", "src", "size", "cls"), shared_dir(docs.sparkSession), "sizes")
     d = d if carry else counts
     classes = counts.groupBy("src", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    classes = written(classes, shared_dir(docs.sparkSession), "classes")
+    few = classes.limit(small_classes + 1).count() <= small_classes
     targets = source_targets(classes.groupBy("src").agg(F.sum("s").alias("source_size")), weights, most)
     info = classes.join(targets, "src").select("src", "cls", "source_size", "target", F.ceil(F.col("n") / cell_rows).cast("bigint").alias("blocks"))
+    info = F.broadcast(info) if few else info  # else what is carried is dealt out by (src, cls), where a hot source's class is large
     hashed = F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint") % 2147483648 * 2654435761 % 4294967296
     block = F.pmod(hashed, F.col("blocks")).alias("blk")
     cells = counts.join(info, ["src", "cls"]).select("src", "cls", block).groupBy("src", "cls", "blk").agg(F.count(F.lit(1)).alias("n"))
