@@ -71,10 +71,11 @@ def map_texts(
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
     setup: Callable[[], Callable[[list], dict]] | None = None,
+    chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Rows of `keep` columns and of what fn gives for the whole texts (bytes, or None for null), a list per field.
 
-    setup, if given, runs once a task and returns fn. Only `keep` and the text are read, so other columns can't clash.
+    setup, if given, runs once a task and returns fn; texts come in runs of about chunk_bytes. Only `keep` and the text are read, so other columns can't clash.
     """
     ship(docs.sparkSession)
     out = T._parse_datatype_string(fields)
@@ -84,7 +85,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = setup() if setup else fn
-        for part in chunks(batches, len(keep)):
+        for part in chunks(batches, len(keep), chunk_bytes):
             got = f(part.column(len(keep)).to_pylist())
             cols = [part.column(i) for i in range(len(keep))] + [got[n] for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)

@@ -220,7 +220,7 @@ def table_counts(train: DataFrame, code: Code, bits: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((K, 2 << bits), np.int64)
         some = False
-        for batch in chunks(batches, 0, 1 << 20):
+        for batch in chunks(batches, 0, 1 << 19):
             s = Stream(code, [t or b"" for t in batch.column(0).to_pylist()], None)
             some = True
             for k in range(K):
@@ -289,9 +289,9 @@ def word_counts(train: DataFrame) -> DataFrame:
             h, n = np.unique(token_hashes(batch.column(0).to_pylist())[0], return_counts=True)
             hs.append(h)
             ns.append(n)
-            if sum(map(len, hs)) > 4_000_000:
+            if sum(map(len, hs)) > 1_500_000:
                 h, n = counted(hs, ns)
-                hs, ns = ([h], [n]) if len(h) < 2_000_000 else ([], [])
+                hs, ns = ([h], [n]) if len(h) < 750_000 else ([], [])
                 if not hs:
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], schema=arrow)
         h, n = counted(hs, ns)
@@ -381,10 +381,10 @@ def scored_by_files(d: DataFrame, known: DataFrame, model) -> DataFrame:
         h, n = token_hashes(texts)
         return tokens_scored(texts, vocabulary(folder).counts(h), n) | {"score": np.concatenate([model.value.log10(part) for part in sliced(texts)]).tolist()}
 
-    return map_texts(d, fn, SCORED, keep=("doc_id", "held"))
+    return map_texts(d, fn, SCORED, keep=("doc_id", "held"), chunk_bytes=1 << 20)
 
 
-def sliced(texts: list, most: int = 1 << 20) -> Iterator[list[bytes]]:
+def sliced(texts: list, most: int = 1 << 19) -> Iterator[list[bytes]]:
     """Texts in runs of about `most` bytes."""
     part, size = [], 0
     for t in texts:
