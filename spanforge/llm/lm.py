@@ -6,8 +6,8 @@ so far. The tables are summed over all training documents: each task counts its
 bytes of the corpus, up to a documented most (the model is a parameter-bounded object and may be broadcast).
 
 Predictions, in the logistic domain, are mixed by weights that a gate selects (which contexts are known); the weights start from
-a fit on a bounded sample and go on learning inside each document, a block of bytes at a time; an adaptive map, fitted on that
-sample, refines the mixed probability. A document's score depends on its own text and the model only.
+a fit on all training documents (on sums of their decisions by inputs, rounded to halves) and go on learning inside each document, a block of bytes
+at a time; a map, fitted on the same sums, refines the mixed probability. A document's score depends on its own text and the model only.
 
 The unigram base needs the corpus count of every word. Vocabulary grows with the corpus: up to a checked size its sorted files are
 mapped by every task; beyond, documents are dealt to blocks of bounded size, each block asks once for each of its words, and the counts come back to the block.
@@ -23,7 +23,7 @@ import itertools
 import math
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from .neardup import SPACE, mix, powers, word_hashes
 U, U4 = np.uint64, np.uint32
 END = 255  # no UTF-8 text has this byte
 K, GATES, BUCKETS, PART = 3, 8, 33, 1 << 14
+STEPS = 38  # inputs are -9 to 9: in halves, or not known
+CELLS = STEPS**K
 SCATTER = U4(0x9E3779B1)
 
 
@@ -164,25 +166,37 @@ class Model:
                     factor[docs, k] += step * np.add.reduceat(err * xs[k], s.seg[a:e] - lo)
         return s, dots, ps, gate
 
-    def fit(self, texts: list[bytes]) -> None:
-        """Weights by online steps over a bounded sample, then the map."""
-        if not texts:
-            return
-        w = self.weights
-        s = Stream(self.code, texts, 64)
-        inputs, gate = self.inputs(s)
-        for rate in (0.8, 0.4, 0.2):
-            for a, e in zip(s.steps[:-1].tolist(), s.steps[1:].tolist(), strict=True):
-                part = slice(int(s.seg[a]), int(s.seg[e]))
-                g = gate[part]
-                xs = [x[part] for x in inputs] + [np.ones(len(g), np.float32)]
-                err = s.bit[part] - 1 / (1 + np.exp(-sum(w[:, k][g] * x for k, x in enumerate(xs))))
-                scale = rate / (np.bincount(g, minlength=GATES) + 60)
-                for k, x in enumerate(xs):
-                    w[:, k] += (scale * np.bincount(g, err * x, minlength=GATES)).astype(np.float32)
-        s, dot, _, gate = self.mixed(texts, 512, 0.3)
-        i = gate.astype(np.int64) * BUCKETS + self.bucket(dot)
-        n, one = (np.bincount(i, x, minlength=GATES * BUCKETS) for x in (np.ones(len(i)), s.bit))
+    def cells(self, texts: list[bytes]) -> np.ndarray:
+        """Decisions of the texts by cell (each input to the nearest half, or not known) and by bit."""
+        s = Stream(self.code, texts, None)
+        cell = np.zeros(len(s.bit), np.int64)
+        for x in self.inputs(s)[0]:
+            cell = cell * STEPS + np.where(x != 0, np.rint(x * 2).astype(np.int64) + STEPS // 2, 0)
+        return np.bincount(cell * 2 + s.bit, minlength=2 * CELLS)
+
+    def fit(self, counts: np.ndarray) -> None:
+        """Weights of each gate by Newton's method, then the map, from the decisions of all training texts by cell."""
+        n, one = counts.reshape(CELLS, 2).sum(1).astype(np.float64), counts[1::2].astype(np.float64)
+        used = np.flatnonzero(n)
+        n, one = n[used], one[used]
+        q = np.stack([used // STEPS ** (K - 1 - k) % STEPS for k in range(K)], 1)
+        x = np.concatenate([np.where(q > 0, (q - STEPS // 2) / 2, 0), np.ones((len(used), 1))], 1)
+        gate = ((q > 0) << np.arange(K)).sum(1)
+        dot = np.zeros(len(used))
+        for g in range(GATES):
+            at = gate == g
+            w = start = self.weights[g].astype(np.float64)
+            for _ in range(50 if at.any() else 0):
+                p = 1 / (1 + np.exp(-np.clip(x[at] @ w, -30, 30)))
+                slope = x[at].T @ (one[at] - n[at] * p) - (w - start)
+                step = np.linalg.solve((x[at].T * (n[at] * p * (1 - p))) @ x[at] + np.eye(K + 1), slope)
+                w = w + step * min(1, 0.5 / (np.abs(step).max() + 1e-12))
+                if np.abs(step).max() < 1e-6:
+                    break
+            self.weights[g] = w
+            dot[at] = x[at] @ w
+        i = gate * BUCKETS + self.bucket(dot)
+        n, one = (np.bincount(i, v, minlength=GATES * BUCKETS) for v in (n, one))
         self.map = ((one + 20 * self.map.ravel()) / (n + 20)).reshape(GATES, BUCKETS).astype(np.float32)
 
     @staticmethod
@@ -246,17 +260,38 @@ def table_counts(train: DataFrame, code: Code, bits: int) -> np.ndarray:
     return out.reshape(K, 1 << bits, 2)
 
 
-def fitted(docs: DataFrame, *, most_bits: int, sample_docs: int, sample_bytes: int) -> Model:
-    """docs: uid, held, text. Code, starting weights and map from at most sample_docs training documents; the tables from all."""
+def summed(train: DataFrame, size: int, fn: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
+    """The sum of fn's `size` counts over all texts; tasks send those that are not 0."""
+    ship(train.sparkSession)
+    schema = T._parse_datatype_string("cell int, n bigint")
+    arrow = _arrow(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in chunks(batches, 0, 1 << 19):
+            total += fn([t or b"" for t in batch.column(0).to_pylist()])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=arrow)
+
+    got = train.select("text").mapInArrow(count, schema).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def byte_counts(texts: list[bytes]) -> np.ndarray:
+    return np.bincount(np.frombuffer(b"".join(t.translate(LOWER) + b"\xff" for t in texts), np.uint8), minlength=256)
+
+
+def fitted(docs: DataFrame, *, most_bits: int = 22) -> Model:
+    """docs: held, text. Code, tables, weights and map, each from all training documents."""
     train = docs.where("not held")
-    bound = train.select("uid").orderBy("uid").limit(sample_docs).agg(F.max("uid")).first()[0]
-    rows = train.where(F.lit(False) if bound is None else F.col("uid") <= bound).select("uid", F.substring("text", 1, sample_bytes).alias("text")).orderBy("uid").limit(sample_docs).collect()
-    texts = [bytes(r.text or b"") for r in rows]
-    code = Code(np.bincount(np.frombuffer(b"\xff".join(t.translate(LOWER) for t in texts) + b"\xff", np.uint8), minlength=256))
+    code = Code(summed(train, 256, byte_counts))
     n_bytes = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = table_bits(n_bytes, most_bits)
     model = Model(code, bits, table_counts(train, code, bits))
-    model.fit(texts)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    model.fit(summed(train, 2 * CELLS, lambda texts: held.value.cells(texts)))
     return model
 
 
@@ -429,17 +464,16 @@ def scored_by_blocks(d: DataFrame, known: DataFrame, model, block_bytes: int) ->
     return d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score, schema)
 
 
-def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, most_bits: int = 22, sample_docs: int = 200, sample_bytes: int = 4000, small_words: int = 16_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, most_bits: int = 22, small_words: int = 16_000_000) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Words are known by 64-bit hashes. A vocabulary of at most small_words (16 bytes each) is read from files by every task; a larger one is joined by blocks.
     """
     ship(docs.sparkSession)
-    d = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fitted(d.select("uid", "held", "text"), most_bits=most_bits, sample_docs=sample_docs, sample_bytes=sample_bytes))
+    d = docs.select(F.col(doc).alias("doc_id"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(d.select("held", "text"), most_bits=most_bits))
     known = written(word_counts(d.where("not held")), shared_dir(docs.sparkSession), "words")
     n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    d = d.drop("uid")
     rows = scored_by_files(d, known, model) if v <= small_words else scored_by_blocks(d, known, model, block_bytes)
     base = F.col("part") - F.col("n_tokens") * math.log10(n + v + 1)
     return rows.select(

@@ -314,6 +314,17 @@ def test_likelihood():
         assert (merged == sk.registers([np.union1d(a, b)])[0]).all()  # registers fall as minima fall: the larger is the smaller minimum
 
 
+def test_scores_fit_whole_texts(spark):
+    """What stands after byte 4000, and beyond 200 documents, is in the code and in the sums that weights and map are fitted on."""
+    texts = [b"a" * 5000 + b"Z" * 9000] + [b"a b"] * 400 + [b"q" * 50, None]
+    train = spark.createDataFrame([(t,) for t in texts], "text binary").repartition(5)
+    n = lm.summed(train, 256, lm.byte_counts)
+    assert n[ord("z")] == 9000 and n[ord("q")] == 50 and n[255] == len(texts)
+    model = lm.fitted(train.selectExpr("false AS held", "text"))
+    assert model.code.size[ord("z")] <= 2
+    assert lm.fitted(train.selectExpr("true AS held", "text")).log10([b"ab"])[0] < 0
+
+
 def test_personal_data():
     tagger = pii.trained([prose(random.Random(1), 300)] * 3, windows=600, steps=120)
     ids, gold = pii.examples([prose(random.Random(2), 300)], 200, 64, seed=77)
