@@ -1,16 +1,16 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors, and a smoothed unigram base.
 
 A text is its lower-cased bytes and an end mark. Each byte is a few binary decisions along a Huffman code; a decision's predictors are
-counts of zeros and ones in tables hashed by (context, place in the code), for three contexts: the last two bytes, the last four, the word
-so far. The tables are summed over all training documents: each task counts its own, in chunks that are then added up. Their size follows the
-bytes of the corpus, up to a documented most (the model is a parameter-bounded object and may be broadcast).
+counts of zeros and ones in tables keyed by (context, place in the code), for three contexts: the last two bytes, the last four, the word
+so far. The tables have an entry for every context of the training documents, found by 56 bits of its hash, so what was not seen is not known: each
+task counts its own pairs of a context and its next byte, Spark adds them up, and they are read as the words' counts are (below).
 
 Predictions, in the logistic domain, are mixed by weights that a gate selects (which contexts are known); the weights start from
 a fit on all training documents (on sums of their decisions by inputs, rounded to halves) and go on learning inside each document, a block of bytes
 at a time; a map, fitted on the same sums, refines the mixed probability. A document's score depends on its own text and the model only.
 
-The unigram base needs the corpus count of every word. Vocabulary grows with the corpus: up to a checked size its sorted files are
-mapped by every task; beyond, documents are dealt to blocks of bounded size, each block asks once for each of its words, and the counts come back to the block.
+The unigram base needs the corpus count of every word. Vocabulary and contexts grow with the corpus: up to a checked size their sorted files are
+mapped by every task; beyond, documents are dealt to blocks of bounded size, each block asks once for each of its keys, and the values come back to the block.
 
 Nulls: a null text is empty (just the end); a null id counts as training. Repeated rows count as often as they come. Without training
 documents N = 0 and the tables are empty: every bit costs one bit.
@@ -22,7 +22,6 @@ import heapq
 import itertools
 import math
 import tempfile
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,11 +36,12 @@ from .common import LOWER, _arrow, chunks, map_texts, shared_dir, ship, written
 from .neardup import SPACE, mix, powers, word_hashes
 
 U, U4 = np.uint64, np.uint32
+#: Values of keys, in the order of their contexts; 0 where a key is not known.
+Lookup = Callable[[np.ndarray], np.ndarray]
 END = 255  # no UTF-8 text has this byte
-K, GATES, BUCKETS, PART = 3, 8, 33, 1 << 14
+K, GATES, BUCKETS = 3, 8, 33
 STEPS = 38  # inputs are -9 to 9: in halves, or not known
 CELLS = STEPS**K
-SCATTER = U4(0x9E3779B1)
 
 
 class Code:
@@ -67,29 +67,42 @@ class Code:
         self.start = np.cumsum(self.size) - self.size
         flat = [x for p in paths for x in p]
         self.bit = np.array([b for _, b in flat], np.uint8)
-        self.node = (mix(np.array([n for n, _ in flat], U) + U(1)) >> U(32)).astype(U4)
+        self.node = np.array([n for n, _ in flat], np.int64)  # 0 to 254
+
+
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each byte of the texts, lower-cased, and their ends: the byte, its text, its place there, and a hash of each context, whose low 8 bits are 0."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    starts = np.concatenate([[0], ends[:-1]])
+    data = np.frombuffer(b"\xff".join(t.translate(LOWER) for t in texts) + b"\xff", np.uint8)
+    n = len(data)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), ends - starts)
+    at = np.arange(n) - starts[doc]
+    back = [np.concatenate([np.full(j, END, U4), data[:-j].astype(U4)]) if n > j else np.full(n, END, U4) for j in range(1, 5)]
+    for j in range(2, 5):
+        back[j - 1][at < j] = END  # nothing of the text before
+    cut = np.where(SPACE[data] | (data == END), np.arange(1, n + 1), 0)
+    word = np.concatenate([[0], np.maximum.accumulate(cut)[:-1]])
+    p, inv = powers(n + 1)
+    prefix = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * p[:n], dtype=U)])
+    so_far = (prefix[:-1] - prefix[word]) * inv[word]
+    two, four = back[0] | back[1] << U4(8), back[0] | back[1] << U4(8) | back[2] << U4(16) | back[3] << U4(24)
+    ctx = [mix(two.astype(U) + (U(1) << U(40))), mix(four.astype(U) + (U(2) << U(40))), mix(mix(so_far + U(3)))]
+    return data, doc, at, [(c & ~U(255)).view(np.int64) for c in ctx]
+
+
+def pairs(texts: list[bytes]) -> np.ndarray:
+    """A key for each context of each byte: the context's hash, with the byte as the low 8 bits."""
+    data, _, _, ctx = contexts(texts)
+    return np.concatenate([c | data for c in ctx])
 
 
 class Stream:
     """Texts as bits: decisions of all bytes, in the order of blocks (the first block of each text, then the second, ...)."""
 
     def __init__(self, code: Code, texts: list[bytes], block: int | None):
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        starts = np.concatenate([[0], ends[:-1]])
-        data = np.frombuffer(b"\xff".join(t.translate(LOWER) for t in texts) + b"\xff", np.uint8)
+        data, doc, at, ctx = contexts(texts)
         n = len(data)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), ends - starts)
-        at = np.arange(n) - starts[doc]
-        back = [np.concatenate([np.full(j, END, U4), data[:-j].astype(U4)]) if n > j else np.full(n, END, U4) for j in range(1, 5)]
-        for j in range(2, 5):
-            back[j - 1][at < j] = END  # nothing of the text before
-        cut = np.where(SPACE[data] | (data == END), np.arange(1, n + 1), 0)
-        word = np.concatenate([[0], np.maximum.accumulate(cut)[:-1]])
-        p, inv = powers(n + 1)
-        prefix = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * p[:n], dtype=U)])
-        so_far = (prefix[:-1] - prefix[word]) * inv[word]
-        two, four = back[0] | back[1] << U4(8), back[0] | back[1] << U4(8) | back[2] << U4(16) | back[3] << U4(24)
-        ctx = [(two + U4(1)) * U4(0x85EBCA6B), (four ^ four >> U4(15)) * U4(0xC2B2AE35) + U4(7), (mix(so_far + U(3)) >> U(32)).astype(U4)]
         j = np.zeros(n, np.uint16)
         if block:
             j = np.minimum(at // block, 65535).astype(np.uint16)
@@ -101,48 +114,61 @@ class Stream:
         seg = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (j[1:] != j[:-1])]))
         self.seg, self.seg_doc = first[np.append(seg, n)], doc[seg]
         self.steps = np.concatenate([[0], np.cumsum(np.bincount(j[seg]))])
-        first = first[:-1]
-        path = np.repeat(code.start[data] - first, size) + np.arange(size.sum())
-        self.bit, node = code.bit[path], code.node[path]
-        self._ctx, self._node, self._size = ctx, node, size
+        self.code, self._data, self._ctx, self._size, self._first = code, data, ctx, size, first[:-1]
+        self.bit = code.bit[np.repeat(code.start[data] - self._first, size) + np.arange(first[-1])]
 
-    def slots(self, k: int, bits: int) -> np.ndarray:
-        h = np.repeat(self._ctx[k], self._size)
-        h ^= self._node
-        h *= SCATTER
-        h ^= h >> U4(16)
-        h *= U4(0x7FEB352D)
-        h >>= U4(32 - bits)
-        return h.astype(np.int64)
+    def inputs(self, k: int, lookup: Lookup) -> np.ndarray:
+        """Table k's prediction of each decision; each distinct context and byte is looked up once."""
+        u, inv = np.unique(self._ctx[k] | self._data, return_inverse=True)
+        keys, _, start = decisions(self.code, u)
+        x = lookup(keys).astype(np.float32)
+        return x[np.repeat(start[inv] - self._first, self._size) + np.arange(len(self.bit))]
+
+
+def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions of pairs: key (the context's hash, with the place in the code as the low 8 bits) and index of the path; where each pair's begin."""
+    byte = pair & 255
+    size = code.size[byte]
+    start = np.cumsum(size) - size
+    path = np.repeat(code.start[byte] - start, size) + np.arange(size.sum())
+    return np.repeat(pair & ~255, size) | code.node[path], path, start
+
+
+def logits(code: Code, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table of the counted pairs: sorted keys of decisions, and their logarithms of odds, which are never 0 (not known)."""
+    keys, path, _ = decisions(code, pair)
+    n = np.repeat(count, code.size[pair & 255]).astype(np.float64)
+    u, inv = np.unique(keys, return_inverse=True)
+    one = np.bincount(inv, n * code.bit[path], minlength=len(u))
+    zero = np.bincount(inv, n * (1 - code.bit[path].astype(np.float64)), minlength=len(u))
+    x = np.clip(np.log((one + 0.2) / (zero + 0.2)), -9, 9)
+    return u, np.where(np.abs(x) < 1e-6, 1e-6, x)
 
 
 class Model:
-    """Tables of logistic predictions, starting weights by gate, adaptive map."""
+    """Code, starting weights by gate, map. The tables of predictions are looked up."""
 
-    def __init__(self, code: Code, bits: int, counts: np.ndarray):
-        """counts: (K, slots, 2)."""
-        self.code, self.bits = code, bits
-        zero, one = counts[:, :, 0].astype(np.float64), counts[:, :, 1].astype(np.float64)
-        self.tables = np.clip(np.log((one + 0.2) / (zero + 0.2)), -9, 9).astype(np.float32)
+    def __init__(self, code: Code):
+        self.code = code
         self.weights = np.full((GATES, K + 1), 0.4, np.float32)
         self.weights[:, K] = 0
         self.map = np.tile(1 / (1 + np.exp(-(np.arange(BUCKETS) - 16) / 2)), (GATES, 1)).astype(np.float32)
 
-    def inputs(self, s: Stream) -> tuple[list[np.ndarray], np.ndarray]:
+    def inputs(self, s: Stream, lookup: Lookup) -> tuple[list[np.ndarray], np.ndarray]:
         """Each table's prediction of each decision (0: not known), and the gate: which are known."""
-        inputs = [self.tables[k][s.slots(k, self.bits)] for k in range(K)]
+        inputs = [s.inputs(k, lookup) for k in range(K)]
         gate = (inputs[0] != 0).astype(np.uint8)
         for k in range(1, K):
             gate |= (inputs[k] != 0).view(np.uint8) << np.uint8(k)
         return inputs, gate
 
-    def mixed(self, texts: list[bytes], block: int, rate: float) -> tuple[Stream, np.ndarray, np.ndarray, np.ndarray]:
+    def mixed(self, texts: list[bytes], lookup: Lookup, block: int, rate: float) -> tuple[Stream, np.ndarray, np.ndarray, np.ndarray]:
         """Each decision's mixed prediction, as logarithm of odds and as probability, and its gate.
 
         The gate's weights are scaled by factors of the text, which learn online, a block at a time.
         """
         s = Stream(self.code, texts, block)
-        inputs, gate = self.inputs(s)
+        inputs, gate = self.inputs(s, lookup)
         factor = np.ones((len(texts), K + 1), np.float32)
         dots, ps = np.empty(len(gate), np.float32), np.empty(len(gate), np.float32)
         for a, e in zip(s.steps[:-1].tolist(), s.steps[1:].tolist(), strict=True):
@@ -166,11 +192,11 @@ class Model:
                     factor[docs, k] += step * np.add.reduceat(err * xs[k], s.seg[a:e] - lo)
         return s, dots, ps, gate
 
-    def cells(self, texts: list[bytes]) -> np.ndarray:
+    def cells(self, texts: list[bytes], lookup: Lookup) -> np.ndarray:
         """Decisions of the texts by cell (each input to the nearest half, or not known) and by bit."""
         s = Stream(self.code, texts, None)
         cell = np.zeros(len(s.bit), np.int64)
-        for x in self.inputs(s)[0]:
+        for x in self.inputs(s, lookup)[0]:
             cell = cell * STEPS + np.where(x != 0, np.rint(x * 2).astype(np.int64) + STEPS // 2, 0)
         return np.bincount(cell * 2 + s.bit, minlength=2 * CELLS)
 
@@ -203,9 +229,9 @@ class Model:
     def bucket(dot: np.ndarray) -> np.ndarray:
         return np.clip(dot * 2 + np.float32(16.5), 0, BUCKETS - 1).astype(np.int16)
 
-    def log10(self, texts: list[bytes], block: int = 512, rate: float = 0.3) -> np.ndarray:
+    def log10(self, texts: list[bytes], lookup: Lookup, block: int = 512, rate: float = 0.3) -> np.ndarray:
         """log10 probability of each text."""
-        s, dot, p, gate = self.mixed(texts, block, rate)
+        s, dot, p, gate = self.mixed(texts, lookup, block, rate)
         q = self.map.ravel()[gate * np.int16(BUCKETS) + self.bucket(dot)]
         p += q
         p *= 0.5
@@ -219,47 +245,6 @@ def held_out(doc: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def table_bits(n_bytes: int, most: int) -> int:
-    """Slots of a table: about one for 1024 bytes of the corpus, 2^16 to 2^most."""
-    return min(most, max(16, math.ceil(math.log2(max(1, n_bytes) / 1024))))
-
-
-def table_counts(train: DataFrame, code: Code, bits: int) -> np.ndarray:
-    """(K, slots, 2): zeros and ones by slot, over all training texts. Tasks send compressed parts, a row each; parts are summed by key."""
-    ship(train.sparkSession)
-    schema, out_schema = T._parse_datatype_string("part int, data binary"), T._parse_datatype_string("part int, data binary")
-    arrow = _arrow(schema)
-    parts = max(1, (1 << bits) // PART)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((K, 2 << bits), np.int64)
-        some = False
-        for batch in chunks(batches, 0, 1 << 19):
-            s = Stream(code, [t or b"" for t in batch.column(0).to_pylist()], None)
-            some = True
-            for k in range(K):
-                i = s.slots(k, bits)
-                i <<= 1
-                i += s.bit
-                total[k] += np.bincount(i, minlength=2 << bits)
-        if some:
-            for part, x in enumerate(total.reshape(K * parts, -1)):
-                yield pa.RecordBatch.from_pylist([{"part": part, "data": zlib.compress(x.astype("<u4").tobytes() if x.max() < 2**32 else x.astype("<u8").tobytes(), 1)}], schema=arrow)
-
-    def add(group):
-        total = np.zeros(2 * ((1 << bits) // parts), np.int64)
-        for x in group.column("data"):
-            raw = zlib.decompress(x.as_py())
-            total += np.frombuffer(raw, "<u4" if len(raw) == 4 * len(total) else "<u8").astype(np.int64)
-        return pa.Table.from_pylist([{"part": group.column("part")[0].as_py(), "data": zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)}], schema=_arrow(out_schema))
-
-    sums = train.select(F.col("text")).mapInArrow(count, schema).groupBy("part").applyInArrow(add, out_schema)
-    out = np.zeros((K * parts, 2 * ((1 << bits) // parts)), np.uint32)
-    for r in sums.toLocalIterator():  # K * 2^bits counts, bounded by the parameter
-        out[r.part] = np.frombuffer(zlib.decompress(r.data), "<u4")
-    return out.reshape(K, 1 << bits, 2)
-
-
 def summed(train: DataFrame, size: int, fn: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
     """The sum of fn's `size` counts over all texts; tasks send those that are not 0."""
     ship(train.sparkSession)
@@ -273,7 +258,11 @@ def summed(train: DataFrame, size: int, fn: Callable[[list[bytes]], np.ndarray])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=arrow)
 
-    got = train.select("text").mapInArrow(count, schema).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return total_of(train.select("text").mapInArrow(count, schema), size)
+
+
+def total_of(cells: DataFrame, size: int) -> np.ndarray:
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -283,18 +272,6 @@ def byte_counts(texts: list[bytes]) -> np.ndarray:
     return np.bincount(np.frombuffer(b"".join(t.translate(LOWER) + b"\xff" for t in texts), np.uint8), minlength=256)
 
 
-def fitted(docs: DataFrame, *, most_bits: int = 22) -> Model:
-    """docs: held, text. Code, tables, weights and map, each from all training documents."""
-    train = docs.where("not held")
-    code = Code(summed(train, 256, byte_counts))
-    n_bytes = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = table_bits(n_bytes, most_bits)
-    model = Model(code, bits, table_counts(train, code, bits))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    model.fit(summed(train, 2 * CELLS, lambda texts: held.value.cells(texts)))
-    return model
-
-
 def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the tokens of all texts, each text's words and then its end; tokens of each text."""
     lows = [(t or b"").translate(LOWER) for t in texts]
@@ -313,7 +290,15 @@ def counted(hashes: list[np.ndarray], counts: list[np.ndarray] | None = None) ->
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """h, c: each distinct token of the training texts and its count; tasks send a row for each of their distinct tokens."""
+    return key_counts(train, lambda texts: token_hashes(texts)[0])
+
+
+def pair_counts(train: DataFrame) -> DataFrame:
+    return key_counts(train, lambda texts: pairs([t or b"" for t in texts]))
+
+
+def key_counts(train: DataFrame, keys: Callable[[list], np.ndarray]) -> DataFrame:
+    """h, c: each distinct key of the training texts and its count; tasks send a row for each of their distinct keys."""
     schema = T._parse_datatype_string("h bigint, n bigint")
     arrow = _arrow(schema)
 
@@ -321,7 +306,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         hs: list[np.ndarray] = []
         ns: list[np.ndarray] = []
         for batch in chunks(batches, 0, 1 << 20):
-            h, n = np.unique(token_hashes(batch.column(0).to_pylist())[0], return_counts=True)
+            h, n = np.unique(keys(batch.column(0).to_pylist()), return_counts=True)
             hs.append(h)
             ns.append(n)
             if sum(map(len, hs)) > 1_500_000:
@@ -339,8 +324,16 @@ def word_counts(train: DataFrame) -> DataFrame:
 PARTS = 64
 
 
+def values_of(keys: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The values of q, 0 where it is not among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(q), values.dtype)
+    at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+    return np.where(keys[at] == q, values[at], values.dtype.type(0))
+
+
 class Vocabulary:
-    """Counts of words by hash in sorted files of the shared folder, mapped, not loaded; a file for each of the highest six bits."""
+    """Values of keys in sorted files of the shared folder, mapped, not loaded; a file for each of the highest six bits."""
 
     def __init__(self, folder: str):
         self.parts = []
@@ -349,16 +342,17 @@ class Vocabulary:
             x = np.memmap(path, np.int64, "r") if path else np.empty(0, np.int64)
             self.parts.append((x[: len(x) // 2], x[len(x) // 2 :]))
 
+    def values(self, q: np.ndarray, dtype: type) -> np.ndarray:
+        """q: in the order of its highest six bits."""
+        cut = np.searchsorted(q >> 58, np.arange(-PARTS // 2, PARTS // 2 + 1))
+        return np.concatenate([values_of(k, v.view(dtype), q[a:e]) for (k, v), a, e in zip(self.parts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+
     def counts(self, h: np.ndarray) -> np.ndarray:
         u, inv = np.unique(h, return_inverse=True)
-        out = np.zeros(len(u), np.int64)
-        cut = np.searchsorted(u >> 58, np.arange(-PARTS // 2, PARTS // 2 + 1))
-        for i, (a, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-            keys, values = self.parts[i]
-            if a < e and len(keys):
-                at = np.minimum(np.searchsorted(keys, u[a:e]), len(keys) - 1)
-                out[a:e] = np.where(keys[at] == u[a:e], values[at], 0)
-        return out[inv]
+        return self.values(u, np.int64)[inv]
+
+    def logits(self, keys: np.ndarray) -> np.ndarray:
+        return self.values(keys, np.float64)
 
 
 def local_file(uri: str) -> str | None:
@@ -378,20 +372,26 @@ _vocabularies: dict[str, Vocabulary] = {}
 
 def vocabulary(folder: str) -> Vocabulary:
     if folder not in _vocabularies:
-        _vocabularies.clear()
+        for old in [x for x in _vocabularies if x.rpartition("/")[0] != folder.rpartition("/")[0]]:
+            del _vocabularies[old]
         _vocabularies[folder] = Vocabulary(folder)
     return _vocabularies[folder]
 
 
-def write_vocabulary(known: DataFrame, folder: str) -> None:
+def write_vocabulary(known: DataFrame, folder: str, code: Code | None = None) -> None:
+    """Files of the words' counts or, with a code, of the pairs' table of decisions."""
+
     def save(group):
         h, c = group.column("h").to_numpy(), group.column("c").to_numpy()
+        part = int(h[0] >> 58) + PARTS // 2
+        if code:
+            h, c = logits(code, h, c)
         order = np.argsort(h)
-        fs, path = pa_fs.FileSystem.from_uri(f"{folder}/{int(h[0] >> 58) + PARTS // 2}")
+        fs, path = pa_fs.FileSystem.from_uri(f"{folder}/{part}")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
         with fs.open_output_stream(tmp) as f:
-            f.write(np.concatenate([h[order], c[order]]).tobytes())
+            f.write(np.concatenate([h[order], c[order].view(np.int64)]).tobytes())
         fs.move(tmp, path)
         return pa.table({"n": [len(h)]})
 
@@ -407,14 +407,21 @@ def tokens_scored(texts: list, counts: np.ndarray, n: np.ndarray) -> dict:
 SCORED = "n_tokens bigint, n_known bigint, part double, n_bytes bigint, score double"
 
 
-def scored_by_files(d: DataFrame, known: DataFrame, model) -> DataFrame:
-    """For a vocabulary of checked size: its files are read where the documents are."""
-    folder = f"{shared_dir(d.sparkSession)}/words"
-    write_vocabulary(known, folder)
+def scored(texts: list, model: Model, counts: Lookup, lookup: Lookup) -> dict:
+    h, n = token_hashes(texts)
+    return tokens_scored(texts, counts(h), n) | {"score": np.concatenate([model.log10(part, lookup) for part in sliced(texts)]).tolist()}
+
+
+def scored_by_files(d: DataFrame, words: DataFrame, contexts: DataFrame, model: Model, folder: str) -> DataFrame:
+    """For tables of checked size: their files are read where the documents are."""
+    spark = d.sparkSession
+    write_vocabulary(words, f"{folder}/w")
+    write_vocabulary(contexts, f"{folder}/c", model.code)
+    model.fit(summed(d.where("not held"), 2 * CELLS, lambda texts: model.cells(texts, vocabulary(f"{folder}/c").logits)))
+    held = spark.sparkContext.broadcast(model)
 
     def fn(texts: list) -> dict:
-        h, n = token_hashes(texts)
-        return tokens_scored(texts, vocabulary(folder).counts(h), n) | {"score": np.concatenate([model.value.log10(part) for part in sliced(texts)]).tolist()}
+        return scored(texts, held.value, vocabulary(f"{folder}/w").counts, vocabulary(f"{folder}/c").logits)
 
     return map_texts(d, fn, SCORED, keep=("doc_id", "held"), chunk_bytes=1 << 20)
 
@@ -433,48 +440,80 @@ def sliced(texts: list, most: int = 1 << 19) -> Iterator[list[bytes]]:
         yield part
 
 
-def scored_by_blocks(d: DataFrame, known: DataFrame, model, block_bytes: int) -> DataFrame:
-    """For any vocabulary: documents are dealt to blocks of bounded size, a block asks once for each of its words, and the counts come back to it."""
+def scored_by_blocks(d: DataFrame, words: DataFrame, contexts: DataFrame, model: Model, folder: str, n_pairs: int, block_bytes: int) -> DataFrame:
+    """For tables of any size: documents are dealt to blocks of bounded size, a block asks once for each of its keys, and the values come back to it."""
+    code = model.code
     n_blocks = max(1, math.ceil((d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("blk"), "doc_id", "held", "text")
 
+    def expand(group):
+        h, x = logits(code, group.column("h").to_numpy(), group.column("c").to_numpy())
+        return pa.table({"kind": np.ones(len(h), np.int32), "h": h, "v": x})
+
+    groups = max(1, n_pairs // 500_000)  # all pairs of a context in one
+    tables = contexts.groupBy(F.pmod(F.shiftright("h", 8), F.lit(groups))).applyInArrow(expand, "kind int, h bigint, v double")
+    known = words.select(F.lit(0).alias("kind"), "h", F.col("c").cast("double").alias("v")).unionByName(tables)
+
     def ask(group):
-        h = np.unique(np.concatenate([token_hashes(b.column("text").to_pylist())[0] for b in group.to_batches(2000)]))
-        return pa.table({"h": h, "blk": np.full(len(h), group.column("blk")[0].as_py(), np.int64)})
+        w, c = [], []
+        for b in chunks(iter(group.select(["blk", "text"]).to_batches()), 1, 1 << 19):
+            texts = b.column(1).to_pylist()
+            w.append(np.unique(token_hashes(texts)[0]))
+            c.append(np.unique(pairs([t or b"" for t in texts])))
+        w, c = np.unique(np.concatenate(w)), np.unique(decisions(code, np.unique(np.concatenate(c)))[0])
+        return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [len(w), len(c)]), "h": np.concatenate([w, c]), "blk": np.full(len(w) + len(c), group.column("blk")[0].as_py(), np.int64)})
+
+    answers = written(d.groupBy("blk").applyInArrow(ask, "kind int, h bigint, blk bigint").join(known, ["kind", "h"]), folder, "answers")
+
+    def lookups(right) -> list[Lookup]:
+        out = []
+        kind, h, v = (right.column(x).to_numpy() for x in ("kind", "h", "v"))
+        for k in range(2):
+            order = np.flatnonzero(kind == k)
+            order = order[np.argsort(h[order])]
+            out.append(lambda q, keys=h[order], values=v[order]: values_of(keys, values, q))
+        return out
+
+    cell_schema = _arrow(T._parse_datatype_string("cell int, n bigint"))
+
+    def cells(left, right):
+        lookup, total = lookups(right)[1], np.zeros(2 * CELLS, np.int64)
+        for batch in chunks(iter(left.select(["doc_id", "text"]).to_batches()), 1, 1 << 19):
+            total += model.cells([t or b"" for t in batch.column(1).to_pylist()], lookup)
+        at = np.flatnonzero(total)
+        return pa.table([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=cell_schema)
 
-    answers = d.groupBy("blk").applyInArrow(ask, "h bigint, blk bigint").join(known, "h")
+    train = d.where("not held").groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(cells, "cell int, n bigint")
+    model.fit(total_of(train, 2 * CELLS))
+    held = d.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([d.schema["doc_id"], d.schema["held"], *T._parse_datatype_string(SCORED).fields])
     arrow = _arrow(schema)
 
     def score(left, right):
-        keys, values = right.column("h").to_numpy(), right.column("c").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        counts, lookup = lookups(right)
         out: dict[str, list] = {f.name: [] for f in schema.fields[2:]}
         for batch in chunks(iter(left.select(["doc_id", "held", "text"]).to_batches()), 2, 1 << 20):
-            texts = batch.column(2).to_pylist()
-            h, n = token_hashes(texts)
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            counts = np.where(keys[at] == h, values[at], 0) if len(keys) else np.zeros(len(h), np.int64)
-            got = tokens_scored(texts, counts, n) | {"score": np.concatenate([model.value.log10(part) for part in sliced(texts)]).tolist()}
-            for k, v in got.items():
+            for k, v in scored(batch.column(2).to_pylist(), held.value, lambda h: counts(h).astype(np.int64), lookup).items():
                 out[k] += v
         return pa.table([left.column("doc_id"), left.column("held"), *(pa.array(out[f.name], arrow.field(f.name).type) for f in schema.fields[2:])], schema=arrow)
 
     return d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score, schema)
 
 
-def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, most_bits: int = 22, small_words: int = 16_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, small_words: int = 16_000_000, small_pairs: int = 32_000_000) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Words are known by 64-bit hashes. A vocabulary of at most small_words (16 bytes each) is read from files by every task; a larger one is joined by blocks.
+    Words and contexts are known by 64 and 56 bits of hash. At most small_words words and small_pairs pairs of a context and its next byte are read
+    from files by every task (16 bytes a word, and a decision of a pair); more are joined by blocks.
     """
     ship(docs.sparkSession)
     d = docs.select(F.col(doc).alias("doc_id"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fitted(d.select("held", "text"), most_bits=most_bits))
-    known = written(word_counts(d.where("not held")), shared_dir(docs.sparkSession), "words")
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = scored_by_files(d, known, model) if v <= small_words else scored_by_blocks(d, known, model, block_bytes)
+    train, folder = d.where("not held"), shared_dir(docs.sparkSession)
+    model = Model(Code(summed(train, 256, byte_counts)))
+    words, contexts = written(word_counts(train), folder, "words"), written(pair_counts(train), folder, "pairs")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_pairs = contexts.count()
+    rows = scored_by_files(d, words, contexts, model, folder) if v <= small_words and n_pairs <= small_pairs else scored_by_blocks(d, words, contexts, model, folder, n_pairs, block_bytes)
     base = F.col("part") - F.col("n_tokens") * math.log10(n + v + 1)
     return rows.select(
         F.col("doc_id").alias(doc), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")

@@ -320,9 +320,27 @@ def test_scores_fit_whole_texts(spark):
     train = spark.createDataFrame([(t,) for t in texts], "text binary").repartition(5)
     n = lm.summed(train, 256, lm.byte_counts)
     assert n[ord("z")] == 9000 and n[ord("q")] == 50 and n[255] == len(texts)
-    model = lm.fitted(train.selectExpr("false AS held", "text"))
-    assert model.code.size[ord("z")] <= 2
-    assert lm.fitted(train.selectExpr("true AS held", "text")).log10([b"ab"])[0] < 0
+    assert lm.Code(n).size[ord("z")] <= 2
+
+
+def test_context_tables(spark):
+    """An entry for each context and place in the code, with its exact counts; a context that was not seen is not known."""
+    r = random.Random(14)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(200)).encode() for _ in range(40)] + [None]
+    train = spark.createDataFrame([(t,) for t in texts], "text binary").repartition(5)
+    want = collections.Counter()
+    for t in texts:
+        for i, c in enumerate((t or b"") + b"\xff"):
+            want.update((k, (b"\xff" * k + (t or b""))[i : i + k], c) for k in (2, 4))
+            want[0, re.split(rb" ", (t or b"")[:i])[-1], c] += 1
+    got = lm.pair_counts(train).collect()
+    assert sorted(x.c for x in got) == sorted(want.values())
+    code = lm.Code(lm.summed(train, 256, lm.byte_counts))
+    keys, values = lm.logits(code, np.array([x.h for x in got]), np.array([x.c for x in got]))
+    assert (values != 0).all()
+    known = lm.Stream(code, [texts[0]], None).inputs(1, lambda q: lm.values_of(keys, values, q))
+    strange = lm.Stream(code, [b"klmnopq"], None).inputs(1, lambda q: lm.values_of(keys, values, q))
+    assert (known != 0).all() and (strange[code.size[ord("k")] :] == 0).all()
 
 
 def test_personal_data():
