@@ -3,9 +3,8 @@
 The network is trained on the driver from labelled spans: windows of a bounded sample of documents, labelled by the patterns, and the same prose
 with personal data in other layouts put in (spaced or bracketed parts, "(at)", no plus sign). It labels characters B/I/O by kind.
 
-A span of the model has at most `reach` characters and holds a digit or "@"; so only windows near such a character
-are decoded, and the others hold none by that rule. Windows overlap by half. Every window's Viterbi path gives candidate spans,
-scored by their margin over "no span"; those that touch a cut edge of the window are left to its neighbour. The candidates of a whole
+Overlapping windows cover every whole text. Every window's Viterbi path gives candidate spans, scored by their margin over "no span"; those that
+touch a cut edge of the window are left to its neighbour or, if no window holds them whole, joined with their parts there. The candidates of a whole
 document are then reconciled by weighted interval scheduling, and those clear of the patterns' spans are added.
 
 Nulls: a null text is empty. Without any document to sample, the network learns from generated text alone. Repeated rows get equal results.
@@ -34,7 +33,6 @@ PATTERNS = {
     "card": re.compile(rb"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-TRIGGER = re.compile(r"[0-9@]")
 DIGIT = re.compile(rb"[0-9]")
 
 
@@ -183,10 +181,38 @@ class Tagger:
                 self.w[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
         return loss
 
+    def hidden(self, ids: np.ndarray, d: str) -> np.ndarray:
+        """As lstm, without what learning needs: the classes' part of the gates is a table, and sigmoids are tanh at half the argument."""
+        w, n = self.w, self.h
+        half = np.concatenate([np.full(3 * n, 0.5, np.float32), np.ones(n, np.float32)])
+        table, wh = (w["emb"] @ w[f"x{d}"] + w[f"c{d}"]) * half, w[f"h{d}"] * half
+        h = c = np.zeros((ids.shape[1], n), np.float32)
+        out = np.empty((*ids.shape, n), np.float32)
+        for t in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
+            z = h @ wh
+            z += table[ids[t]]
+            np.tanh(z, out=z)
+            s = z[:, : 3 * n]
+            s *= 0.5
+            s += 0.5
+            c = s[:, n : 2 * n] * c + s[:, :n] * z[:, 3 * n :]
+            h = np.multiply(s[:, 2 * n :], np.tanh(c), out=out[t])
+        return out
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best labels and emissions of (windows, time)."""
-        e, _ = self.emissions(ids.T)
+        out, n = self.w["out"], self.h
+        e = self.hidden(ids.T, "f") @ out[:n] + self.hidden(ids.T, "b") @ out[n:] + self.w["ob"]
         tr = self.w["tr"] + self.allowed
+        labels = np.zeros(e.shape[:2], np.int64)
+        # A label has a transition on either side. Where none is above "outside" even with the best two, the best path is all outside.
+        gain = 2 * max(0.0, float(tr.max() - tr[0, 0]))
+        open_ = np.flatnonzero(((e[:, :, 1:].max(2) - e[:, :, 0]) + gain >= 0).any(0))
+        if len(open_):
+            labels[:, open_] = self.viterbi(e[:, open_], tr)
+        return labels.T, e.transpose(1, 0, 2)
+
+    def viterbi(self, e: np.ndarray, tr: np.ndarray) -> np.ndarray:
         n, b, k = e.shape
         best, come = e[0], np.zeros((n, b, k), np.int8)
         for t in range(1, n):
@@ -197,7 +223,7 @@ class Tagger:
         out[-1] = best.argmax(1)
         for t in range(n - 1, 0, -1):
             out[t - 1] = come[t][np.arange(b), out[t]]
-        return out.T, e.transpose(1, 0, 2)
+        return out
 
 
 def made_up(r: np.random.Generator, kind: str) -> str:
@@ -206,7 +232,7 @@ def made_up(r: np.random.Generator, kind: str) -> str:
     w = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, r.integers(3, 9)))
     pick = lambda *x: x[r.integers(0, len(x))]
     if kind == "email":
-        return w() + pick(".", "_", "") + pick(d(2), w()) + pick("@", "@", " @ ", " (at) ", "[at]").replace("(at)", "(@)").replace("[at]", "[@]") + w() + pick("", d(1)) + "." + pick(w() + ".", "") + pick("com", "org", "net", "de")
+        return w() + pick(".", "_", "") + pick(d(2), w()) + pick("@", "@", " @ ", " (at) ", "[at]") + w() + pick("", d(1)) + "." + pick(w() + ".", "") + pick("com", "org", "net", "de")
     if kind == "ip":
         return pick(".", ".", ". ", " . ").join(str(x) for x in r.integers(0, 256, 4))
     if kind == "card":
@@ -275,13 +301,28 @@ def fitted(spark: SparkSession, texts: list[str]) -> Tagger:
     return tagger
 
 
-def window_starts(s: str, width: int, reach: int) -> list[int]:
-    """Starts on a grid of half a width, of windows that hold a digit, "@", or one within reach."""
-    step, out = width // 2, set()
-    for m in TRIGGER.finditer(s):
-        lo, hi = max(0, m.start() - reach), m.start() + reach
-        out.update(range(max(0, lo // step - 1), hi // step + 1))
-    return [x * step for x in sorted(out) if x * step < len(s)]
+def window_starts(n: int, width: int, overlap: int) -> range:
+    """Starts of windows that cover n characters and overlap."""
+    return range(0, max(1, n - overlap), width - overlap)
+
+
+def whole(parts: list[tuple[int, int, int, bool, bool, float]]) -> list[tuple[float, int, int, int]]:
+    """Spans (score, start, end, kind) of parts (start, end, kind, cut at the start, cut at the end, sum of margins): those not cut, and chains of cut ones."""
+    out, chains = [], []
+    for a, e, kind, left, right, margin in sorted(parts):
+        if not left and not right:
+            out.append((margin / (e - a), a, e, kind))
+        elif not left:
+            chains.append((a, e, kind, margin, e - a))
+        else:
+            before = [c for c in chains if c[2] == kind and c[0] < a <= c[1] <= e]
+            chains = [c for c in chains if c[1] >= a and c not in before]
+            for s, _, _, m, n in before:
+                if right:
+                    chains.append((s, e, kind, m + margin, n + e - a))
+                else:
+                    out.append(((m + margin) / (n + e - a), s, e, kind))
+    return out
 
 
 def reconciled(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -301,11 +342,11 @@ def reconciled(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(tagger: Tagger, texts: list[str], *, width: int = 96, reach: int = 40, least: float = 0.5, batch: int = 512) -> list[list[tuple[str, int, int]]]:
+def model_spans(tagger: Tagger, texts: list[str], *, width: int = 128, overlap: int = 32, least: float = 0.5, batch: int = 512) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of the model in each text, reconciled over the text."""
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    parts: list[list[tuple[int, int, int, bool, bool, float]]] = [[] for _ in texts]
     codes: dict[int, np.ndarray] = {}
-    todo = [(i, a) for i, s in enumerate(texts) if s for a in window_starts(s, width, reach)]
+    todo = [(i, a) for i, s in enumerate(texts) if s for a in window_starts(len(s), width, overlap)]
     for at in range(0, len(todo), batch):
         part = todo[at : at + batch]
         ids = np.full((len(part), width), PAD)
@@ -318,17 +359,15 @@ def model_spans(tagger: Tagger, texts: list[str], *, width: int = 96, reach: int
         for r in np.flatnonzero(labels.any(1)).tolist():
             i, a = part[r]
             row, size = labels[r], min(width, len(texts[i]) - a)
-            for x in np.flatnonzero(row % 2 == 1).tolist():
+            starts = np.flatnonzero((row > 0) & ((row % 2 == 1) | (np.arange(width) == 0)))
+            for x in starts[starts < size].tolist():
                 y = x + 1
-                while y < size and row[y] == row[x] + 1:
+                goes_on = row[x] + row[x] % 2
+                while y < size and row[y] == goes_on:
                     y += 1
-                if (x == 0 and a) or (y == width and a + width < len(texts[i])) or y > size or not 6 <= y - x <= reach:
-                    continue
-                score = float((e[r, np.arange(x, y), row[x:y]] - e[r, x:y, 0]).mean())
-                s = texts[i][a + x : a + y]
-                if score >= least and (sum(c in "0123456789" for c in s) >= 7 or "@" in s):
-                    found[i].append((score, a + x, a + y, int(row[x] // 2)))
-    return [[(KINDS[k], a, e) for a, e, k in reconciled(f)] for f in found]
+                margin = float((e[r, np.arange(x, y), row[x:y]] - e[r, x:y, 0]).sum())
+                parts[i].append((a + x, a + y, int(row[x] - 1) // 2, x == 0 and a > 0, y == width and a + width < len(texts[i]), margin))
+    return [[(KINDS[k], a, e) for a, e, k in reconciled([x for x in whole(p) if x[0] >= least])] for p in parts]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -351,7 +390,7 @@ def find(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", sample_doc
         def fn(texts: list) -> dict:
             out: dict[str, list] = {k: [] for k in (*(f"n_{k}" for k in KINDS), "base", "spans")}
             base = [base_spans(t) if t else [] for t in texts]
-            more = model_spans(tagger, [t.decode() if t and (b"@" in t or DIGIT.search(t)) else "" for t in texts])
+            more = model_spans(tagger, [t.decode() if t else "" for t in texts])
             for b, m in zip(base, more, strict=True):
                 for k in KINDS:
                     out[f"n_{k}"].append(sum(x[0] == k for x in b))

@@ -355,6 +355,30 @@ def test_personal_data():
     assert pii.reconciled([(1.0, 0, 10, 0), (3.0, 5, 12, 1), (1.5, 12, 20, 2), (1.0, 11, 13, 3)]) == [(5, 12, 1), (12, 20, 2)]
 
 
+def test_personal_data_anywhere():
+    """Spans need no digit or "@", may be short or longer than a window, and every character is decoded; the quick decoding is the plain one."""
+
+    class Capitals:
+        def decode(self, ids):
+            up = ids == 1
+            first = up & ~np.concatenate([np.zeros((len(ids), 1), bool), up[:, :-1]], 1)
+            first[:, 0] = False  # the start of a window goes on
+            labels = np.where(first, 1, np.where(up, 2, 0))
+            return labels, np.eye(pii.LABELS)[labels] * 2
+
+    for n in (3, 60, 90, 500):
+        text = "x" * 300 + "A" * n + "y" * 200
+        assert pii.model_spans(Capitals(), ["", text, "z" * 400]) == [[], [("email", 300, 300 + n)], []]
+    layouts = {pii.made_up(np.random.default_rng(i), "email") for i in range(200)}
+    assert any(" (at) " in x for x in layouts) and any("[at]" in x for x in layouts)
+    tagger = pii.trained([prose(random.Random(1), 300)] * 3, windows=300, steps=40)
+    ids = pii.examples([prose(random.Random(2), 300)], 100, 64, seed=78)[0]
+    labels, e = tagger.decode(ids)
+    plain = tagger.emissions(ids.T)[0]
+    assert np.allclose(e, plain.transpose(1, 0, 2), atol=1e-3)
+    assert (labels == tagger.viterbi(e.transpose(1, 0, 2), tagger.w["tr"] + tagger.allowed).T).all()
+
+
 @pytest.mark.parametrize("block_words", [500_000, 25])
 def test_decontamination(spark, block_words):
     r = random.Random(12)
