@@ -445,6 +445,29 @@ def memory_compare(spark: SparkSession, sf: str) -> DataFrame:
     return compare.paired(a, b).select("pos", compare.memory_error("Memory_External", "addr").alias("error")).where("error is not null")
 
 
+@query(
+    "memory_compare_bytes",
+    f"""WITH w AS (SELECT *, l_linestatus = 'F' AS inner_, l_suppkey * 65537 + l_partkey AS v, unnest(range(l_linenumber)) AS i FROM lineitem),
+x AS (SELECT l_orderkey, inner_, row_number() OVER (PARTITION BY inner_ ORDER BY {ORDER}, i) - 1 AS pos,
+  CASE WHEN l_linenumber > 1 THEN if(inner_, printf('0x%02X', l_partkey + i), printf('0x%06X', l_partkey + i)) WHEN l_suppkey % 2 = 0 THEN printf('0x%X', l_partkey) ELSE l_partkey::VARCHAR END AS a,
+  CASE WHEN l_linenumber > 1 THEN printf('0x%02X', (v >> (8 * i)) & 255) ELSE printf('0x%X', v) END AS v1,
+  CASE WHEN l_linenumber > 1 THEN printf('0x%02X', ((v + 1) >> (8 * i)) & 255) ELSE printf('0x%X', v + 1) END AS v2 FROM w)
+SELECT pos, if(inner_, 'Memory_Internal value mismatch at offset ', 'Memory_External value mismatch at addr ') || a || ': ''' || v1 || ''' vs ''' || v2 || '''' AS error
+FROM x WHERE l_orderkey % 1009 = 17 AND v1 <> v2""",
+)
+def memory_compare_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every byte of all writes, of inner and of external ones apart."""
+    writes = views.writes(spark, sf)
+    raised = V.hex_upper(V.parse_int(F.col("value")) + F.when(F.col("l_orderkey") % 1009 == 17, 1).otherwise(0))
+    sides = [memory.single_bytes(w) for w in (writes, writes.withColumn("value", raised))]
+
+    def errors(kind: str, key: str) -> DataFrame:
+        a, b = (compare.numbered(w.where(F.col("key") == key), *views.LINE, "byte_no").select("pos", F.col("addr_text").alias("addr"), F.col("value_text").alias("value"), "pc") for w in sides)
+        return compare.paired(a, b).select("pos", compare.memory_error(kind, key).alias("error")).where("error is not null")
+
+    return errors("Memory_Internal", "offset").unionByName(errors("Memory_External", "addr"))
+
+
 # Program counters -----------------------------------------------------------------------------------------------------
 
 PCS = "h AS (SELECT l_partkey & 65535 AS pc, count(*) AS count, min(l_orderkey * 10 + l_linenumber) AS first_pos FROM lineitem GROUP BY 1), m AS (SELECT pc + 917504 AS addr, count, first_pos FROM h)"
