@@ -117,12 +117,11 @@ class Stream:
         self.code, self._data, self._ctx, self._size, self._first = code, data, ctx, size, first[:-1]
         self.bit = code.bit[np.repeat(code.start[data] - self._first, size) + np.arange(first[-1])]
 
-    def inputs(self, k: int, lookup: Lookup) -> np.ndarray:
-        """Table k's prediction of each decision; each distinct context and byte is looked up once."""
+    def inputs(self, k: int, lookup: Lookup, form: Callable[[np.ndarray], np.ndarray] = lambda x: x.astype(np.float32)) -> np.ndarray:
+        """Table k's prediction of each decision, in a form; each distinct context and byte is looked up once."""
         u, inv = np.unique(self._ctx[k] | self._data, return_inverse=True)
         keys, _, start = decisions(self.code, u)
-        x = lookup(keys).astype(np.float32)
-        return x[np.repeat(start[inv] - self._first, self._size) + np.arange(len(self.bit))]
+        return form(lookup(keys))[np.repeat(start[inv] - self._first, self._size) + np.arange(len(self.bit))]
 
 
 def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,8 +195,9 @@ class Model:
         """Decisions of the texts by cell (each input to the nearest half, or not known) and by bit."""
         s = Stream(self.code, texts, None)
         cell = np.zeros(len(s.bit), np.int64)
-        for x in self.inputs(s, lookup)[0]:
-            cell = cell * STEPS + np.where(x != 0, np.rint(x * 2).astype(np.int64) + STEPS // 2, 0)
+        for k in range(K):
+            cell *= STEPS
+            cell += s.inputs(k, lookup, lambda x: np.where(x != 0, np.rint(x * 2).astype(np.int64) + STEPS // 2, 0))
         return np.bincount(cell * 2 + s.bit, minlength=2 * CELLS)
 
     def fit(self, counts: np.ndarray) -> None:
