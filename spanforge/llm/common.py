@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute
@@ -49,7 +52,49 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def prepared(spark: SparkSession) -> None:
+    """Ships the package. Arrow batches of whole texts are kept to a few MB, unless the session says how large they are."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(4 << 20))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function. At the end of a task its process, which waits for the next stage, gives back the memory that it does not use."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
+#: Bytes that go on a character of several bytes.
+CONTINUATION = bytes(range(0x80, 0xC0))
+
+
+def code_points(text: bytes, places: list[int]) -> dict[int, int]:
+    """The character at which each of the byte places stands, in one pass over the text."""
+    out, last, n = {}, 0, 0
+    for a in sorted(set(places)):
+        n += len(text[last:a].translate(None, CONTINUATION))
+        out[a], last = n, a
+    return out
+
+
+def clear(spans: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those of the spans (kind, start, end) that overlap none of the taken ones."""
+    by_start = sorted((a, e) for _, a, e in taken)
+    starts, ends = [a for a, _ in by_start], list(accumulate((e for _, e in by_start), max))
+    return [x for x in spans if not (i := bisect_left(starts, x[2])) or ends[i - 1] <= x[1]]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts (a binary column) have about `most` bytes; a longer text comes alone."""
     for batch in batches:
         col, at, size = batch.column(text), 0, 0
@@ -71,13 +116,13 @@ def map_texts(
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
     setup: Callable[[], Callable[[list], dict]] | None = None,
-    chunk_bytes: int = 4 << 20,
+    chunk_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Rows of `keep` columns and of what fn gives for the whole texts (bytes, or None for null), a list per field.
 
     setup, if given, runs once a task and returns fn; texts come in runs of about chunk_bytes. Only `keep` and the text are read, so other columns can't clash.
     """
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     out = T._parse_datatype_string(fields)
     schema = T.StructType([docs.schema[c] for c in keep] + out.fields)
     names = [f.name for f in out.fields]
@@ -90,22 +135,22 @@ def map_texts(
             cols = [part.column(i) for i in range(len(keep))] + [got[n] for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def filter_texts(docs: DataFrame, setup: Callable[[], Callable[[list], list]], *, text: str = "text") -> DataFrame:
     """The rows, with all their columns, for whose text the function that setup returns gives True."""
-    ship(docs.sparkSession)
-    schema = docs.schema
+    prepared(docs.sparkSession)
+    schema, docs_names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = setup()
         n = len(schema.fields)
         for part in chunks(batches, n):
             kept = part.filter(pa.array(f(part.column(n).to_pylist()), pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:n], names=part.schema.names[:n])
+            yield pa.RecordBatch.from_arrays(kept.columns[:n], names=docs_names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs_names)], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
