@@ -12,17 +12,19 @@ several labels of a document the lowest counts. Without labels of both kinds the
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import CONTINUATION, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 NOT_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 STATS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_distinct bigint, n_alone bigint, n_upper bigint, n_digits bigint, n_stops bigint"
 UPPER, DIGIT = bytes(set(range(256)) - set(range(65, 91))), bytes(set(range(256)) - set(range(48, 58)))
 
@@ -42,39 +44,70 @@ def repeated(words: list[bytes], size: int = 5) -> int:
         j = first.setdefault(g, i)
         if j != i:
             hit[i] = hit[j] = True
-    edge = np.zeros(len(words) + 1, np.int32)
-    at = np.flatnonzero(hit)
-    edge[at] += 1
-    edge[at + size] -= 1
+    return covered(np.flatnonzero(hit), len(words), size)
+
+
+def covered(starts: np.ndarray, n: int, size: int) -> int:
+    """Places 0 to n - 1 inside windows of `size` with these starts."""
+    edge = np.zeros(n + 1, np.int32)
+    edge[starts] += 1
+    edge[starts + size] -= 1
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def text_stats(text: bytes | None) -> tuple[int, ...]:
+def numbered_words(text: bytes, piece: int) -> tuple[np.ndarray, list[bytes]]:
+    """The words of a long text as numbers of distinct ones; words are objects a piece at a time only."""
+    known: dict[bytes, int] = {}
+    parts, at = [np.empty(0, np.int64)], 0
+    while at < len(text):
+        end = SPACE.search(text, at + piece)
+        end = end.start() if end else len(text)
+        ws = text[at:end].split()
+        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in ws), np.int64, len(ws)))
+        at = end
+    return np.concatenate(parts), list(known)
+
+
+def repeated_numbers(ids: np.ndarray, distinct: int, size: int = 5) -> int:
+    """As repeated, for words as numbers: windows are ranked exactly, a word longer at a time."""
+    n = len(ids) - size + 1
+    if n < 2:
+        return 0
+    rank = ids
+    for k in range(1, size):
+        _, rank, count = np.unique(rank[: len(ids) - k] * distinct + ids[k:], return_inverse=True, return_counts=True)
+    return covered(np.flatnonzero(count[rank] > 1), len(ids), size)
+
+
+def text_stats(text: bytes | None, long: int = 1 << 20) -> tuple[int, ...]:
+    """The statistics of STATS. Texts of over `long` bytes take the same numbers from arrays."""
     if not text:
         return (0,) * 11
-    words = text.split()
+    if len(text) > long:
+        ids, known = numbered_words(text, long)
+        sizes = np.array([len(w) for w in known], np.int64)[ids]
+        n_words, n_repeat, n_distinct, n_alone, n_short = len(ids), repeated_numbers(ids, len(known)), len(known), int((sizes == 1).sum()), int((sizes <= 4).sum())
+    else:
+        words = text.split()
+        n_words, n_repeat, n_distinct, n_alone, n_short = len(words), repeated(words), len(set(words)), sum(1 for w in words if len(w) == 1), sum(1 for w in words if len(w) <= 4)
     lines = [x for x in text.split(b"\n") if x.strip(SPACES)]
     continued = len(text) - len(text.translate(None, CONTINUATION))
     spaces = len(text) - len(text.translate(None, SPACES))
-    distinct = set(words)
     return (
-        len(words),
+        n_words,
         len(text) - continued - spaces,
         len(text.translate(None, NOT_SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated(words),
+        n_repeat,
         len(lines),
-        len(distinct),
-        sum(1 for w in words if len(w) == 1),
+        n_distinct,
+        n_alone,
         len(text.translate(None, UPPER)),
         len(text.translate(None, DIGIT)),
-        sum(1 for w in words if len(w) <= 4),
+        n_short,
     )
 
 
-CONTINUATION = bytes(range(0x80, 0xC0))
-
-
 def stats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row of statistics for each document."""
     names = [x.split()[0] for x in STATS.split(", ")]
