@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, _arrow, chunks, ship, shared_dir
+from .common import LOWER, _arrow, chunks, map_texts, prepared, shared_dir, tidy
 
 MAGIC, HEAD, ROW, FOOT = b"IDZ1", struct.Struct("<4sB3x32s"), struct.Struct("<?7xqQQQ"), struct.Struct("<QQQ4s4x")
 NO_ID = 0
@@ -43,19 +44,22 @@ def opened(uri: str):
 class Encoder:
     """Ids of whole texts by a tokenizer that drops white space; serialized little-endian, `width` bytes an id.
 
-    Words are known in two generations of at most `cache_words`: when the young one is full, it becomes the old one, so that frequent words stay.
+    Words are known in two generations of about `cache_bytes`: when the young one is full, it becomes the old one, so that frequent words stay.
     """
 
+    #: What a word takes beside its bytes and its ids: two objects and its place in the dictionary.
+    ENTRY = 170
+
     #: ASCII punctuation that, after a letter at a word's end, is a piece of its own; without the apostrophe.
     TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size() <= 2**16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.most = cache_words
+        self.most, self.size = cache_bytes, 0
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -69,32 +73,41 @@ class Encoder:
             cut = np.searchsorted(first, starts) * self.width
             data = np.array(enc.ids, self.kind).tobytes()
             for w, a, b in zip(words[at : at + 2000], cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                self.young[w] = data[a:b]
+                self.know(w, data[a:b])
+
+    def know(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.size += len(word) + len(ids) + self.ENTRY
 
     def need(self, words: set[bytes]) -> None:
         young, old, learn, joined = self.young, self.old, set(), []
         for w in words:
             if (x := old.get(w)) is not None:
-                young[w] = x
+                self.know(w, x)
                 continue
             stem = w.rstrip(self.TAIL)
-            if stem and len(stem) < len(w) and b"<|" not in w and (97 <= stem[-1] <= 122 or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
+            if stem and len(stem) < len(w) and b"<|" not in w and (97 <= stem[-1] <= 122 or stem[-1] >= 128 and self.ends_in_letter(stem)):
                 joined.append((w, stem, w[len(stem) :]))
                 learn.update(x for x in joined[-1][1:] if x not in young)
             else:
                 learn.add(w)
         for w in [w for w in learn if w in old]:
-            young[w] = old[w]
+            self.know(w, old[w])
             learn.discard(w)
         self.learn(list(learn))
         for w, stem, tail in joined:
-            young[w] = young[stem] + young[tail]
+            self.know(w, young[stem] + young[tail])
+
+    @staticmethod
+    def ends_in_letter(word: bytes) -> bool:
+        """As the tokenizer sees it: some characters become a letter and a mark, which joins the punctuation after it."""
+        return unicodedata.normalize("NFC", word.decode()).lower()[-1:].isalpha()
 
     def __call__(self, texts: list) -> list[bytes]:
         # A combining mark can join a capital in another way than its small letter: such texts keep their capitals.
         split = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
         known = self.young
         if new := set().union(*split).difference(known):
             self.need(new)
@@ -112,6 +125,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def pieces(ids: bytes, width: int, most: int, count: int = 8) -> list[bytes]:
+    """All of a document's ids or, of one of over `most` bytes, `count` pieces spread evenly over the whole."""
+    if len(ids) <= most:
+        return [ids]
+    size = max(1, most // count // width) * width
+    step = (len(ids) - size) // (count - 1) // width * width
+    return [ids[k * step : k * step + size] for k in range(count)]
+
+
 def trained(samples: list[bytes], size: int) -> bytes:
     """A dictionary in zstandard's format; with too few samples to train on, their content is the dictionary."""
     try:
@@ -183,16 +205,18 @@ def write_tokens(
 ) -> DataFrame:
     """Writes every document; returns the manifest (part, shard, file, n_docs, n_tokens), itself a table in the folder.
 
-    The dictionary is trained on at most sample_docs documents (those with the smallest hash of their id, each at most
-    sample_bytes / sample_docs characters of it); what is written covers every whole text.
+    The dictionary is trained on the ids of at most sample_docs whole documents (those with the smallest hash of their id), of a document of over
+    sample_bytes / sample_docs bytes on pieces from all over it; what is written covers every whole text.
     """
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
+    width = encoder(tokenizer).width
+    end = np.array([end_id], encoder(tokenizer).kind).tobytes()
     hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc)).alias("h"), F.col(text).alias("t"))
     bound = hashed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    cut = F.substring("t", 1, sample_bytes // sample_docs)
-    sample = hashed.where(F.lit(False) if bound is None else F.col("h") <= bound).select("h", cut.alias("t")).orderBy("h", "t").limit(sample_docs)
-    end = np.array([end_id], encoder(tokenizer).kind).tobytes()
-    dictionary = trained([x + end for x in encoder(tokenizer)([r.t.encode() for r in sample.select("t").collect()])], dictionary_bytes)
+    sample = hashed.where(F.lit(False) if bound is None else F.col("h") <= bound).orderBy("h", F.xxhash64("t")).limit(sample_docs)
+    cut = lambda texts: {"p": [pieces(x + end, width, sample_bytes // sample_docs) for x in encoder(tokenizer)(texts)]}
+    found = map_texts(sample, cut, "p array<binary>", keep=("h",), text="t").collect()
+    dictionary = trained([bytes(x) for r in sorted(found, key=lambda r: (r.h, r.p)) for x in r.p], dictionary_bytes)
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/dictionary") as f:
@@ -221,13 +245,13 @@ def write_tokens(
     d = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     tie = F.xxhash64("t")
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "t")
-    d.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/manifest")
+    d.mapInArrow(tidy(run), schema).write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(schema).parquet(f"{folder}/manifest")
 
 
 def read_tokens(manifest: DataFrame, dictionary: bytes, fn: Callable[[np.ndarray], dict], fields: str) -> DataFrame:
     """A row for each document in the files: doc_id, start (ids before it), n_tokens, and what fn gives for its ids."""
-    ship(manifest.sparkSession)
+    prepared(manifest.sparkSession)
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     schema = T.StructType(T._parse_datatype_string("doc_id bigint, start bigint, n_tokens bigint").fields + T._parse_datatype_string(fields).fields)
@@ -246,7 +270,7 @@ def read_tokens(manifest: DataFrame, dictionary: bytes, fn: Callable[[np.ndarray
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("file", "start").repartition(max(1, min(10_000, manifest.count()))).mapInArrow(run, schema)
+    return files.select("file", "start").repartition(max(1, min(10_000, manifest.count()))).mapInArrow(tidy(run), schema)
 
 
 def crc(ids: np.ndarray) -> dict:
