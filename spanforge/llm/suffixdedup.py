@@ -2,16 +2,15 @@
 
 A string of `length` bytes is a window. Windows are dealt out by content: each goes to the least hash of its `gram`-byte substrings (its
 anchor), so equal windows meet and the work is spread over the cluster. Successive windows of a document with the same anchor form a
-fragment, shorter than twice the length. Only anchors that occur at least twice are followed up; fragments equal in full are
-represented by their first occurrence, within a task before the shuffle and again after it, so a passage that a third of all documents
+fragment, shorter than twice the length. Only anchors that occur at least twice are followed up. Of fragments equal in full `copies` go on from a task,
+and `copies` of those that meet, the earliest ones; further ones stand after them, so they are removed at once, and a passage that a third of all documents
 share is no hot key. For an anchor with more than `hot` occurrences every window is dealt out by the hash of the whole window.
 
-What is left are fragments that have an anchor in common and differ. Their windows' fingerprints leave the parts that can hold a repeat; what decides is the following.
-
 The fragments that meet are a collection of short strings. In round j the suffixes of length j of all strings are inserted, one symbol per
 string: where the new suffix goes follows from the symbol's rank in the transform so far, and its common prefix with both neighbours from
-the range minimum over the former common prefixes. Transform and common prefixes are files that each round reads
-and writes from front to end; string and start of each suffix follow at the end by going back through the transform. At the end, runs of common prefixes of at least `length` are the groups of equal windows; all but the first
+the least of the former common prefixes between. Transform and common prefixes are tapes, read and written from front to end in blocks: what a block needs of those
+before it are counts and minima by symbol. A tape of over `memory` bytes goes on in a file of the shared folder. String and start of each
+suffix follow at the end by going back through the transform. Runs of common prefixes of at least `length` are then the groups of equal windows; all but the first
 occurrence (by doc_id, then start) are removed.
 
 Nulls: a null text is empty; a null doc_id counts as the smallest. Rows with one id and one text are one document and get the same result;
@@ -21,20 +20,20 @@ different texts with one id are ordered by their hash. An empty table gives no r
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow, chunks, map_texts, shared_dir, ship, written
-from .neardup import mix
+from .common import _arrow, chunks, map_texts, prepared, shared_dir, tidy, written
 
 U = np.uint64
+TOP = np.uint8(255)
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
@@ -43,7 +42,9 @@ def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     while size < gram:
         h = h[:-size] * U(pow(0x9E3779B97F4A7C15, size, 2**64)) + h[size:]
         size *= 2
-    return mix(h)
+    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
+    return h ^ (h >> U(31))
 
 
 def anchors(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,18 +54,11 @@ def anchors(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.n
     if len(b) < length:
         return empty, empty, empty, np.empty(0, U)
     v = gram_hashes(b, gram)
-    p, size, width = np.arange(len(v), dtype=np.int32), 1, length - gram + 1
-    while 2 * size <= width:
-        less = v[size:] < v[:-size]
-        v, p = np.where(less, v[size:], v[:-size]), np.where(less, p[size:], p[:-size])
-        size *= 2
-    if rest := width - size:
-        less = v[rest:] < v[:-rest]
-        v, p = np.where(less, v[rest:], v[:-rest]), np.where(less, p[rest:], p[:-rest])
+    p = least_places(v, length - gram + 1)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     some = np.asarray(sizes) >= length
-    edge = np.zeros(len(v) + 1, np.int8)
+    edge = np.zeros(len(p) + 1, np.int8)
     edge[starts[some]] += 1
     edge[ends[some] - length + 1] -= 1
     at = np.flatnonzero(np.cumsum(edge[:-1]))
@@ -75,78 +69,204 @@ def anchors(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.n
     first = at[new]
     count = np.diff(np.append(new, len(at)))
     doc = np.searchsorted(ends, first, side="right")
-    return doc, first - starts[doc], count, v[first]
+    return doc, first - starts[doc], count, v[p[first]]
+
+
+def least_places(v: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
+    """Of each run of `width` hashes the place of the least, by all but its lowest bits; of equal ones the first.
+
+    Hash and place are one number, so that a pass is one minimum; where the places need more bits, they are compared apart.
+    """
+    step, n = U(bits), len(v)
+    packed = n <= 1 << bits
+    least = v >> step << step | np.arange(n, dtype=U) if packed else v >> step
+    place = None if packed else np.arange(n)
+
+    def against(by: int) -> None:
+        nonlocal least, place
+        if packed:
+            least = np.minimum(least[:-by], least[by:])
+        else:
+            less = least[by:] < least[:-by]
+            least, place = np.where(less, least[by:], least[:-by]), np.where(less, place[by:], place[:-by])
+
+    size = 1
+    while 2 * size <= width:
+        against(size)
+        size *= 2
+    if width > size:
+        against(width - size)
+    return (least & (U(1 << bits) - U(1))).view(np.int64) if packed else place
+
+
+class Tape:
+    """Bytes written once from front to end, then read from front to end, in blocks. Over `memory` bytes they go on in a file of the folder."""
+
+    def __init__(self, folder: str, memory: int, block: int):
+        self.folder, self.memory, self.block = folder, memory, block
+        self.parts: list[np.ndarray] = []
+        self.size, self.path, self.out = 0, None, None
+
+    def write(self, x: np.ndarray) -> None:
+        self.size += len(x)
+        for at in range(0, len(x), self.block):
+            self.parts.append(x[at : at + self.block])
+        if self.size > self.memory:
+            if self.out is None:
+                self.fs, folder = pa_fs.FileSystem.from_uri(self.folder)
+                self.fs.create_dir(folder, recursive=True)
+                self.path = f"{folder}/{uuid.uuid4().hex}"
+                self.out = self.fs.open_output_stream(self.path)
+            for part in self.parts:
+                self.out.write(part.tobytes())
+            self.parts = []
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        if self.path is None:
+            yield from self.parts
+            return
+        with self.fs.open_input_stream(self.path) as f:
+            while data := f.read(self.block):
+                yield np.frombuffer(data, np.uint8)
+
+    def remove(self) -> None:
+        if self.path is not None:
+            self.fs.delete_file(self.path)
+
+
+def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of x[a..b] for each pair, with a <= b. x ends with one value more. From the back to the front, so that nothing lies between one range and the next."""
+    out = np.empty(len(a), x.dtype)
+    if len(a):
+        order = np.argsort(-a)
+        ends = np.stack([a[order], b[order] + 1], 1).ravel()
+        out[order] = np.minimum.reduceat(x, ends)[::2]
+    return out
 
 
 class Transform:
-    """Files of the transform and of common prefixes, for strings of up to 254 bytes."""
+    """The transform and common prefixes of strings of up to 254 bytes, none empty."""
 
-    def __init__(self, strings: list[bytes], folder: str):
+    def __init__(self, strings: list[bytes], folder: str, *, memory: int = 32 << 20, block: int = 1 << 20):
         self.n = len(strings)
         self.sizes = np.array([len(s) for s in strings], np.int64)
         self.width = int(self.sizes.max())
         # Right-aligned; 0 is the end mark, and UTF-8 has no byte above 0xF4, so every symbol moves up by one.
         rows = np.frombuffer(b"".join(s.rjust(self.width, b"\xff") for s in strings), np.uint8).reshape(self.n, self.width)
         self.text = np.ascontiguousarray((rows + np.uint8(1)).T)
-        self.files = {k: [Path(folder, f"{k}{i}") for i in range(2)] for k in ("bwt", "lcp")}
-        self.turn = 0
+        self.tape = lambda: Tape(folder, memory, block)
+        self.bwt, self.lcp = self.tape(), self.tape()
 
     def symbol(self, j: int) -> np.ndarray:
         """What precedes the suffixes of length j; 0 at a string's start."""
         return self.text[self.width - 1 - j] if j < self.width else np.zeros(self.n, np.uint8)
 
-    def read(self, k: str) -> np.ndarray:
-        return np.fromfile(self.files[k][self.turn], np.uint8)
-
-    def write(self, k: str, x: np.ndarray) -> None:
-        x.tofile(self.files[k][1 - self.turn])
-
     def build(self) -> tuple[np.ndarray, np.ndarray]:
         """The transform and, for each suffix in order, its common prefix with the one before."""
-        n = self.n
-        self.write("bwt", self.symbol(0))
-        self.write("lcp", np.zeros(n, np.uint8))
-        self.turn = 1 - self.turn
-        place, live = np.arange(n), np.arange(n)  # of the strings that get a symbol this round, in order of place
+        for tape, x in ((self.bwt, self.symbol(0)), (self.lcp, np.zeros(self.n, np.uint8))):
+            tape.write(x)
+            tape.close()
+        self.count = np.bincount(self.symbol(0), minlength=256)
+        place = live = np.arange(self.n)  # of the strings that get a symbol this round, in order of place
         for j in range(1, self.width + 1):
-            bwt, lcp = self.read("bwt"), self.read("lcp")
-            order = np.argsort(bwt, kind="stable")
-            ends = np.cumsum(np.bincount(bwt, minlength=256))
-            c = bwt[place]
-            sort = np.argsort(c, kind="stable")  # by symbol, and in each by place: the order of the new suffixes
-            place, live, c = place[sort], live[sort], c[sort]
-            r = np.empty(len(place), np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
-            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                s = int(c[a])
-                first = int(ends[s - 1])
-                r[a:e] = first + np.searchsorted(order[first : int(ends[s])], place[a:e])
-            # Neighbours with the same symbol, in the former order; common prefixes are one more than the least between.
-            before, after = np.maximum(r - 1, 0), np.minimum(r + 1, len(order) - 1)
-            has_before, has_after = r > ends[c - 1], r + 1 < ends[c]
-            low = np.where(has_before, self._least(lcp, order[before], place) + 1, 0)
-            high = np.where(has_after, self._least(lcp, place, order[after]) + 1, 0)
-            to = n - int(ends[0]) + r
-            old = np.ones(len(bwt) + len(to), bool)
-            old[to] = False
+            c = self.symbol(j - 1)[live]
+            rank, low, high = self.ranked(place, c)
+            order = np.argsort(c, kind="stable")  # by symbol, and in each by place: the order of the new suffixes
+            c, live = c[order], live[order]
+            to = self.n - self.count[0] + (np.cumsum(self.count) - self.count)[c] + rank[order]
             symbol = self.symbol(j)[live]
-            for k, was in (("bwt", bwt), ("lcp", lcp)):
-                now = np.empty(len(old), np.uint8)
-                now[old] = was
-                if k == "lcp":
-                    nxt = to + 1
-                    ok = nxt < len(now)
-                    now[nxt[ok]] = high[ok]
-                    now[to] = low
-                else:
-                    now[to] = symbol
-                self.write(k, now)
-            self.turn = 1 - self.turn
+            self.insert(to, symbol, (low[order] + 1).astype(np.uint8), (high[order] + 1).astype(np.uint8))
             more = symbol != 0
             place, live = to[more], live[more]
             if not len(live):
                 break
-        return self.read("bwt"), self.read("lcp")
+        out = tuple(np.concatenate(list(tape.blocks())) for tape in (self.bwt, self.lcp))
+        for tape in (self.bwt, self.lcp):
+            tape.remove()
+        return out
+
+    def ranked(self, place: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For places in ascending order and the symbols there: the symbol's occurrences before; the least common prefix after its last occurrence up
+        to the place, and after the place up to its next (-1: there is none)."""
+        rank = np.empty(len(place), np.int64)
+        low, high = np.full(len(place), -1, np.int16), np.full(len(place), -1, np.int16)
+        count = np.zeros(256, np.int64)
+        since = np.full(256, TOP)  # the least common prefix after a symbol's last occurrence
+        waits, least = np.full(256, -1), np.full(256, TOP)  # the place whose symbol has not come again, and the least since
+        at = base = 0
+        for b, x in zip(self.bwt.blocks(), self.lcp.blocks(), strict=True):
+            order = np.argsort(b, kind="stable")
+            several = len(b) < self.bwt.size
+            size = np.bincount(b, minlength=256) if several else self.count
+            start = np.cumsum(size) - size
+            x = np.append(x, TOP)
+            if several:
+                here, gone = np.flatnonzero(size), size == 0
+                first, last = order[start[here]], order[start[here] + size[here] - 1]
+                head, tail = np.minimum.accumulate(x[:-1]), np.minimum.accumulate(x[::-1])[::-1]
+                came = waits[here] >= 0
+                high[waits[here[came]]] = np.minimum(least[here[came]], head[first[came]])
+                waits[here] = -1
+                least[gone] = np.minimum(least[gone], head[-1])
+            end = at + int(np.searchsorted(place[at:], base + len(b)))
+            if end > at:
+                sort = np.argsort(c[at:end], kind="stable")
+                own, p, s = at + sort, place[at:end][sort] - base, c[at:end][sort]
+                i = np.empty(len(p), np.int64)  # where the place stands in order
+                cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])).tolist()
+                for k, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    f = int(start[s[k]])
+                    i[k:e] = f + np.searchsorted(order[f : f + int(size[s[k]])], p[k:e])
+                rank[own] = count[s] + i - start[s]
+                inside = i > start[s]
+                low[own[inside]] = least_between(x, order[i[inside] - 1] + 1, p[inside])
+                if several:
+                    carried = ~inside & (count[s] > 0)
+                    low[own[carried]] = np.minimum(since[s[carried]], head[p[carried]])
+                inside = i + 1 < start[s] + size[s]
+                high[own[inside]] = least_between(x, p[inside] + 1, order[i[inside] + 1])
+                if several:
+                    waits[s[~inside]], least[s[~inside]] = own[~inside], tail[p[~inside] + 1]
+            if several:
+                since[gone] = np.minimum(since[gone], head[-1])
+                since[here] = tail[last + 1]
+            count += size
+            at, base = end, base + len(b)
+        return rank, low, high
+
+    def insert(self, to: np.ndarray, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Puts suffixes at their places: the symbol before each, its common prefix with the one before, and that of the one after."""
+        into = to - np.arange(len(to))  # the old suffix before which it goes
+        bwt, lcp, at, base = self.tape(), self.tape(), 0, 0
+        for b, x in zip(self.bwt.blocks(), self.lcp.blocks(), strict=True):
+            end = len(into) if base + len(b) == self.bwt.size else at + int(np.searchsorted(into[at:], base + len(b)))
+            if end > at:
+                i = into[at:end] - base
+                final = np.append(i[1:] != i[:-1], True) & (i < len(x))  # the last one before an old suffix
+                x = x.copy()
+                x[i[final]] = high[at:end][final]
+                new = i + np.arange(len(i))
+                old = np.ones(len(b) + len(i), bool)
+                old[new] = False
+                merged_ = []
+                for was, put in ((b, symbol), (x, low)):
+                    now = np.empty(len(old), np.uint8)
+                    now[old], now[new] = was, put[at:end]
+                    merged_.append(now)
+                b, x = merged_
+            bwt.write(b)
+            lcp.write(x)
+            at, base = end, base + (len(b) - (end - at))
+        for tape in (bwt, lcp):
+            tape.close()
+        for tape in (self.bwt, self.lcp):
+            tape.remove()
+        self.bwt, self.lcp = bwt, lcp
+        self.count = self.count + np.bincount(symbol, minlength=256)
 
     def suffixes(self, bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """String and length of each suffix in order, by going back from every string's end through the transform."""
@@ -162,24 +282,13 @@ class Transform:
             sid[place], size[place] = live, j
         return sid, size
 
-    @staticmethod
-    def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The least of lcp[a + 1 .. b] for each pair with a < b; anything for others."""
-        ok = a < b
-        out = np.zeros(len(a), np.int64)
-        if ok.any():
-            ends = np.stack([a[ok] + 1, b[ok] + 1], 1).ravel()
-            out[ok] = np.minimum.reduceat(np.append(lcp, 255), ends)[::2]
-        return out
-
 
-def repeats(strings: list[bytes], where: list[tuple], length: int) -> list[tuple[int, int]]:
+def repeats(strings: list[bytes], where: list[tuple], length: int, folder: str) -> list[tuple[int, int]]:
     """(string, start) of the windows that another one equals which stands earlier. where: what orders the strings' places, ending with the start."""
     if len(strings) < 2:
         return []
-    with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        t = Transform(strings, folder)
-        bwt, lcp = t.build()
+    t = Transform(strings, folder)
+    bwt, lcp = t.build()
     same = lcp >= length
     if not same.any():
         return []
@@ -204,50 +313,23 @@ def repeats(strings: list[bytes], where: list[tuple], length: int) -> list[tuple
     return list(zip(s[later].tolist(), start[later].tolist(), strict=True))
 
 
-def trimmed(frags: list[bytes], where: list[tuple], length: int) -> tuple[list[bytes], list[tuple]]:
-    """The parts of the fragments whose windows have an equal fingerprint among the others': only these can hold a repeat."""
-    data = b"".join(frags)
-    sizes = np.array([len(f) for f in frags])
-    starts = np.cumsum(sizes) - sizes
-    size = 1 << (length.bit_length() - 1)
-    h = gram_hashes(np.frombuffer(data, np.uint8), size)
-    rest = length - size
-    h = mix(h[: len(h) - rest] * U(0xD6E8FEB86659FD93) + h[rest:]) if rest else h
-    n = sizes - length + 1
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    _, inv, count = np.unique(h[at], return_inverse=True, return_counts=True)
-    keep = count[inv] > 1
-    at, frag = at[keep], np.repeat(np.arange(len(frags)), n)[keep]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (frag[1:] != frag[:-1])])) if len(at) else np.empty(0, np.int64)
-    run = np.diff(np.append(new, len(at)))
-    out, places = [], []
-    for a, f, k in zip(at[new].tolist(), frag[new].tolist(), run.tolist(), strict=True):
-        out.append(data[a : a + k + length - 1])
-        places.append((*where[f][:-1], where[f][-1] + a - int(starts[f])))
-    return out, places
-
-
-def settled(frags: list[bytes], where: list[tuple], length: int) -> list[tuple]:
-    """(uid, first byte, end) of windows to remove among fragments that met; where: (doc, uid, start)."""
-    spans, first = [], {}
-    for s, w in sorted(zip(*trimmed(frags, where, length), strict=True), key=lambda x: x[1]):
-        if s in first:  # equal in full to an earlier one
-            spans.append((w[1], w[2], w[2] + len(s)))
+def settled(strings: list[bytes], where: list[tuple], length: int, folder: str) -> list[tuple]:
+    """(doc, uid, first byte, end) of windows to remove among fragments that met; where: (doc, uid, start)."""
+    spans: list[tuple] = []
+    for s, start in repeats(strings, where, length, folder):
+        doc, uid, a = where[s]
+        a += start
+        if spans and spans[-1][:2] == (doc, uid) and spans[-1][2] <= a <= spans[-1][3]:
+            spans[-1] = (doc, uid, spans[-1][2], max(spans[-1][3], a + length))
         else:
-            first[s] = w
-    strings, places = list(first), list(first.values())
-    for s, start in repeats(strings, places, length):
-        a = places[s][2] + start
-        if spans and spans[-1][0] == places[s][1] and spans[-1][1] <= a <= spans[-1][2]:
-            spans[-1] = (spans[-1][0], spans[-1][1], max(spans[-1][2], a + length))
-        else:
-            spans.append((places[s][1], a, a + length))
+            spans.append((doc, uid, a, a + length))
     return spans
 
 
-def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_bytes: int, small_hashes: int) -> DataFrame:
-    """uid, spans (first byte, end) to remove. docs: doc (not null), uid, text (binary)."""
-    ship(docs.sparkSession)
+def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies: int, bucket_bytes: int, small_hashes: int) -> DataFrame:
+    """doc, uid, spans (first byte, end, whether the transform found it) to remove. docs: doc (not null), uid, text (binary)."""
+    prepared(docs.sparkSession)
+    folder = f"{shared_dir(docs.sparkSession)}/tapes"
 
     def found(texts: list) -> dict:
         sizes = [len(t or b"") for t in texts]
@@ -262,7 +344,7 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
                 out[d].append((x, k))
         return {"a": out}
 
-    each = map_texts(docs, found, "a array<struct<h:bigint,n:int>>", keep=("uid",)).select("uid", F.explode("a").alias("a")).select("uid", "a.h", "a.n")
+    each = map_texts(docs, found, "a array<struct<h:bigint,n:int>>", keep=("doc", "uid")).select("doc", "uid", F.explode("a").alias("a")).select("doc", "uid", "a.h", "a.n")
     many = written(each.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")), shared_dir(docs.sparkSession), "anchors")
     known = None
     if many.limit(small_hashes + 1).count() <= small_hashes:
@@ -273,8 +355,8 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
         known = docs.sparkSession.sparkContext.broadcast((h[order], is_hot[order]))
         located = docs
     else:
-        mine = each.select("uid", "h").join(many, "h").groupBy("uid").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
-        located = docs.join(mine, "uid")
+        mine = each.select("doc", "uid", "h").join(many, "h").groupBy("doc", "uid").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
+        located = docs.join(mine, ["doc", "uid"])
     schema = T._parse_datatype_string("key bigint, frag binary, doc bigint, uid bigint, first int, size int")
     arrow = _arrow(schema)
 
@@ -292,13 +374,13 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
         return np.array([x is not None for x in got], bool), np.array([bool(x) for x in got], bool)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fragments with a repeated anchor, each once a task; a row without frag is a span that is surely removed."""
-        kept: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        """Fragments with a repeated anchor, equal ones a few times; a row without frag is a span that is surely removed."""
+        kept: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         held, spans = 0, []
 
         def flush() -> pa.RecordBatch:
             nonlocal held
-            rows = [(k, f, *w, len(f)) for (k, f), w in kept.items()] + spans
+            rows = [(k, f, *w, len(f)) for (k, f), places in kept.items() for w in places] + spans
             kept.clear()
             spans.clear()
             held = 0
@@ -306,15 +388,16 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
 
         def add(key: int, frag: bytes, place: tuple[int, int, int]) -> None:
             nonlocal held
-            was = kept.setdefault((key, frag), place)
-            if was is place:
-                held += len(frag) + 200
+            places = kept.setdefault((key, frag), [])
+            if place in places:
                 return
-            if was == place:
+            if len(places) < copies:
+                places.append(place)
+                held += len(frag) + 200
                 return
-            if place < was:
-                kept[key, frag] = place
-                place = was
+            if place < (worst := max(places)):
+                places[places.index(worst)] = place
+                place = worst
             if spans and spans[-1][3] == place[1] and spans[-1][4] <= place[2] <= spans[-1][4] + spans[-1][5]:
                 last = spans[-1]
                 spans[-1] = (*last[:5], max(last[5], place[2] + len(frag) - last[4]))
@@ -339,20 +422,20 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
         yield flush()
 
     columns = ["doc", "uid", "text"] + (["hs", "hots"] if known is None else [])
-    frags = located.select(*columns).mapInArrow(cut, schema)
+    frags = located.select(*columns).mapInArrow(tidy(cut), schema)
     frags = frags.repartition("key").sortWithinPartitions("key", "frag", "doc", "uid", "first")
-    span_schema = T._parse_datatype_string("uid bigint, a int, e int")
+    span_schema = T._parse_datatype_string("doc bigint, uid bigint, a int, e int, built boolean")
     span_arrow = _arrow(span_schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings: list[bytes] = []
         where: list[tuple[int, int, int]] = []
         group: list[tuple[bytes, tuple]] = []
-        last_key, last, held, spans = None, None, 0, []
+        last_key, last, same, held, spans = None, None, 0, 0, []
 
         def settle() -> None:
             nonlocal held
-            spans.extend(settled(strings, where, length))
+            spans.extend((*x, True) for x in settled(strings, where, length, folder))
             strings.clear()
             where.clear()
             held = 0
@@ -370,24 +453,29 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
                 settle()
 
         def out() -> pa.RecordBatch:
-            rows = list(zip(*spans, strict=True)) or [(), (), ()]
+            rows = list(zip(*spans, strict=True)) or [()] * len(span_arrow)
             spans.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, span_arrow, strict=True)], schema=span_arrow)
 
         for batch in batches:
             for key, frag, d, u, first, size in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if frag is None:
-                    spans.append((u, first, first + size))
+                    spans.append((d, u, first, first + size, False))
                     continue
                 if key != last_key:
                     close_group()
                     last_key, last = key, None
                 if last is not None and frag == last[0]:
-                    if (d, u, first) != last[1]:
-                        spans.append((u, first, first + size))
-                    continue
+                    if (d, u, first) == last[1]:
+                        continue
+                    same += 1
+                else:
+                    same = 0
                 last = (frag, (d, u, first))
-                group.append(last)
+                if same < copies:
+                    group.append(last)
+                else:
+                    spans.append((d, u, first, first + size, False))
             if spans:
                 yield out()
         close_group()
@@ -395,7 +483,7 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_b
             settle()
         yield out()
 
-    return frags.mapInArrow(meet, span_schema).groupBy("uid").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    return frags.mapInArrow(tidy(meet), span_schema).groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "e", "built")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -408,10 +496,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 100_000, bucket_bytes: int = 4 << 20, small_hashes: int = 8_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 20_000, copies: int = 2, bucket_bytes: int = 1 << 19, small_hashes: int = 8_000_000) -> DataFrame:
     """A row for each document: doc_id, n_bytes, removed (spans of bytes), kept (the remaining bytes)."""
     d = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(doc).cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("text"))
-    spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, bucket_bytes=bucket_bytes, small_hashes=small_hashes)
+    spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, copies=copies, bucket_bytes=bucket_bytes, small_hashes=small_hashes)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc].dataType), *T._parse_datatype_string("n_bytes bigint, removed array<struct<a:int,e:int>>, kept binary").fields])
     arrow = _arrow(schema)
 
@@ -427,4 +515,4 @@ def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
                 kept.append(b"".join(t[a:e] for a, e in zip(at[::2], at[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((ids, sizes, removed, kept), arrow, strict=True)], schema=arrow)
 
-    return d.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(apply, schema)
+    return d.join(spans, ["doc", "uid"], "left").select("doc_id", "text", "spans").mapInArrow(tidy(apply), schema)
