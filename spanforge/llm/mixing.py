@@ -5,9 +5,9 @@ in a fixed order; the expected copies are prefix-summed, one random offset per s
 once for each integer boundary that its interval crosses. The order is by size class, block, size and id, so that the sample takes
 from all sizes evenly and the words taken come near the target.
 
-A prefix sum over one source would put a hot source into one task. So ranks come in two steps: counts per cell (source, size class,
-block), summed cell by cell, and row numbers inside a cell. The number of blocks of a size class grows with its
-count, so that a cell holds about `cell_rows` rows however large the source.
+A prefix sum over one source would put a hot source into one task. So ranks come in steps, each over what the one before has summed: size classes of a
+source, groups of `cell_group` blocks of a size class, blocks (cells) of a group, rows of a cell. The number of blocks of a size class grows with its
+count, so that a cell holds about `cell_rows` rows however large the source, and no step sees more than a group.
 
 Nulls: a null source is a source (the last), a null text has size 0, a null id is ordered first. A source of size 0 has target 0; its
 documents are not taken. Rows repeated in full are ranked one after the other. An empty table gives an empty mix.
@@ -57,7 +57,7 @@ def sized(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 1000, small_classes: int = 500_000) -> DataFrame:
+def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = (), weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, cell_rows: int = 1000, cell_group: int = 1000, small_classes: int = 500_000) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, copies, and the columns to carry (as a struct `row`)."""
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))  # never null, so that keys can be joined and dealt alike
@@ -74,11 +74,21 @@ def plan(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", source: st
     hashed = F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint") % 2147483648 * 2654435761 % 4294967296
     block = F.pmod(hashed, F.col("blocks")).alias("blk")
     cells = counts.join(info, ["src", "cls"]).select("src", "cls", block).groupBy("src", "cls", "blk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("src").orderBy("cls", "blk")
-    cells = cells.select("src", "cls", "blk", (F.sum("n").over(before) - F.col("n")).alias("before"))
+    cells = cells.withColumn("grp", F.floor(F.col("blk") / cell_group))
+
+    def ahead(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+        """Adds before: the sum of n over what stands ahead under the same keys."""
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+    groups = ahead(cells.groupBy("src", "cls", "grp").agg(F.sum("n").alias("n")), ["src", "cls"], "grp")
+    ofclass = ahead(classes, ["src"], "cls").select("src", "cls", F.col("before").alias("b0"))
+    groups = groups.join(F.broadcast(ofclass) if few else ofclass, ["src", "cls"]).select("src", "cls", "grp", (F.col("before") + F.col("b0")).alias("b1"))
+    cells = ahead(cells, ["src", "cls", "grp"], "blk").join(groups, ["src", "cls", "grp"]).select("src", "cls", "blk", (F.col("before") + F.col("b1")).alias("before"))
     # The last join and the window deal out by the same keys: what is carried is shuffled once.
     d = d.join(info, ["src", "cls"]).withColumn("blk", block).join(cells, ["src", "cls", "blk"])
-    at = F.col("before") + F.row_number().over(Window.partitionBy("src", "cls", "blk").orderBy("size", "doc_id"))
+    tie = [F.xxhash64("row")] if carry else []  # of several texts with one id and size, always the same one
+    at = F.col("before") + F.row_number().over(Window.partitionBy("src", "cls", "blk").orderBy("size", "doc_id", *tie))
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
     u = offset("src", seed)
     d = d.withColumn("at", at.cast("double"))
