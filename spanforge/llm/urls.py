@@ -5,8 +5,8 @@ suffix's, a host's to its domain's, each by a beta prior: its mean is the level
 of that level differ (method of moments). A page is blocked if the upper bound of its host's posterior good
 rate, mean + z standard deviations, is below the limit; so little evidence blocks nobody.
 
-Everything is an aggregate by key with map-side partial sums, so a host with a third of all pages is no hot task; the join
-back is on hosts, where adaptive execution splits large partitions. Nulls: a null url, or one without "://", has an empty host and
+Everything is an aggregate by key with map-side partial sums, so a host with a third of all pages is no hot task. In the join
+back, hosts with more than one in `hot_share` of the pages (there are fewer than hot_share of them) go to every task, and their pages are dealt out by page. Nulls: a null url, or one without "://", has an empty host and
 path and is judged as the empty host. Labels without an id or outcome are left out; of several for a page the lowest counts.
 """
 
@@ -83,13 +83,14 @@ def reputation(outcomes: DataFrame, *, strength: tuple[float, float] = (2.0, 100
     return hosts, domains, suffixes
 
 
-def judged(pages: DataFrame, labels: DataFrame, *, page: str = "page_id", url: str = "url", label_page: str = "doc_id", good: Column | None = None, limit: float = 0.5, z: float = 1.645, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, *, page: str = "page_id", url: str = "url", label_page: str = "doc_id", good: Column | None = None, limit: float = 0.5, z: float = 1.645, rules=RULES, hot_share: int = 1000) -> DataFrame:
     """A row for each page: page_id, host, path, rule, verdict, good_rate, good_bound."""
     p = pages.select(F.col(page).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ok = good if good is not None else ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
     marks = labels.select(F.col(label_page).alias("page_id"), ok.alias("good")).where("page_id is not null and good is not null").groupBy("page_id").agg(F.min("good").alias("good"))
     hosts, domains, suffixes = reputation(p.join(marks, "page_id").select("host", "good"))
     # The distinct hosts, each with its nearest level that has outcomes; then one join with the pages.
+    total = pages.count()
     names = p.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     known = (
         names.join(hosts.select(F.col("key").alias("host"), F.col("m").alias("mh"), (F.col("n") + F.col("k")).alias("nh")), "host", "left")
@@ -99,7 +100,14 @@ def judged(pages: DataFrame, labels: DataFrame, *, page: str = "page_id", url: s
     mean = F.coalesce("mh", "md", "ms", F.lit(1.0))
     weight = F.coalesce("nh", "kd", "ks", F.lit(2.0))
     sd = F.sqrt(mean * (1 - mean) / (weight + 1))
-    known = known.select("host", mean.alias("good_rate"), (mean + z * sd).alias("good_bound"))
+    known = written(known.select("host", "pages", mean.alias("good_rate"), (mean + z * sd).alias("good_bound")), shared_dir(p.sparkSession), "known")
+    hot = (F.col("pages") > total / hot_share).alias("hot")
+    few = known.where(hot).select("host", F.col("good_rate").alias("r"), F.col("good_bound").alias("b"))
+    p = p.join(F.broadcast(few), "host", "left")
+    dealt = F.when(F.col("r").isNull(), F.col("host")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("page_id", "path").cast("string")))
+    rest = known.where(~hot).select(F.col("host").alias("h"), "good_rate", "good_bound")
+    p = p.withColumn("dealt", dealt).join(rest, (F.col("dealt") == F.col("h")) & F.col("r").isNull(), "left")
+    p = p.withColumns({"good_rate": F.coalesce("r", "good_rate"), "good_bound": F.coalesce("b", "good_bound")})
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("good_bound") < limit, "block").otherwise("allow")
-    return p.join(known, "host").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "good_rate", "good_bound")
+    return p.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "good_rate", "good_bound")
