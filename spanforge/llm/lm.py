@@ -1,16 +1,19 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors, and a smoothed unigram base.
 
-A text is its lower-cased bytes and an end mark. Each byte is a few binary decisions along a Huffman code; a decision's predictors are
-counts of zeros and ones in tables keyed by (context, place in the code), for three contexts: the last two bytes, the last four, the word
-so far. The tables have an entry for every context of the training documents, found by 56 bits of its hash, so what was not seen is not known: each
-task counts its own pairs of a context and its next byte, Spark adds them up, and they are read as the words' counts are (below).
+A text is its lower-cased bytes and an end mark. Each byte is a few binary decisions along a Huffman code, which depends on the byte before and is made from
+the pairs of bytes of all training texts. A decision's predictors are counts of zeros and ones in tables keyed by (context, place in the code), for three contexts:
+the last three bytes, the last five, the word so far (of a longer one the last eight bytes and the length). The tables have an entry for every context of the training documents,
+found by its last byte and 46 bits of hash, so what was not seen is not known: each task counts its own pairs of a context and its next byte, and Spark adds them up.
 
-Predictions, in the logistic domain, are mixed by weights that a gate selects (which contexts are known); the weights start from
-a fit on all training documents (on sums of their decisions by inputs, rounded to halves) and go on learning inside each document, a block of bytes
-at a time; a map, fitted on the same sums, refines the mixed probability. A document's score depends on its own text and the model only.
+A pair of counts is a state (both on a logarithmic scale). What a state predicts is learned from the tables themselves: every occurrence is left out once, and counted under
+the state that remains. These maps are sums over the whole corpus, of fixed size.
 
-The unigram base needs the corpus count of every word. Vocabulary and contexts grow with the corpus: up to a checked size their sorted files are
-mapped by every task; beyond, documents are dealt to blocks of bounded size, each block asks once for each of its keys, and the values come back to the block.
+Predictions are mixed in the logistic domain by weights that a gate selects (which contexts are known). Inside each document the weights are scaled by factors that
+are refined after 32, 64, 128, ... bytes and from 1024 on after every 1024, a text of up to 32 bytes by none. A document's score depends on its own text and
+the tables only. Logarithms of odds are kept within 16, so zero and one always sum to one.
+
+The unigram base needs the corpus count of every word. Words and contexts grow with the corpus: up to a checked size, and where the shared folder is mounted, their sorted files are
+mapped by every task; else documents are dealt to blocks of bounded size, each block asks once for each of its keys, and the values come back to the block.
 
 Nulls: a null text is empty (just the end); a null id counts as training. Repeated rows count as often as they come. Without training
 documents N = 0 and the tables are empty: every bit costs one bit.
@@ -21,7 +24,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,213 +34,228 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, _arrow, chunks, map_texts, shared_dir, ship, written
-from .neardup import SPACE, mix, powers, word_hashes
+from .common import LOWER, _arrow, chunks, map_texts, prepared, shared_dir, tidy, written
+from .neardup import SPACE, word_hashes
 
-U, U4 = np.uint64, np.uint32
-#: Values of keys, in the order of their contexts; 0 where a key is not known.
+U = np.uint64
+#: Values of keys; 0 where a key is not known.
 Lookup = Callable[[np.ndarray], np.ndarray]
 END = 255  # no UTF-8 text has this byte
-K, GATES, BUCKETS = 3, 8, 33
-STEPS = 38  # inputs are -9 to 9: in halves, or not known
-CELLS = STEPS**K
+#: Bytes of the two contexts of fixed length; the third context is the word so far.
+BACK = (3, 5)
+K = len(BACK) + 1
+GATES = 1 << K
+#: A key, from the top: 6 bits of hash (its file), next byte or place in the code, byte before, 40 bits of hash, number of the context.
+NEXT, BEFORE = 50, 42
+BYTE = 255
+#: Counts on a logarithmic scale; pairs with a larger one are scaled down together.
+LEVELS = np.unique(np.floor(1.4 ** np.arange(42)).astype(np.int64) - 1)
+L = len(LEVELS)
+CELLS = K * L * L * 2
+#: Lengths of the blocks after which a text's factors learn; the last comes again and again.
+BLOCKS = (32, 32, 64, 128, 256, 512, 1024)
 
 
 class Code:
-    """A Huffman code of bytes: for each byte its path of (node, bit), as arrays."""
+    """A Huffman code of bytes for each byte before: for each pair (before * 256 + byte) its path of (node, bit), as arrays."""
 
     def __init__(self, counts: np.ndarray):
+        paths: list[list[tuple[int, int]]] = []
+        for own in counts.reshape(256, 256):
+            paths += self.paths(own)
+        self.size = np.array([len(p) for p in paths], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        self.node = np.array([n for p in paths for n, _ in p], np.int64)  # 0 to 254
+
+    @staticmethod
+    def paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
         order = itertools.count()
         heap = [(int(c) + 1, next(order), b) for b, c in enumerate(counts)]
         heapq.heapify(heap)
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             heapq.heappush(heap, (a[0] + b[0], next(order), (a[2], b[2])))
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+        out: list[list[tuple[int, int]]] = [[] for _ in range(256)]
         stack, node = [(heap[0][2], [])], itertools.count()
         while stack:
             tree, path = stack.pop()
             if isinstance(tree, int):
-                paths[tree] = path
+                out[tree] = path
             else:
                 n = next(node)
                 stack += [(tree[0], [*path, (n, 0)]), (tree[1], [*path, (n, 1)])]
-        self.size = np.array([len(p) for p in paths], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        flat = [x for p in paths for x in p]
-        self.bit = np.array([b for _, b in flat], np.uint8)
-        self.node = np.array([n for n, _ in flat], np.int64)  # 0 to 254
+        return out
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each byte of the texts, lower-cased, and their ends: the byte, its text, its place there, and a hash of each context, whose low 8 bits are 0."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    """Of each byte of the texts, lower-cased, and their ends: the byte and the one before; ends of the texts; the key of each context, without what is next."""
+    lows = [t.translate(LOWER) for t in texts]
+    ends = np.cumsum([len(t) + 1 for t in lows])
     starts = np.concatenate([[0], ends[:-1]])
-    data = np.frombuffer(b"\xff".join(t.translate(LOWER) for t in texts) + b"\xff", np.uint8)
+    buffer = b"\xff" * 8 + b"\xff".join(lows) + b"\xff"
+    raw = np.frombuffer(buffer, np.uint8)
+    data, before = raw[8:], raw[7:-1]
     n = len(data)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), ends - starts)
-    at = np.arange(n) - starts[doc]
-    back = [np.concatenate([np.full(j, END, U4), data[:-j].astype(U4)]) if n > j else np.full(n, END, U4) for j in range(1, 5)]
-    for j in range(2, 5):
-        back[j - 1][at < j] = END  # nothing of the text before
-    cut = np.where(SPACE[data] | (data == END), np.arange(1, n + 1), 0)
-    word = np.concatenate([[0], np.maximum.accumulate(cut)[:-1]])
-    p, inv = powers(n + 1)
-    prefix = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * p[:n], dtype=U)])
-    so_far = (prefix[:-1] - prefix[word]) * inv[word]
-    two, four = back[0] | back[1] << U4(8), back[0] | back[1] << U4(8) | back[2] << U4(16) | back[3] << U4(24)
-    ctx = [mix(two.astype(U) + (U(1) << U(40))), mix(four.astype(U) + (U(2) << U(40))), mix(mix(so_far + U(3)))]
-    return data, doc, at, [(c & ~U(255)).view(np.int64) for c in ctx]
-
-
-def pairs(texts: list[bytes]) -> np.ndarray:
-    """A key for each context of each byte: the context's hash, with the byte as the low 8 bits."""
+    eight = np.ndarray((n,), "<u8", buffer, 0, (1,)).copy()  # the eight bytes before each place, the nearest as the highest
+    near = (starts[:, None] + np.arange(max(BACK))).ravel()
+    at = np.tile(np.arange(max(BACK)), len(starts))
+    inside = near < np.repeat(ends, max(BACK))
+    near, at = near[inside], at[inside].astype(U)
+    found = []
+    for b in BACK:
+        h = eight >> U(64 - 8 * b)
+        h[near] |= (U(1) << (U(8) * (U(b) - np.minimum(at, U(b))))) - U(1)  # nothing of the text before
+        found.append(h)
+    place = np.arange(n, dtype=np.int32)
+    word = np.empty(n, np.int32)
+    word[0], word[1:] = 0, np.maximum.accumulate(np.where(SPACE[data] | (data == END), place + np.int32(1), np.int32(0)))[:-1]
+    length = (place - word).astype(U)
+    found.append(np.where(length > 0, eight >> (U(64) - U(8) * np.clip(length, 1, 8)), U(0)) + (length << U(57)) + length)
+    last = before.astype(U) << U(BEFORE)
+    keep = ~(U(0xFFFF) << U(BEFORE) | U(3))
+    out = []
+    for k, h in enumerate(found):
+        h += U(k + 1)
+        h *= U(0x9E3779B97F4A7C15)
+        h ^= h >> U(32)
+        h *= U(0xD6E8FEB86659FD93)
+        h &= keep
+        h |= last
+        h |= U(k)
+        out.append(h.view(np.int64))
+    return data, before, ends, out
+
+
+def pairs(texts: list[bytes]) -> list[np.ndarray]:
+    """By context, a key for each byte, with the byte as what is next."""
     data, _, _, ctx = contexts(texts)
-    return np.concatenate([c | data for c in ctx])
-
-
-class Stream:
-    """Texts as bits: decisions of all bytes, in the order of blocks (the first block of each text, then the second, ...)."""
-
-    def __init__(self, code: Code, texts: list[bytes], block: int | None):
-        data, doc, at, ctx = contexts(texts)
-        n = len(data)
-        j = np.zeros(n, np.uint16)
-        if block:
-            j = np.minimum(at // block, 65535).astype(np.uint16)
-            order = np.argsort(j, kind="stable")
-            data, doc, ctx, j = data[order], doc[order], [c[order] for c in ctx], j[order]
-        size = code.size[data]
-        first = np.append(np.cumsum(size) - size, size.sum())
-        # Segments: bits of one text in one block. Steps: segments of one block.
-        seg = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (j[1:] != j[:-1])]))
-        self.seg, self.seg_doc = first[np.append(seg, n)], doc[seg]
-        self.steps = np.concatenate([[0], np.cumsum(np.bincount(j[seg]))])
-        self.code, self._data, self._ctx, self._size, self._first = code, data, ctx, size, first[:-1]
-        self.bit = code.bit[np.repeat(code.start[data] - self._first, size) + np.arange(first[-1])]
-
-    def inputs(self, k: int, lookup: Lookup, form: Callable[[np.ndarray], np.ndarray] = lambda x: x.astype(np.float32)) -> np.ndarray:
-        """Table k's prediction of each decision, in a form; each distinct context and byte is looked up once."""
-        u, inv = np.unique(self._ctx[k] | self._data, return_inverse=True)
-        keys, _, start = decisions(self.code, u)
-        return form(lookup(keys))[np.repeat(start[inv] - self._first, self._size) + np.arange(len(self.bit))]
+    following = data.astype(np.int64) << NEXT
+    return [c | following for c in ctx]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, nearly in order, and of each key the index of its own. One sort of numbers that hold a key's upper bits and its place; keys that differ
+    below those bits are told apart afterwards, at the price that one may come twice."""
+    n = len(keys)
+    low = U(max(1, (n - 1).bit_length()))
+    packed = keys.view(U) ^ U(1 << 63)
+    packed >>= low
+    packed <<= low
+    packed |= np.arange(n, dtype=U)
+    packed.sort()
+    packed &= (U(1) << low) - U(1)
+    at = packed.view(np.int64)
+    k = keys[at]
+    new = np.ones(n, bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    index = np.empty(n, np.int64)  # numpy takes by 64-bit indices twice as fast as by shorter ones
+    index[at] = np.cumsum(new) - 1
+    return k[new], index
 
 
 def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions of pairs: key (the context's hash, with the place in the code as the low 8 bits) and index of the path; where each pair's begin."""
-    byte = pair & 255
-    size = code.size[byte]
+    """The decisions of pairs: key (with the place in the code as what is next) and index of the path; where each pair's begin."""
+    both = (pair >> BEFORE & BYTE) << 8 | pair >> NEXT & BYTE
+    size = code.size[both]
     start = np.cumsum(size) - size
-    path = np.repeat(code.start[byte] - start, size) + np.arange(size.sum())
-    return np.repeat(pair & ~255, size) | code.node[path], path, start
+    path = np.repeat(code.start[both] - start, size) + np.arange(size.sum())
+    return np.repeat(pair & ~(BYTE << NEXT), size) | code.node[path] << NEXT, path, start
+
 
+def state(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """1 and more; 0 for no counts."""
+    most = np.maximum(zero, one)
+    if len(most) and most.max() > LEVELS[-1]:
+        scale = np.minimum(1.0, LEVELS[-1] / np.maximum(most, 1))
+        zero, one = zero * scale, one * scale
+    a, b = (np.searchsorted(LEVELS, x, side="right") - 1 for x in (zero, one))
+    return np.where(most > 0, a * L + b, 0).astype(np.uint16)
 
-def logits(code: Code, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table of the counted pairs: sorted keys of decisions, and their logarithms of odds, which are never 0 (not known)."""
-    keys, path, _ = decisions(code, pair)
-    n = np.repeat(count, code.size[pair & 255]).astype(np.float64)
+
+def counted_decisions(code: Code, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of the counted pairs (with all pairs of each of their contexts): sorted keys of decisions, their states, and the counts
+    of (context, state, bit) with each occurrence left out once."""
+    keys, path, start = decisions(code, pair)
+    n, bit = np.repeat(count, np.diff(np.append(start, len(keys)))), code.bit[path].astype(np.int64)
     u, inv = np.unique(keys, return_inverse=True)
-    one = np.bincount(inv, n * code.bit[path], minlength=len(u))
-    zero = np.bincount(inv, n * (1 - code.bit[path].astype(np.float64)), minlength=len(u))
-    x = np.clip(np.log((one + 0.2) / (zero + 0.2)), -9, 9)
-    return u, np.where(np.abs(x) < 1e-6, 1e-6, x)
+    one = np.bincount(inv, n * bit, minlength=len(u)).astype(np.int64)
+    zero = np.bincount(inv, n * (1 - bit), minlength=len(u)).astype(np.int64)
+    left = state(zero[inv] - (1 - bit), one[inv] - bit).astype(np.int64)
+    cell = ((keys & 3) * (L * L) + left) * 2 + bit
+    return u, state(zero, one), np.bincount(cell, n, minlength=CELLS).astype(np.int64)
 
 
 class Model:
-    """Code, starting weights by gate, map. The tables of predictions are looked up."""
+    """The code, what each state of each context predicts (logarithms of odds), and starting weights by gate. The tables of states are looked up."""
 
-    def __init__(self, code: Code):
+    def __init__(self, code: Code, left_out: np.ndarray):
         self.code = code
-        self.weights = np.full((GATES, K + 1), 0.4, np.float32)
-        self.weights[:, K] = 0
-        self.map = np.tile(1 / (1 + np.exp(-(np.arange(BUCKETS) - 16) / 2)), (GATES, 1)).astype(np.float32)
-
-    def inputs(self, s: Stream, lookup: Lookup) -> tuple[list[np.ndarray], np.ndarray]:
-        """Each table's prediction of each decision (0: not known), and the gate: which are known."""
-        inputs = [s.inputs(k, lookup) for k in range(K)]
-        gate = (inputs[0] != 0).astype(np.uint8)
-        for k in range(1, K):
-            gate |= (inputs[k] != 0).view(np.uint8) << np.uint8(k)
-        return inputs, gate
-
-    def mixed(self, texts: list[bytes], lookup: Lookup, block: int, rate: float) -> tuple[Stream, np.ndarray, np.ndarray, np.ndarray]:
-        """Each decision's mixed prediction, as logarithm of odds and as probability, and its gate.
-
-        The gate's weights are scaled by factors of the text, which learn online, a block at a time.
-        """
-        s = Stream(self.code, texts, block)
-        inputs, gate = self.inputs(s, lookup)
-        factor = np.ones((len(texts), K + 1), np.float32)
-        dots, ps = np.empty(len(gate), np.float32), np.empty(len(gate), np.float32)
-        for a, e in zip(s.steps[:-1].tolist(), s.steps[1:].tolist(), strict=True):
-            lo, hi = int(s.seg[a]), int(s.seg[e])
-            docs, size, g = s.seg_doc[a:e], np.diff(s.seg[a : e + 1]), gate[lo:hi]
-            xs = [self.weights[:, k][g] for k in range(K + 1)]
-            own = factor[docs]
-            dot = dots[lo:hi]
-            dot[:] = xs[K] * np.repeat(own[:, K], size)
-            for k in range(K):
-                xs[k] *= inputs[k][lo:hi]
-                dot += xs[k] * np.repeat(own[:, k], size)
-            p = ps[lo:hi]
-            np.exp(-dot, out=p)
-            p += 1
-            np.divide(1, p, out=p)
-            if e < len(s.seg_doc):
-                err = s.bit[lo:hi] - p
-                step = (rate / (size + 60)).astype(np.float32)
-                for k in range(K + 1):
-                    factor[docs, k] += step * np.add.reduceat(err * xs[k], s.seg[a:e] - lo)
-        return s, dots, ps, gate
-
-    def cells(self, texts: list[bytes], lookup: Lookup) -> np.ndarray:
-        """Decisions of the texts by cell (each input to the nearest half, or not known) and by bit."""
-        s = Stream(self.code, texts, None)
-        cell = np.zeros(len(s.bit), np.int64)
+        n = left_out.reshape(K, L * L, 2).astype(np.float64)
+        zero, one = np.divmod(np.arange(L * L), L)
+        prior = (LEVELS[one] + 0.4) / (LEVELS[zero] + LEVELS[one] + 0.8)
+        p = (n[:, :, 1] + 4 * prior) / (n.sum(2) + 4)
+        x = np.log(p / (1 - p)).clip(-12, 12)
+        self.predicted = np.where(np.abs(x) < 1e-6, 1e-6, x).astype(np.float32)
+        self.predicted[:, 0] = 0  # not known
+        # The weights of what is known sum to a little over one; of the contexts of fixed length the longer counts twice.
+        share = (np.arange(GATES)[:, None] >> np.arange(K) & 1) * np.array([1.0, 2.0, 1.0])
+        self.weights = (1.05 * share / np.maximum(share.sum(1, keepdims=True), 1)).astype(np.float32)
+
+    def log10(self, texts: list[bytes], lookup: Lookup, run: int = 1 << 17) -> np.ndarray:
+        """log10 probability of each text. Each distinct context and byte is looked up once; then texts are mixed in runs of about `run` bytes."""
+        data, before, ends, ctx = contexts(texts)
+        following = data.astype(np.int64) << NEXT
+        both = before.astype(np.int64) << 8 | data
+        tables = [(self.code.bit, self.code.start[both])]
         for k in range(K):
-            cell *= STEPS
-            cell += s.inputs(k, lookup, lambda x: np.where(x != 0, np.rint(x * 2).astype(np.int64) + STEPS // 2, 0))
-        return np.bincount(cell * 2 + s.bit, minlength=2 * CELLS)
-
-    def fit(self, counts: np.ndarray) -> None:
-        """Weights of each gate by Newton's method, then the map, from the decisions of all training texts by cell."""
-        n, one = counts.reshape(CELLS, 2).sum(1).astype(np.float64), counts[1::2].astype(np.float64)
-        used = np.flatnonzero(n)
-        n, one = n[used], one[used]
-        q = np.stack([used // STEPS ** (K - 1 - k) % STEPS for k in range(K)], 1)
-        x = np.concatenate([np.where(q > 0, (q - STEPS // 2) / 2, 0), np.ones((len(used), 1))], 1)
-        gate = ((q > 0) << np.arange(K)).sum(1)
-        dot = np.zeros(len(used))
-        for g in range(GATES):
-            at = gate == g
-            w = start = self.weights[g].astype(np.float64)
-            for _ in range(50 if at.any() else 0):
-                p = 1 / (1 + np.exp(-np.clip(x[at] @ w, -30, 30)))
-                slope = x[at].T @ (one[at] - n[at] * p) - (w - start)
-                step = np.linalg.solve((x[at].T * (n[at] * p * (1 - p))) @ x[at] + np.eye(K + 1), slope)
-                w = w + step * min(1, 0.5 / (np.abs(step).max() + 1e-12))
-                if np.abs(step).max() < 1e-6:
-                    break
-            self.weights[g] = w
-            dot[at] = x[at] @ w
-        i = gate * BUCKETS + self.bucket(dot)
-        n, one = (np.bincount(i, v, minlength=GATES * BUCKETS) for v in (n, one))
-        self.map = ((one + 20 * self.map.ravel()) / (n + 20)).reshape(GATES, BUCKETS).astype(np.float32)
-
-    @staticmethod
-    def bucket(dot: np.ndarray) -> np.ndarray:
-        return np.clip(dot * 2 + np.float32(16.5), 0, BUCKETS - 1).astype(np.int16)
-
-    def log10(self, texts: list[bytes], lookup: Lookup, block: int = 512, rate: float = 0.3) -> np.ndarray:
-        """log10 probability of each text."""
-        s, dot, p, gate = self.mixed(texts, lookup, block, rate)
-        q = self.map.ravel()[gate * np.int16(BUCKETS) + self.bucket(dot)]
-        p += q
-        p *= 0.5
-        p = np.abs((s.bit ^ 1) - p)  # of what came
-        np.maximum(p, 1e-7, out=p)
-        per_segment = np.add.reduceat(np.log(p).astype(np.float64), s.seg[:-1])
-        return np.bincount(s.seg_doc, per_segment, minlength=len(texts)) / math.log(10)
+            u, index = distinct(ctx[k] | following)
+            keys, _, start = decisions(self.code, u)
+            some, where = distinct(keys)
+            tables.append((self.predicted[k][lookup(some).astype(np.int64)][where], start[index]))
+        size, out, a = self.code.size[both], [], 0
+        while a < len(texts):
+            lo = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, lo + run, side="right")))
+            hi = int(ends[b - 1])
+            out.append(self.mixed(np.diff(ends[a:b], prepend=lo), size[lo:hi], [(t, i[lo:hi]) for t, i in tables]))
+            a = b
+        return np.concatenate(out) / math.log(10)
+
+    def mixed(self, lengths: np.ndarray, size: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], rate: float = 10.0) -> np.ndarray:
+        """The logarithm of each text's probability. size: decisions of each byte. tables: of bits, and of predictions of each context, with the place of each byte's first."""
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]
+        edges = np.cumsum(BLOCKS)
+        block = np.where(at < edges[-1], np.searchsorted(edges, at, side="right"), len(edges) + (at - edges[-1]) // BLOCKS[-1])
+        order = np.argsort(block.astype(np.uint16) if block.max() < 2**16 else block, kind="stable")  # the first block of each text, then the second, ...
+        doc, block, size = doc[order], block[order], size[order]
+        first = np.cumsum(size) - size
+        total = int(size.sum())
+        place = np.arange(total)
+        bit, *x = (t[np.repeat(i[order] - first, size) + place] for t, i in tables)
+        gate = np.zeros(total, np.uint8)
+        for k in range(K):
+            gate |= (x[k] != 0).view(np.uint8) << np.uint8(k)
+        # Segments: decisions of one text in one block. Steps: segments of one block.
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]))
+        seg, seg_doc = np.append(first[new], total), doc[new]
+        steps = np.concatenate([[0], np.cumsum(np.bincount(block[new]))])
+        factor, cost = np.ones((len(lengths), K), np.float32), np.zeros(len(lengths))
+        for a, e in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            lo, hi = int(seg[a]), int(seg[e])
+            docs, many, y = seg_doc[a:e], np.diff(seg[a : e + 1]), bit[lo:hi]
+            own = np.repeat(np.arange(0, len(docs) * GATES, GATES), many) + gate[lo:hi]
+            parts = [(self.weights[:, k] * factor[docs, k, None]).ravel()[own] * x[k][lo:hi] for k in range(K)]
+            dot = sum(parts[1:], parts[0]).clip(-16, 16)
+            p = 1 / (1 + np.exp(-dot))
+            cost[docs] += np.add.reduceat(np.log(np.abs((1 - y) - p)), seg[a:e] - lo, dtype=np.float64)
+            if e < len(seg_doc):
+                error = y - p
+                for k in range(K):
+                    factor[docs, k] += np.float32(rate) * np.add.reduceat(error * parts[k], seg[a:e] - lo) / (many + np.float32(200))
+                np.clip(factor, 0, 3, out=factor)
+        return cost
 
 
 def held_out(doc: str) -> Column:
@@ -247,7 +264,7 @@ def held_out(doc: str) -> Column:
 
 def summed(train: DataFrame, size: int, fn: Callable[[list[bytes]], np.ndarray]) -> np.ndarray:
     """The sum of fn's `size` counts over all texts; tasks send those that are not 0."""
-    ship(train.sparkSession)
+    prepared(train.sparkSession)
     schema = T._parse_datatype_string("cell int, n bigint")
     arrow = _arrow(schema)
 
@@ -258,7 +275,7 @@ def summed(train: DataFrame, size: int, fn: Callable[[list[bytes]], np.ndarray])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=arrow)
 
-    return total_of(train.select("text").mapInArrow(count, schema), size)
+    return total_of(train.select("text").mapInArrow(tidy(count), schema), size)
 
 
 def total_of(cells: DataFrame, size: int) -> np.ndarray:
@@ -269,7 +286,9 @@ def total_of(cells: DataFrame, size: int) -> np.ndarray:
 
 
 def byte_counts(texts: list[bytes]) -> np.ndarray:
-    return np.bincount(np.frombuffer(b"".join(t.translate(LOWER) + b"\xff" for t in texts), np.uint8), minlength=256)
+    """Counts of (byte before, byte); before a text and after it stands the end mark."""
+    data = np.frombuffer(b"\xff" + b"".join(t.translate(LOWER) + b"\xff" for t in texts), np.uint8)
+    return np.bincount(data[:-1].astype(np.int64) << 8 | data[1:], minlength=1 << 16)
 
 
 def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -281,44 +300,53 @@ def token_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), n
 
 
-def counted(hashes: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and their counts."""
-    if not hashes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    u, inv = np.unique(np.concatenate(hashes), return_inverse=True)
-    return u, np.bincount(inv, None if counts is None else np.concatenate(counts), minlength=len(u)).astype(np.int64)
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their counts, of several sorted runs of them."""
+    if len(runs) < 2:
+        return runs[0] if runs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    keys, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    order = np.argsort(keys, kind="stable")  # merges runs that are in order
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[new], np.add.reduceat(n, new)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    return key_counts(train, lambda texts: token_hashes(texts)[0])
+    return key_counts(train, lambda texts: [token_hashes(texts)[0]])
 
 
 def pair_counts(train: DataFrame) -> DataFrame:
     return key_counts(train, lambda texts: pairs([t or b"" for t in texts]))
 
 
-def key_counts(train: DataFrame, keys: Callable[[list], np.ndarray]) -> DataFrame:
-    """h, c: each distinct key of the training texts and its count; tasks send a row for each of their distinct keys."""
+def key_counts(train: DataFrame, keys: Callable[[list], list[np.ndarray]], most: int = 3_000_000) -> DataFrame:
+    """h, c: each distinct key of the training texts and its count; tasks send a row for each of their distinct keys, of which they hold `most` at a time."""
     schema = T._parse_datatype_string("h bigint, n bigint")
     arrow = _arrow(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs: list[np.ndarray] = []
-        ns: list[np.ndarray] = []
-        for batch in chunks(batches, 0, 1 << 20):
-            h, n = np.unique(keys(batch.column(0).to_pylist()), return_counts=True)
-            hs.append(h)
-            ns.append(n)
-            if sum(map(len, hs)) > 1_500_000:
-                h, n = counted(hs, ns)
-                hs, ns = ([h], [n]) if len(h) < 750_000 else ([], [])
-                if not hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], schema=arrow)
-        h, n = counted(hs, ns)
-        for at in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=arrow)
-
-    return train.select("text").mapInArrow(count, schema).groupBy("h").agg(F.sum("n").alias("c"))
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
+        for last, batch in with_last(chunks(batches, 0, 2 << 20)):
+            runs += [np.unique(h, return_counts=True) for h in keys(batch.column(0).to_pylist())]
+            if last or sum(len(h) for h, _ in runs) > most:
+                runs = [merged(runs)]
+                if last or len(runs[0][0]) > most // 2:
+                    h, n = runs.pop()
+                    for at in range(0, len(h), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=arrow)
+
+    return train.select("text").mapInArrow(tidy(count), schema).groupBy("h").agg(F.sum("n").alias("c"))
+
+
+def with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
+    """Each item, and whether it is the last."""
+    before: list = []
+    for x in items:
+        if before:
+            yield False, before.pop()
+        before.append(x)
+    if before:
+        yield True, before.pop()
 
 
 PARTS = 64
@@ -335,67 +363,63 @@ def values_of(keys: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndarray
 class Vocabulary:
     """Values of keys in sorted files of the shared folder, mapped, not loaded; a file for each of the highest six bits."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, kind: type):
         self.parts = []
         for i in range(PARTS):
-            path = local_file(f"{folder}/{i}")
-            x = np.memmap(path, np.int64, "r") if path else np.empty(0, np.int64)
-            self.parts.append((x[: len(x) // 2], x[len(x) // 2 :]))
+            fs, path = pa_fs.FileSystem.from_uri(f"{folder}/{i}")
+            n = fs.get_file_info(path).size // (8 + np.dtype(kind).itemsize) if fs.get_file_info(path).type == pa_fs.FileType.File else 0
+            self.parts.append((np.memmap(path, np.int64, "r", 0, (n,)), np.memmap(path, kind, "r", 8 * n, (n,))) if n else (np.empty(0, np.int64), np.empty(0, kind)))
 
-    def values(self, q: np.ndarray, dtype: type) -> np.ndarray:
+    def values(self, q: np.ndarray) -> np.ndarray:
         """q: in the order of its highest six bits."""
         cut = np.searchsorted(q >> 58, np.arange(-PARTS // 2, PARTS // 2 + 1))
-        return np.concatenate([values_of(k, v.view(dtype), q[a:e]) for (k, v), a, e in zip(self.parts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+        return np.concatenate([values_of(k, v, q[a:e]) for (k, v), a, e in zip(self.parts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         u, inv = np.unique(h, return_inverse=True)
-        return self.values(u, np.int64)[inv]
+        return self.values(u)[inv]
 
-    def logits(self, keys: np.ndarray) -> np.ndarray:
-        return self.values(keys, np.float64)
 
-
-def local_file(uri: str) -> str | None:
-    """A path to the file's bytes; what is not on a mounted file system is copied to this process's temporary folder."""
-    fs, path = pa_fs.FileSystem.from_uri(uri)
-    if fs.get_file_info(path).type != pa_fs.FileType.File:
-        return None
-    if isinstance(fs, pa_fs.LocalFileSystem):
-        return path
-    with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(delete=False) as out:
-        out.write(f.read())
-    return out.name
+def mounted(folder: str) -> bool:
+    """Whether the shared folder is on a file system that every process can map files of."""
+    return isinstance(pa_fs.FileSystem.from_uri(folder)[0], pa_fs.LocalFileSystem)
 
 
 _vocabularies: dict[str, Vocabulary] = {}
 
 
-def vocabulary(folder: str) -> Vocabulary:
+def vocabulary(folder: str, kind: type) -> Vocabulary:
     if folder not in _vocabularies:
         for old in [x for x in _vocabularies if x.rpartition("/")[0] != folder.rpartition("/")[0]]:
             del _vocabularies[old]
-        _vocabularies[folder] = Vocabulary(folder)
+        _vocabularies[folder] = Vocabulary(folder, kind)
     return _vocabularies[folder]
 
 
-def write_vocabulary(known: DataFrame, folder: str, code: Code | None = None) -> None:
-    """Files of the words' counts or, with a code, of the pairs' table of decisions."""
+CELL = "cell int, n bigint"
+
+
+def write_vocabulary(known: DataFrame, folder: str, code: Code | None = None) -> np.ndarray:
+    """Files of the words' counts or, with a code, of the pairs' table of states; then returns the counts of states with each occurrence left out."""
+    arrow = _arrow(T._parse_datatype_string(CELL))
 
     def save(group):
         h, c = group.column("h").to_numpy(), group.column("c").to_numpy()
-        part = int(h[0] >> 58) + PARTS // 2
+        part, left_out = int(h[0] >> 58) + PARTS // 2, np.zeros(0, np.int64)
         if code:
-            h, c = logits(code, h, c)
+            h, c, left_out = counted_decisions(code, h, c)
         order = np.argsort(h)
         fs, path = pa_fs.FileSystem.from_uri(f"{folder}/{part}")
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
         with fs.open_output_stream(tmp) as f:
-            f.write(np.concatenate([h[order], c[order].view(np.int64)]).tobytes())
+            f.write(h[order].tobytes())
+            f.write(c[order].tobytes())
         fs.move(tmp, path)
-        return pa.table({"n": [len(h)]})
+        at = np.flatnonzero(left_out)
+        return pa.table([pa.array(at.astype(np.int32)), pa.array(left_out[at])], schema=arrow)
 
-    known.groupBy(F.expr("shiftright(h, 58)")).applyInArrow(save, "n bigint").agg(F.sum("n")).collect()
+    return total_of(known.groupBy(F.expr("shiftright(h, 58)")).applyInArrow(save, CELL), CELLS)
 
 
 def tokens_scored(texts: list, counts: np.ndarray, n: np.ndarray) -> dict:
@@ -412,21 +436,19 @@ def scored(texts: list, model: Model, counts: Lookup, lookup: Lookup) -> dict:
     return tokens_scored(texts, counts(h), n) | {"score": np.concatenate([model.log10(part, lookup) for part in sliced(texts)]).tolist()}
 
 
-def scored_by_files(d: DataFrame, words: DataFrame, contexts: DataFrame, model: Model, folder: str) -> DataFrame:
+def scored_by_files(d: DataFrame, words: DataFrame, contexts: DataFrame, code: Code, folder: str) -> DataFrame:
     """For tables of checked size: their files are read where the documents are."""
     spark = d.sparkSession
     write_vocabulary(words, f"{folder}/w")
-    write_vocabulary(contexts, f"{folder}/c", model.code)
-    model.fit(summed(d.where("not held"), 2 * CELLS, lambda texts: model.cells(texts, vocabulary(f"{folder}/c").logits)))
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(Model(code, write_vocabulary(contexts, f"{folder}/c", code)))
 
     def fn(texts: list) -> dict:
-        return scored(texts, held.value, vocabulary(f"{folder}/w").counts, vocabulary(f"{folder}/c").logits)
+        return scored(texts, held.value, vocabulary(f"{folder}/w", np.int64).counts, vocabulary(f"{folder}/c", np.uint16).values)
 
-    return map_texts(d, fn, SCORED, keep=("doc_id", "held"), chunk_bytes=1 << 20)
+    return map_texts(d, fn, SCORED, keep=("doc_id", "held"), chunk_bytes=2 << 20)
 
 
-def sliced(texts: list, most: int = 1 << 19) -> Iterator[list[bytes]]:
+def sliced(texts: list, most: int = 2 << 20) -> Iterator[list[bytes]]:
     """Texts in runs of about `most` bytes."""
     part, size = [], 0
     for t in texts:
@@ -440,80 +462,72 @@ def sliced(texts: list, most: int = 1 << 19) -> Iterator[list[bytes]]:
         yield part
 
 
-def scored_by_blocks(d: DataFrame, words: DataFrame, contexts: DataFrame, model: Model, folder: str, n_pairs: int, block_bytes: int) -> DataFrame:
+def scored_by_blocks(d: DataFrame, words: DataFrame, contexts: DataFrame, code: Code, folder: str, n_pairs: int, block_bytes: int) -> DataFrame:
     """For tables of any size: documents are dealt to blocks of bounded size, a block asks once for each of its keys, and the values come back to it."""
-    code = model.code
     n_blocks = max(1, math.ceil((d.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("blk"), "doc_id", "held", "text")
+    # A row's number in its partition is as good as random, and spreads repeated rows; written, it is the same for a task that comes again.
+    d = written(d.withColumn("blk", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks))), folder, "dealt")
+    groups = max(1, n_pairs // 500_000)  # all pairs of a context in one
+    dealt = contexts.groupBy(F.pmod(F.xxhash64(F.expr(f"h & {~(BYTE << NEXT)}L")), F.lit(groups)))
+    cell_schema = _arrow(T._parse_datatype_string(CELL))
+
+    def leave_out(group):
+        n = counted_decisions(code, group.column("h").to_numpy(), group.column("c").to_numpy())[2]
+        at = np.flatnonzero(n)
+        return pa.table([pa.array(at.astype(np.int32)), pa.array(n[at])], schema=cell_schema)
 
     def expand(group):
-        h, x = logits(code, group.column("h").to_numpy(), group.column("c").to_numpy())
-        return pa.table({"kind": np.ones(len(h), np.int32), "h": h, "v": x})
+        h, s, _ = counted_decisions(code, group.column("h").to_numpy(), group.column("c").to_numpy())
+        return pa.table({"kind": np.ones(len(h), np.int32), "h": h, "v": s.astype(np.int64)})
 
-    groups = max(1, n_pairs // 500_000)  # all pairs of a context in one
-    tables = contexts.groupBy(F.pmod(F.shiftright("h", 8), F.lit(groups))).applyInArrow(expand, "kind int, h bigint, v double")
-    known = words.select(F.lit(0).alias("kind"), "h", F.col("c").cast("double").alias("v")).unionByName(tables)
+    model = Model(code, total_of(dealt.applyInArrow(leave_out, CELL), CELLS))
+    known = words.select(F.lit(0).alias("kind"), "h", F.col("c").alias("v")).unionByName(dealt.applyInArrow(expand, "kind int, h bigint, v bigint"))
 
     def ask(group):
         w, c = [], []
         for b in chunks(iter(group.select(["blk", "text"]).to_batches()), 1, 1 << 19):
             texts = b.column(1).to_pylist()
             w.append(np.unique(token_hashes(texts)[0]))
-            c.append(np.unique(pairs([t or b"" for t in texts])))
+            c += [np.unique(x) for x in pairs([t or b"" for t in texts])]
         w, c = np.unique(np.concatenate(w)), np.unique(decisions(code, np.unique(np.concatenate(c)))[0])
         return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [len(w), len(c)]), "h": np.concatenate([w, c]), "blk": np.full(len(w) + len(c), group.column("blk")[0].as_py(), np.int64)})
 
     answers = written(d.groupBy("blk").applyInArrow(ask, "kind int, h bigint, blk bigint").join(known, ["kind", "h"]), folder, "answers")
-
-    def lookups(right) -> list[Lookup]:
-        out = []
-        kind, h, v = (right.column(x).to_numpy() for x in ("kind", "h", "v"))
-        for k in range(2):
-            order = np.flatnonzero(kind == k)
-            order = order[np.argsort(h[order])]
-            out.append(lambda q, keys=h[order], values=v[order]: values_of(keys, values, q))
-        return out
-
-    cell_schema = _arrow(T._parse_datatype_string("cell int, n bigint"))
-
-    def cells(left, right):
-        lookup, total = lookups(right)[1], np.zeros(2 * CELLS, np.int64)
-        for batch in chunks(iter(left.select(["doc_id", "text"]).to_batches()), 1, 1 << 19):
-            total += model.cells([t or b"" for t in batch.column(1).to_pylist()], lookup)
-        at = np.flatnonzero(total)
-        return pa.table([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=cell_schema)
-
-    train = d.where("not held").groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(cells, "cell int, n bigint")
-    model.fit(total_of(train, 2 * CELLS))
     held = d.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([d.schema["doc_id"], d.schema["held"], *T._parse_datatype_string(SCORED).fields])
     arrow = _arrow(schema)
 
     def score(left, right):
-        counts, lookup = lookups(right)
+        lookups = []
+        kind, h, v = (right.column(x).to_numpy() for x in ("kind", "h", "v"))
+        for k, dtype in enumerate((np.int64, np.uint16)):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(h[own])]
+            lookups.append(lambda q, keys=h[own], values=v[own].astype(dtype): values_of(keys, values, q))
         out: dict[str, list] = {f.name: [] for f in schema.fields[2:]}
-        for batch in chunks(iter(left.select(["doc_id", "held", "text"]).to_batches()), 2, 1 << 20):
-            for k, v in scored(batch.column(2).to_pylist(), held.value, lambda h: counts(h).astype(np.int64), lookup).items():
-                out[k] += v
+        for batch in chunks(iter(left.select(["doc_id", "held", "text"]).to_batches()), 2, 2 << 20):
+            for k, x in scored(batch.column(2).to_pylist(), held.value, *lookups).items():
+                out[k] += x
         return pa.table([left.column("doc_id"), left.column("held"), *(pa.array(out[f.name], arrow.field(f.name).type) for f in schema.fields[2:])], schema=arrow)
 
     return d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score, schema)
 
 
-def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, small_words: int = 16_000_000, small_pairs: int = 32_000_000) -> DataFrame:
+def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, small_words: int = 16_000_000, small_pairs: int = 64_000_000) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Words and contexts are known by 64 and 56 bits of hash. At most small_words words and small_pairs pairs of a context and its next byte are read
-    from files by every task (16 bytes a word, and a decision of a pair); more are joined by blocks.
+    Words are known by 64 bits of hash. At most small_words words (16 bytes each) and small_pairs pairs of a context and its next byte (10 bytes a
+    decision, of which pairs of one context share some) are read from files by every task; more are joined by blocks.
     """
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     d = docs.select(F.col(doc).alias("doc_id"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
     train, folder = d.where("not held"), shared_dir(docs.sparkSession)
-    model = Model(Code(summed(train, 256, byte_counts)))
+    code = Code(summed(train, 1 << 16, byte_counts))
     words, contexts = written(word_counts(train), folder, "words"), written(pair_counts(train), folder, "pairs")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_pairs = contexts.count()
-    rows = scored_by_files(d, words, contexts, model, folder) if v <= small_words and n_pairs <= small_pairs else scored_by_blocks(d, words, contexts, model, folder, n_pairs, block_bytes)
+    small = v <= small_words and n_pairs <= small_pairs and mounted(folder)
+    rows = scored_by_files(d, words, contexts, code, folder) if small else scored_by_blocks(d, words, contexts, code, folder, n_pairs, block_bytes)
     base = F.col("part") - F.col("n_tokens") * math.log10(n + v + 1)
     return rows.select(
         F.col("doc_id").alias(doc), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")
