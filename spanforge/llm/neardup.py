@@ -2,7 +2,7 @@
 
 A document is the set of its distinct word shingles, as 64-bit hashes of whole shingles. Documents with equal sets (equal digests) are one
 class from the start. Each class has m registers, floor(1 - log_b(least exponential variate of its shingles)) cut off to 0..q + 1. Bands
-of `rows` registers give buckets; with 32 bands of 6 a pair at similarity 0.85 misses all of them with probability 3e-7.
+of `rows` registers give buckets: as many registers as let a pair at the threshold miss all bands with a probability of 1e-6 at most (0.85: 32 bands of 6; 0.8: 38 of 5).
 
 Links are found without emitting the pairs of a bucket. First every member is held against the least id of its
 bucket. Components of confirmed links then leave few buckets with several components; there every pair across
@@ -12,8 +12,8 @@ one component already, shares no bucket, or has an estimate five standard deviat
 Confirmation shuffles the texts of candidates to their partner, salted for partners with many candidates, and compares full
 sets. Components by least label with pointer jumping, from table to table in the shared folder; nothing of documents comes to the driver.
 
-Nulls: a null or wordless text has an empty set and is linked with nothing. A row with a null id is its own component. Repeated rows
-are copies: rows with the same id form one vertex. An empty table gives no rows.
+Nulls: a null or wordless text has an empty set and is linked with nothing. A row with a null id is its own component. Rows with the same id form
+one vertex: of several texts with one id, the one whose set has the least hash is compared, and all the id's rows get its component. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, _arrow, map_texts, shared_dir, ship, written
+from .common import LOWER, _arrow, map_texts, prepared, shared_dir, tidy, written
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -47,14 +48,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0..n-1, modulo 2^64."""
+def powers(n: int, keep: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0..n-1, modulo 2^64. Up to `keep` of them are kept for the next call."""
     if len(_powers.get("b", ())) < n:
-        size = max(n, 1 << 16)
+        found = {}
         for k, f in (("b", BASE), ("i", INVERSE)):
-            x = np.full(size, f, U)
+            x = np.full(max(n, 1 << 16), f, U)
             x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
+            found[k] = np.cumprod(x, dtype=U)
+        if n > keep:
+            return found["b"], found["i"]
+        _powers.update(found)
     return _powers["b"][:n], _powers["i"][:n]
 
 
@@ -102,6 +106,10 @@ class Sketch:
         self.flip = rng.integers(0, 2**64, m, dtype=U)
         self.times = rng.integers(0, 2**64, m, dtype=U) | U(1)
 
+    def band_rows(self, share: int, miss: float = 1e-6) -> int:
+        """Registers of a band: the most with which a pair at the threshold shares no band with a probability of `miss` at most."""
+        return max((r for r in range(1, self.m + 1) if (1 - (share / 100) ** r) ** (self.m // r) <= miss), default=1)
+
     def registers(self, sets: list[np.ndarray]) -> np.ndarray:
         """A row of uint16 for each set; empty sets have zeros."""
         out = np.zeros((len(sets), self.m), np.uint16)
@@ -140,7 +148,7 @@ class Sketch:
 
 
 def sketched(docs: DataFrame, sketch: Sketch, size: int, *, doc: str, text: str) -> DataFrame:
-    """doc, digest (null: empty set), n (set size), regs."""
+    """doc, th (a hash of the text), digest (null: empty set), n (set size), regs."""
 
     def fn(texts: list) -> dict:
         sets = shingle_sets(texts, size)
@@ -151,12 +159,16 @@ def sketched(docs: DataFrame, sketch: Sketch, size: int, *, doc: str, text: str)
             "regs": [r.tobytes() for r in regs],
         }
 
-    return map_texts(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), fn, "digest binary, n bigint, regs binary", keep=("doc",))
+    return map_texts(with_text(docs, doc, text), fn, "digest binary, n bigint, regs binary", keep=("doc", "th"))
+
+
+def with_text(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
 
 def banded(classes: DataFrame, rows: int) -> DataFrame:
     """key, doc, n, band: a row for each band."""
-    ship(classes.sparkSession)
+    prepared(classes.sparkSession)
     schema = T._parse_datatype_string("key bigint, doc bigint, n bigint, band int")
     arrow = _arrow(schema)
 
@@ -174,19 +186,21 @@ def banded(classes: DataFrame, rows: int) -> DataFrame:
             band = np.tile(np.arange(bands, dtype=np.int32), len(regs))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(doc), pa.array(n), pa.array(band)], schema=arrow)
 
-    return classes.select("doc", "n", "regs").mapInArrow(run, schema)
+    return classes.select("doc", "n", "regs").mapInArrow(tidy(run), schema)
 
 
 def chosen(texts: DataFrame, classes: DataFrame, wanted: DataFrame, small_ids: int = 2_000_000) -> DataFrame:
     """doc, text, n, regs of the wanted documents. Up to small_ids ids (16 MB) go to every task, so that only their texts move; more are joined by a shuffle."""
     wanted = wanted.distinct()
     few = wanted.limit(small_ids + 1).count() <= small_ids
-    return texts.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi").join(classes.select("doc", "n", "regs"), "doc")
+    wanted = wanted.join(classes.select("doc", "th"), "doc")
+    texts = texts.join(F.broadcast(wanted) if few else wanted, ["doc", "th"], "left_semi")
+    return texts.join(classes.select("doc", "n", "regs"), "doc").drop("th")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch, size: int, share: int, salt_rows: int = 500) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have 100 * intersection >= share * union. texts: doc, text, a row for each class."""
-    ship(pairs.sparkSession)
+    """Those of the pairs (a, b) whose sets have 100 * intersection >= share * union. texts: doc, th, text, a row for each class at least."""
+    prepared(pairs.sparkSession)
     schema = T._parse_datatype_string("a bigint, b bigint")
     arrow = _arrow(schema)
     floor = share / 100 - 5 * math.sqrt(share / 100 * (1 - share / 100) / sketch.m)
@@ -220,14 +234,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sk
                     found.append({"a": a, "b": r["doc"]})
             yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
-    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(tidy(run), schema)
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """v, c: the least vertex that each vertex of the edges (a, b) can reach."""
     both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), folder, "both")
     now = both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("c"))
-    for i in range(200):
+    for i in count():
         now = written(now, folder, f"label{i}")
         near = both.join(now.select(F.col("v").alias("w"), "c"), "w").groupBy("v").agg(F.min("c").alias("near"))
         nxt = now.join(near, "v").select("v", F.least("c", "near").alias("c"), F.col("c").alias("was"))
@@ -236,7 +250,6 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if nxt.where("c <> was").isEmpty():
             return now
         now = nxt.drop("was")
-    raise RuntimeError("components did not settle")
 
 
 def across(members: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Sketch, size: int, share: int, rows: int, block: int = 1000) -> DataFrame:
@@ -300,22 +313,42 @@ def across(members: DataFrame, classes: DataFrame, texts: DataFrame, sketch: Ske
     return m.groupBy("key", "i", "j").applyInArrow(links, schema).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 5, share: int = 85, rows: int = 6, sketch: Sketch | None = None) -> DataFrame:
+def met(buckets: DataFrame, many: DataFrame, total: int, hot_share: int = 2000) -> DataFrame:
+    """The rows of buckets whose key is in many, with its columns (a, na, size).
+
+    Buckets with more than one in hot_share of all rows (there are fewer than hot_share of them) go to every task; their rows stay where they are.
+    """
+    hot = F.col("size") > total / hot_share
+    few = many.where(hot).select("key", F.struct("a", "na", "size").alias("h"))
+    rest = many.where(~hot).select(F.col("key").alias("k"), F.struct("a", "na", "size").alias("m"))
+    b = buckets.join(F.broadcast(few), "key", "left")
+    b = b.withColumn("dealt", F.when(F.col("h").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "band")))
+    b = b.join(rest, (F.col("dealt") == F.col("k")) & F.col("h").isNull(), "left").withColumn("m", F.coalesce("h", "m"))
+    return b.where("m is not null").select("key", "doc", "n", "band", "m.a", "m.na", "m.size")
+
+
+def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 5, share: int = 85, sketch: Sketch | None = None) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept, class_id (least id of the documents with the same set)."""
     sketch = sketch or Sketch()
+    rows = sketch.band_rows(share)
     folder = shared_dir(docs.sparkSession)
     d = written(sketched(docs, sketch, size, doc=doc, text=text), folder, "sketches")
     able = d.where("doc is not null and digest is not null")
-    classes = written(able.groupBy("digest").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs")), folder, "classes")
+    # Ids with several sets, and the hash of the one that is compared.
+    several = written(able.groupBy("doc").agg(F.min(F.xxhash64("digest")).alias("own"), F.max(F.xxhash64("digest")).alias("hi")).where("own <> hi").drop("hi"), folder, "several")
+    if twice := not several.isEmpty():
+        able = able.join(several, "doc", "left").where("own is null or xxhash64(digest) = own").drop("own")
+    first = F.min(F.struct("doc", "th")).alias("least")
+    classes = able.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = written(classes.select("digest", "least.doc", "least.th", "n", "regs"), folder, "classes")
     ids = classes.select("doc", "digest")
     buckets = banded(classes, rows)
     many = buckets.groupBy("key").agg(F.min("doc").alias("a"), F.min_by("n", "doc").alias("na"), F.count(F.lit(1)).alias("size")).where("size > 1")
     many = written(many, folder, "many")
-    buckets = written(buckets.join(many, "key"), folder, "buckets")  # only rows of buckets with several members
+    buckets = written(met(buckets, many, classes.count() * (sketch.m // rows)), folder, "buckets")  # only rows of buckets with several members
     near = f"100 * least(n, na) >= {share} * greatest(n, na)"
     stars = written(buckets.where(f"doc <> a and {near}").select("a", F.col("doc").alias("b")).distinct(), folder, "stars")
-    # A class's text is that of its least document; rows with one id are copies here, so any of them.
-    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    texts = with_text(docs, doc, text).where("doc is not null and text is not null")
     links = written(confirmed(stars, classes, texts, sketch, size, share), folder, "links1")
     found = components(links, f"{folder}/cc1")
     members = buckets.join(found.select(F.col("v").alias("doc"), "c"), "doc", "left").select("key", "band", "doc", "n", F.coalesce("c", "doc").alias("c"))
@@ -327,11 +360,22 @@ def near_duplicates(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
         found = components(links.union(more), f"{folder}/cc2")
     groups = ids.join(found.select(F.col("v").alias("doc"), "c"), "doc", "left").select(F.col("digest").alias("dg"), F.col("doc").alias("class_id"), F.coalesce("c", "doc").alias("c"))
     out = d.join(groups, (F.col("digest") == F.col("dg")) & F.col("doc").isNotNull(), "left")
+    if twice:
+        out = out.join(several, "doc", "left")
+        chosen_ = out.where("xxhash64(digest) = own").groupBy("doc").agg(F.first("c").alias("c1"), F.first("class_id").alias("k1"))
+        out = out.join(chosen_, "doc", "left").withColumns({"c": F.coalesce("c1", "c"), "class_id": F.coalesce("k1", "class_id")})
     comp = F.coalesce("c", "doc")
     return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc").eqNullSafe(comp).alias("kept"), F.coalesce("class_id", "doc").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, *, doc: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, without those that another of their component stands for."""
+    """The documents, with all their columns, without those that another of their component stands for. Of several rows with one id one stays, that with the least hash."""
     gone = near_duplicates(docs, doc=doc, **options).where("not kept").select(F.col(doc).alias("__gone"))
-    return docs.join(gone, F.col(doc) == F.col("__gone"), "left_anti")
+    left = docs.join(gone, F.col(f"`{doc}`") == F.col("__gone"), "left_anti")
+    often = docs.groupBy(F.col(f"`{doc}`").alias("__often")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 and __often is not null").select("__often")
+    often = written(often, shared_dir(docs.sparkSession), "often")
+    if often.isEmpty():
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = left.join(often, F.col(f"`{doc}`") == F.col("__often"), "left_semi").groupBy(F.col(f"`{doc}`").alias("__id")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row"))
+    return left.join(often, F.col(f"`{doc}`") == F.col("__often"), "left_anti").unionByName(one.select("__row.*"))
