@@ -23,19 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship
+from .common import clear, code_points, map_texts, prepared, tidy
 
-#: The patterns of the contract, in its order of kinds.
+#: The patterns of the contract, in its order of kinds. What cannot match from a later place of a run of digits is not tried there.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(rb"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(rb"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(rb"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 DIGIT = re.compile(rb"[0-9]")
 
 
+def emails(text: bytes) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping matches of a run of LOCAL, "@" and DOMAIN. From "@" to "@", so that no run of letters is tried from each of its places."""
+    free = 0  # the end of the last match, or what follows the last "@"
+    at = text.find(b"@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(LOCAL))
+        free = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            free = m.end()
+            yield start, free
+        at = text.find(b"@", free)
+
+
 def luhn(digits: bytes) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -48,21 +62,21 @@ def luhn(digits: bytes) -> bool:
 
 def valid(kind: str, m: bytes) -> bool:
     if kind == "ip":
-        return all(int(p) <= 255 for p in m.split(b"."))
+        return all(len(p) <= 3 and int(p) <= 255 for p in (p.lstrip(b"0") or b"0" for p in m.split(b".")))
     digits = bytes(c for c in m if 48 <= c <= 57)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 9 <= len(digits) <= 15
+    return 9 <= len(digits) <= 15
 
 
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     """Spans in code points, by kind, then start."""
-    kinds = [k for k, hint in (("email", b"@" in text), ("phone", b"+" in text)) if hint]
+    out = [("email", a, e) for a, e in emails(text)]
     if DIGIT.search(text):
-        kinds += ["ip", "card"]
-    out = [(k, m.start(), m.end()) for k in KINDS if k in kinds for m in PATTERNS[k].finditer(text) if valid(k, m[0])]
+        out += [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in p.finditer(text) if valid(k, m[0])]
     if out and not text.isascii():
-        out = [(k, len(text[:a].decode()), len(text[:a].decode()) + e - a) for k, a, e in out]
+        at = code_points(text, [a for _, a, _ in out])
+        out = [(k, at[a], at[a] + e - a) for k, a, e in out]
     return out
 
 
@@ -87,7 +101,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Embedding, LSTM in both directions, linear emissions, CRF. Arrays are (time, batch, ...)."""
 
-    def __init__(self, hidden: int = 20, embed: int = 10, seed: int = 3):
+    def __init__(self, hidden: int = 12, embed: int = 10, seed: int = 3):
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
         self.h = hidden
@@ -236,8 +250,9 @@ def made_up(r: np.random.Generator, kind: str) -> str:
     if kind == "ip":
         return pick(".", ".", ". ", " . ").join(str(x) for x in r.integers(0, 256, 4))
     if kind == "card":
-        sep = pick("", " ", "-", ".")
-        return sep.join(d(4) for _ in range(4))
+        digits = d(15)
+        digits += next(c for c in "0123456789" if luhn((digits + c).encode()))
+        return pick("", " ", "-", ".").join(digits[i : i + 4] for i in range(0, 16, 4))
     return pick("+1 ", "+49 ", "001 ", "1-", "") + pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}")
 
 
@@ -290,14 +305,14 @@ def trained(texts: list[str], *, windows: int = 1500, width: int = 64, steps: in
 
 def fitted(spark: SparkSession, texts: list[str]) -> Tagger:
     """The tagger, trained in one task, so that the driver stays free and numpy has the threads of a task."""
-    ship(spark)
+    prepared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pylist([{"w": pickle.dumps(trained(batch.column(0).to_pylist()[0]).w)}], schema=pa.schema([("w", pa.binary())]))
 
     tagger = Tagger()
-    tagger.w = pickle.loads(spark.createDataFrame([(texts,)], "texts array<string>").mapInArrow(run, "w binary").first().w)
+    tagger.w = pickle.loads(spark.createDataFrame([(texts,)], "texts array<string>").mapInArrow(tidy(run), "w binary").first().w)
     return tagger
 
 
@@ -342,7 +357,7 @@ def reconciled(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(tagger: Tagger, texts: list[str], *, width: int = 128, overlap: int = 32, least: float = 0.5, batch: int = 512) -> list[list[tuple[str, int, int]]]:
+def model_spans(tagger: Tagger, texts: list[str], *, width: int = 256, overlap: int = 32, least: float = 0.5, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of the model in each text, reconciled over the text."""
     parts: list[list[tuple[int, int, int, bool, bool, float]]] = [[] for _ in texts]
     codes: dict[int, np.ndarray] = {}
@@ -367,7 +382,12 @@ def model_spans(tagger: Tagger, texts: list[str], *, width: int = 128, overlap:
                     y += 1
                 margin = float((e[r, np.arange(x, y), row[x:y]] - e[r, x:y, 0]).sum())
                 parts[i].append((a + x, a + y, int(row[x] - 1) // 2, x == 0 and a > 0, y == width and a + width < len(texts[i]), margin))
-    return [[(KINDS[k], a, e) for a, e, k in reconciled([x for x in whole(p) if x[0] >= least])] for p in parts]
+    return [[(KINDS[k], a, e) for a, e, k in reconciled([x for x in whole(p) if x[0] >= least and possible(KINDS[x[3]], texts[i][x[1] : x[2]])])] for i, p in enumerate(parts)]
+
+
+def possible(kind: str, span: str) -> bool:
+    """A card number has a check digit: what fails it is none, however it looks."""
+    return kind != "card" or valid("card", "".join(c for c in span if c in "0123456789").encode())
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -377,11 +397,13 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", sample_docs: int = 400, sample_chars: int = 4000) -> DataFrame:
     """A row for each document: n_email, n_ip, n_card, n_phone (of the patterns), base, spans (all), as text.
 
-    The network is fitted on at most sample_docs documents (the smallest hashes), of each at most sample_chars characters around; all whole texts are searched.
+    The network is fitted on at most sample_docs documents (the smallest hashes), of a text of over sample_chars characters on a stretch of so many,
+    at a place that the hash chooses; all whole texts are searched.
     """
     hashed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc)).alias("h"), F.col(text).alias("t"))
     bound = hashed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    sample = hashed.where(F.lit(False) if bound is None else F.col("h") <= bound).select("h", F.substring("t", 1, sample_chars).alias("t")).orderBy("h", "t").limit(sample_docs).collect()
+    stretch = F.substring("t", F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1).cast("int") + 1, F.lit(sample_chars))
+    sample = hashed.where(F.lit(False) if bound is None else F.col("h") <= bound).select("h", stretch.alias("t")).orderBy("h", "t").limit(sample_docs).collect()
     held = docs.sparkSession.sparkContext.broadcast(fitted(docs.sparkSession, [r.t for r in sample]))
 
     def setup():
@@ -395,7 +417,7 @@ def find(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", sample_doc
                 for k in KINDS:
                     out[f"n_{k}"].append(sum(x[0] == k for x in b))
                 out["base"].append(joined(b))
-                out["spans"].append(joined(b + [x for x in m if not any(x[1] < e and a < x[2] for _, a, e in b)]))
+                out["spans"].append(joined(b + clear(m, b)))
             return out
 
         return fn
