@@ -9,8 +9,8 @@ words there are then compared with the window's exactly.
 The benchmark is never assumed small: it is streamed to the driver in blocks of at most `block_words` words, each block is
 broadcast alone and meets all documents; hits of several blocks are carried from one pass to the next in a table of the shared folder.
 
-Nulls: a null text has no words. Empty benchmark: no document is hit. Repeated rows are judged one by one, repeated
-items each count. A null item_id is a row without an item: it is ignored.
+Nulls: a null text has no words. Empty benchmark: no document is hit. Repeated rows are judged one by one; items with one id are
+one item. All items with a null id are one without a name: its windows hit, it counts as an item, and it stands in `items` as a null, at the end.
 """
 
 from __future__ import annotations
@@ -31,75 +31,95 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(TO_WORDS).split() if text else []
 
 
+#: What stands after a text's words.
+END = np.array([-2], np.int32)
+
+
 class Known(dict):
     def __missing__(self, key):
         return -1
 
 
+U = np.uint64
+STEP = U(0x9E3779B97F4A7C15)
+
+
+def codes(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of the word ids in each row. What it finds is compared word by word afterwards."""
+    h = np.zeros(len(columns[0]), U)
+    for c in columns:
+        h = (h + c.astype(U) + U(1)) * STEP
+        h ^= h >> U(29)
+    return h.view(np.int64)
+
+
 class Block:
-    """Some benchmark items: vocabulary, distinct windows, and the windows by their prefix shingle."""
+    """Some benchmark items (or parts of long ones): vocabulary, distinct windows, and the windows by their prefix shingle."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int, shingle: int):
         self.vocab = Known()
-        self.windows: list[tuple[int, ...]] = []
-        self.owners: list[list[int]] = []
-        seen: dict[tuple[int, ...], int] = {}
-        for item, ws in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in ws]
-            for i in range(max(1, len(ids) - window + 1)):
-                w = tuple(ids[i : i + window])
-                if w not in seen:
-                    seen[w] = len(self.windows)
-                    self.windows.append(w)
-                    self.owners.append([])
-                own = self.owners[seen[w]]
-                if not own or own[-1] != item:
-                    own.append(item)
-        self.base = len(self.vocab) + 1
-        assert self.base < 2**20, "three words share 63 bits: a block must have fewer distinct words"
-        self.shingle = min(shingle, 3)
-        self.sizes = sorted({min(self.shingle, len(w)) for w in self.windows})
-        self.codes = {k: np.unique(np.array([c for w in self.windows if min(self.shingle, len(w)) == k for c in self._codes(w, k)], np.int64)) for k in self.sizes}
-        self.lengths = np.array([len(w) for w in self.windows] or [0], np.int32)
-        self.matrix = np.full((max(1, len(self.windows)), window), -9, np.int32)
-        for i, w in enumerate(self.windows):
-            self.matrix[i, : len(w)] = w
+        self.names = [i for i, _ in items]
+        rows, owners = [], []
+        for k, (_, ws) in enumerate(items):
+            ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab)) for w in ws), np.int32, len(ws))
+            if len(ids) < window:
+                ids = np.append(ids, np.full(window - len(ids), -9, np.int32))
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            owners.append(np.full(len(rows[-1]), k))
+        every = np.ascontiguousarray(np.concatenate(rows))
+        _, first, inv = np.unique(every.view(f"V{every.itemsize * window}").ravel(), return_index=True, return_inverse=True)
+        self.matrix = every[first]
+        self.lengths = (self.matrix >= 0).sum(1).astype(np.int32)
+        pairs = np.unique(inv.astype(np.int64) * len(items) + np.concatenate(owners))
+        self.owner, self.owner_from = pairs % len(items), np.searchsorted(pairs // len(items), np.arange(len(first) + 1))
+        self.shingle = shingle
+        self.size = np.minimum(self.lengths, shingle)
+        self.sizes = np.unique(self.size).tolist()
+        self.codes = {k: np.unique(np.concatenate([c for _, _, c in self._codes(k)])) for k in self.sizes}
         self.windows_by: dict = {}
 
-    def _codes(self, w: tuple[int, ...], k: int) -> list[int]:
-        out = []
-        for i in range(len(w) - k + 1):
-            c = 0
-            for x in w[i : i + k]:
-                c = c * self.base + x
-            out.append(c)
-        return out
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """counts: by (k, code), over all documents. Chooses each window's rarest shingle."""
-        rows: dict[int, list[tuple[int, int, int]]] = {k: [] for k in self.sizes}
-        for i, w in enumerate(self.windows):
-            k = min(self.shingle, len(w))
-            cs = self._codes(w, k)
-            at = min(range(len(cs)), key=lambda j: (counts.get((k, cs[j]), 0), j))
-            if counts.get((k, cs[at]), 0):
-                rows[k].append((cs[at], i, at))
-        for k, r in rows.items():
-            r.sort()
-            code, win, off = (np.array(x, np.int64) for x in zip(*r, strict=True)) if r else (np.empty(0, np.int64),) * 3
-            keys, first = np.unique(code, return_index=True)
-            self.windows_by[k] = (keys, np.append(first, len(code)), win, off)
-        del self.windows
-
-    def ids(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids of all texts (-1: not in the benchmark), with a -2 after each text; words of each text."""
+    def owners(self, w: int) -> list:
+        return [self.names[k] for k in self.owner[self.owner_from[w] : self.owner_from[w + 1]].tolist()]
+
+    def _codes(self, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each place in a window: the place, the windows (with shingles of k words) that have it, and the shingle's code there."""
+        own = np.flatnonzero(self.size == k)
+        for j in range(self.matrix.shape[1] - k + 1):
+            has = own[self.lengths[own] >= j + k]
+            if len(has):
+                yield j, has, codes([self.matrix[has, j + t] for t in range(k)])
+
+    def order(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """counts: by size, sorted codes and how often they stand in all documents. Chooses each window's rarest shingle, the first of equally rare ones."""
+        best = np.full(len(self.matrix), np.iinfo(np.int64).max)
+        code, off = np.zeros(len(self.matrix), np.int64), np.zeros(len(self.matrix), np.int64)
+        for k in self.sizes:
+            keys, n = counts.get(k, (np.empty(0, np.int64),) * 2)
+            for j, has, c in self._codes(k):
+                i = np.minimum(np.searchsorted(keys, c), max(0, len(keys) - 1))
+                found = np.where(keys[i] == c, n[i], 0) if len(keys) else np.zeros(len(c), np.int64)
+                less = found < best[has]
+                at = has[less]
+                best[at], code[at], off[at] = found[less], c[less], j
+            own = np.flatnonzero((self.size == k) & (best > 0))  # without one of its shingles a window cannot occur
+            own = own[np.argsort(code[own], kind="stable")]
+            keys, first = np.unique(code[own], return_index=True)
+            self.windows_by[k] = (keys, np.append(first, len(own)), own, off[own])
+
+    def ids(self, texts: list, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids of all texts (-1: not in the benchmark), with a -2 after each text; words of each text. Words are objects a piece at a time only."""
         flat, sizes, get = [], [], self.vocab.__getitem__
         for t in texts:
-            ws = words(t)
-            sizes.append(len(ws))
-            flat.extend(map(get, ws))
-            flat.append(-2)
-        return np.array(flat, np.int32), np.array(sizes, np.int64)
+            n, at, low = 0, 0, t.translate(TO_WORDS) if t else b""
+            while at < len(low):
+                end = low.find(b" ", at + piece)
+                end = len(low) if end < 0 else end
+                ws = low[at:end].split()
+                flat.append(np.fromiter(map(get, ws), np.int32, len(ws)))
+                n, at = n + len(ws), end
+            sizes.append(n)
+            flat.append(END)
+        return np.concatenate(flat) if flat else np.empty(0, np.int32), np.array(sizes, np.int64)
 
     def places(self, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose k words are all known, and their codes."""
@@ -108,10 +128,7 @@ class Block:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         ok = np.logical_and.reduce([ok[j : n + j] for j in range(k)])
         at = np.flatnonzero(ok)
-        code = ids[at].astype(np.int64)
-        for j in range(1, k):
-            code = code * self.base + ids[at + j]
-        return at, code
+        return at, codes([ids[at + j] for j in range(k)])
 
     def shingle_counts(self, texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         ids, _ = self.ids(texts)
@@ -154,15 +171,18 @@ class Block:
 
 
 def blocks(benchmark: DataFrame, window: int, shingle: int, block_words: int, *, item: str, text: str) -> Iterator[Block]:
-    """Streams the items; the driver holds one block and one partition at a time."""
+    """Streams the items; the driver holds one block and one partition at a time. An item of over block_words words comes in parts that overlap by a window less a word."""
     rows, n = [], 0
-    for r in benchmark.select(F.col(item).alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null").toLocalIterator():
-        if ws := words(r.t):
-            if n and n + len(ws) > block_words:
-                yield Block(rows, window, shingle)
-                rows, n = [], 0
-            rows.append((r.i, ws))
-            n += len(ws)
+    for r in benchmark.select(F.col(item).alias("i"), F.col(text).cast("binary").alias("t")).toLocalIterator():
+        ws = words(r.t)
+        step = max(1, block_words - window + 1)
+        for at in range(0, max(1, len(ws) - window + 1), step):
+            if part := ws[at : at + step + window - 1]:
+                if n and n + len(part) > block_words:
+                    yield Block(rows, window, shingle)
+                    rows, n = [], 0
+                rows.append((r.i, part))
+                n += len(part)
     if rows:
         yield Block(rows, window, shingle)
 
@@ -180,14 +200,15 @@ def ordered(docs: DataFrame, block: Block, text: str) -> Block:
         return {"rows": [list(zip(k, c, n, strict=True))] + [[]] * (len(texts) - 1)}
 
     each = map_texts(docs, count, "rows array<struct<k:int,c:bigint,n:bigint>>", keep=(), text=text)
-    got = each.select(F.explode("rows").alias("r")).groupBy("r.k", "r.c").agg(F.sum("r.n").alias("n")).collect()  # at most a row for each of the block's own shingles
-    block.order({(r.k, r.c): r.n for r in got})
+    got = each.select(F.explode("rows").alias("r")).groupBy("r.k", "r.c").agg(F.sum("r.n").alias("n")).orderBy("k", "c").toArrow()  # at most a row for each of the block's own shingles
+    k, c, n = (got.column(x).to_numpy() for x in ("k", "c", "n"))
+    block.order({size: (c[k == size], n[k == size]) for size in block.sizes})
     held.unpersist()
     return block
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 3, block_words: int = 500_000, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document: its id, n_words, n_hit, items (ids as sorted strings), spans of hit words (first, end)."""
+    """A row for each document: its id, n_words, n_hit, items (ids as sorted strings, null last), spans of hit words (first, end)."""
     folder, state = shared_dir(docs.sparkSession), docs.select(F.col(doc).alias("doc"), F.col(text).cast("binary").alias("txt"))
     state = state.withColumns({"n": F.lit(None).cast("bigint"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<array<int>>")})
     k = 0
@@ -224,8 +245,8 @@ def occurring(block: Block, texts: list) -> tuple[list, list, list]:
         else:
             own.append([a, e])
     for i, j in set(zip(d.tolist(), w.tolist(), strict=True)):
-        items[i].update(map(str, block.owners[j]))
-    return sizes.tolist(), [sorted(x) for x in items], spans
+        items[i].update(None if x is None else str(x) for x in block.owners(j))
+    return sizes.tolist(), [sorted(x, key=lambda i: (i is None, i or "")) for x in items], spans
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 3, block_words: int = 500_000, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
