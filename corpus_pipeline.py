@@ -1,6 +1,9 @@
 """A training-corpus pipeline: quality rules, near duplicates, benchmark decontamination, source mix, token ids.
 
-STAGES: (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents.
+STAGES: (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents, whatever further columns there are.
+
+Nulls: a null text has no words, so the first stage drops it. Rows with a null id are told apart from one another. Of several rows with one id the
+second stage keeps one; the fourth may write a document up to three times. Empty tables give empty results; without labels only the base test rejects.
 """
 
 from __future__ import annotations
@@ -14,12 +17,12 @@ from spanforge.llm.common import shared_dir, table, tokenizer_path, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.learned_rules(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return quality.judged(quality.stats(rows, doc="row"), rules).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return neardup.deduplicated(docs, share=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
