@@ -101,7 +101,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Embedding, LSTM in both directions, linear emissions, CRF. Arrays are (time, batch, ...)."""
 
-    def __init__(self, hidden: int = 12, embed: int = 10, seed: int = 3):
+    def __init__(self, hidden: int = 8, embed: int = 10, seed: int = 3):
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
         self.h = hidden
@@ -200,11 +200,13 @@ class Tagger:
         w, n = self.w, self.h
         half = np.concatenate([np.full(3 * n, 0.5, np.float32), np.ones(n, np.float32)])
         table, wh = (w["emb"] @ w[f"x{d}"] + w[f"c{d}"]) * half, w[f"h{d}"] * half
+        ids = np.ascontiguousarray(ids)
         h = c = np.zeros((ids.shape[1], n), np.float32)
         out = np.empty((*ids.shape, n), np.float32)
+        z, from_h = (np.empty((ids.shape[1], 4 * n), np.float32) for _ in range(2))
         for t in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
-            z = h @ wh
-            z += table[ids[t]]
+            np.take(table, ids[t], axis=0, out=z, mode="clip")
+            z += np.dot(h, wh, out=from_h)
             np.tanh(z, out=z)
             s = z[:, : 3 * n]
             s *= 0.5
@@ -218,25 +220,47 @@ class Tagger:
         out, n = self.w["out"], self.h
         e = self.hidden(ids.T, "f") @ out[:n] + self.hidden(ids.T, "b") @ out[n:] + self.w["ob"]
         tr = self.w["tr"] + self.allowed
-        labels = np.zeros(e.shape[:2], np.int64)
-        # A label has a transition on either side. Where none is above "outside" even with the best two, the best path is all outside.
-        gain = 2 * max(0.0, float(tr.max() - tr[0, 0]))
-        open_ = np.flatnonzero(((e[:, :, 1:].max(2) - e[:, :, 0]) + gain >= 0).any(0))
-        if len(open_):
-            labels[:, open_] = self.viterbi(e[:, open_], tr)
-        return labels.T, e.transpose(1, 0, 2)
+        # What a place adds to a span's score against "outside": its emission and the transition to it. A span that is better than outside has a place that adds.
+        gain = tr.max(0) - tr[0, 0] + max(0.0, float((tr[:, 0] - tr[0, 0]).max()))
+        best = e[:, :, 1] + gain[1]
+        for k in range(2, LABELS):
+            np.maximum(best, e[:, :, k] + gain[k], out=best)
+        open_ = (best > e[:, :, 0]).T
+        return self.stretches(e, tr, open_), e.transpose(1, 0, 2)
+
+    def stretches(self, e: np.ndarray, tr: np.ndarray, open_: np.ndarray, quiet: int = 16, batch: int = 512) -> np.ndarray:
+        """Best labels of (windows, time): Viterbi over stretches of open places and `quiet` more on either side, a batch of about one length at a time; outside elsewhere."""
+        n = open_.shape[1]
+        labels = np.zeros(open_.shape, np.int64)
+        row, at = np.nonzero(open_)
+        if not len(row):
+            return labels
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * quiet)]))
+        row, first, end = row[new], np.maximum(at[new] - quiet, 0), np.minimum(at[np.append(new[1:], len(at)) - 1] + quiet + 1, n)
+        size = end - first
+        order = np.argsort(size, kind="stable")
+        for part in np.split(order, range(batch, len(order), batch)):
+            step = np.arange(size[part[-1]])[:, None]
+            inside = step < size[part]
+            own = e[np.minimum(first[part] + step, n - 1), row[part]]
+            own[~inside] = np.where(np.arange(LABELS) == 0, 0, -1e4)
+            got = self.viterbi(own, tr)
+            labels[np.broadcast_to(row[part], inside.shape)[inside], (first[part] + step)[inside]] = got[inside]
+        return labels
 
     def viterbi(self, e: np.ndarray, tr: np.ndarray) -> np.ndarray:
         n, b, k = e.shape
-        best, come = e[0], np.zeros((n, b, k), np.int8)
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        best, step = np.empty((n, k, b), e.dtype), np.empty((k, k, b), e.dtype)
+        best[0] = e[0]
         for t in range(1, n):
-            s = best[:, :, None] + tr
-            come[t] = s.argmax(1)
-            best = np.take_along_axis(s, come[t][:, None, :].astype(np.int64), 1)[:, 0] + e[t]
+            np.add(best[t - 1][:, None], tr[:, :, None], out=step)
+            step.max(0, out=best[t])
+            best[t] += e[t]
         out = np.empty((n, b), np.int64)
-        out[-1] = best.argmax(1)
+        out[-1] = best[-1].argmax(0)
         for t in range(n - 1, 0, -1):
-            out[t - 1] = come[t][np.arange(b), out[t]]
+            out[t - 1] = (best[t - 1] + tr[:, out[t]]).argmax(0)
         return out
 
 
@@ -297,7 +321,7 @@ def examples(texts: list[str], n: int, width: int, seed: int = 11) -> tuple[np.n
     return ids, gold
 
 
-def trained(texts: list[str], *, windows: int = 1500, width: int = 64, steps: int = 220) -> Tagger:
+def trained(texts: list[str], *, windows: int = 1500, width: int = 64, steps: int = 500) -> Tagger:
     tagger = Tagger()
     tagger.train(*examples(texts, windows, width), steps)
     return tagger
@@ -357,7 +381,7 @@ def reconciled(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(tagger: Tagger, texts: list[str], *, width: int = 256, overlap: int = 32, least: float = 0.5, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
+def model_spans(tagger: Tagger, texts: list[str], *, width: int = 256, overlap: int = 32, least: float = 0.5, batch: int = 2048) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of the model in each text, reconciled over the text."""
     parts: list[list[tuple[int, int, int, bool, bool, float]]] = [[] for _ in texts]
     codes: dict[int, np.ndarray] = {}
