@@ -25,6 +25,13 @@ def hex_upper(v: Column, digits: int = 0) -> Column:
     return F.concat(F.lit("0x"), F.when(v < 0, "-").otherwise(""), _digits(F.abs(v), digits))
 
 
+def hex_wide(v: Column) -> Column:
+    """As hex_upper, for whole numbers from -2^63 to 2^64 - 1 in any integer or decimal type."""
+    d, whole = v.cast("decimal(21,0)"), lambda n: F.lit(str(n)).cast("decimal(21,0)")
+    low = F.when(d >= whole(2**63), d - whole(2**64)).when(d > whole(-(2**63)), F.abs(d)).otherwise(d)
+    return F.concat(F.lit("0x"), F.when(d < 0, "-").otherwise(""), F.hex(low.cast("bigint")))
+
+
 def _digits(v: Column, digits: int) -> Column:
     h = F.hex(v)
     return F.when(F.length(h) < digits, F.lpad(h, digits, "0")).otherwise(h) if digits else h
@@ -99,7 +106,7 @@ def compared_text(kind: Column, s: Column, i: Column, d: Column, b: Column) -> C
         .when(kind.isin("int", "uint"), i.cast("string"))
         .when(kind == "bool", F.when(b, "true").otherwise("false"))
         .when(kind == "double", double_text(d))
-        .when(kind == "pointer", hex_upper(i))
+        .when(kind == "pointer", hex_wide(i))
         .otherwise("<unknown>")
     )
 

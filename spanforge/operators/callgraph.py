@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import first_address, hex_upper
+from ..functions.values import first_address, hex_upper, hex_wide
 from . import slices, tracks
 
 
@@ -18,11 +18,11 @@ def mapped_name(name: Column, track: Column, mapped: Column, name_format: str) -
 
 
 def with_mapped_names(events: DataFrame, name_map: DataFrame | None, *, name_format: str = "name@addr") -> DataFrame:
-    """Adds full_name, <track>::<name>. name_map: addr, mapped; joined by address, so its size is Catalyst's to judge."""
+    """Adds full_name, <track>::<name>. name_map: addr, mapped, and pos, of which the last wins; joined by address, so its size is Catalyst's to judge."""
     e = events.withColumn("name", F.coalesce("name", F.lit("")))
     if name_map is None:
         return e.withColumn("full_name", F.concat("track_name", F.lit("::"), "name"))
-    m = name_map.dropDuplicates(["addr"]).select(F.col("addr").alias("__a"), "mapped")
+    m = name_map.groupBy(F.col("addr").alias("__a")).agg(F.max_by("mapped", "pos" if "pos" in name_map.columns else "mapped").alias("mapped"))
     e = e.join(m, first_address(F.col("name")) == F.col("__a"), "left")
     return e.withColumn("full_name", F.concat("track_name", F.lit("::"), mapped_name(F.col("name"), F.col("track_name"), F.col("mapped"), name_format))).drop("__a", "mapped")
 
@@ -36,7 +36,7 @@ def last_wins(entries: DataFrame, keys: Sequence[str] = ("packet_idx",)) -> Data
 def normalised_value(kind: Column, i: Column, d: Column, b: Column, s: Column, json: Column, int_format: str = "hex") -> Column:
     """A value as JSON text, so that equal text is an equal value: ints in hex or decimal, doubles with six places, nested ones compact."""
     quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
-    whole = quoted(hex_upper(i)) if int_format == "hex" else i.cast("string")
+    whole = quoted(hex_wide(i)) if int_format == "hex" else i.cast("string")
     return (
         F.when(kind.isin("int", "uint", "pointer"), whole)
         .when(kind == "double", F.round(d, 6).cast("string"))

@@ -30,17 +30,18 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def execution_error(a: str = "a", b: str = "b", name: str = "name", text: str = "text") -> Column:
-    """The first difference of two events by precedence: end of a trace, name, annotations; null if they agree."""
+    """The first difference of two events by precedence: end of a trace, name (none is empty), annotations; null if they agree. The texts are fixed values."""
+    own = lambda side: F.coalesce(F.col(f"{side}.{name}"), F.lit(""))
     return (
         F.when(F.col(a).isNull(), "Trace 1 ended but Trace 2 has more events")
         .when(F.col(b).isNull(), "Trace 2 ended but Trace 1 has more events")
-        .when(~F.col(f"{a}.{name}").eqNullSafe(F.col(f"{b}.{name}")), F.concat(F.lit("Event name mismatch: '"), F.col(f"{a}.{name}"), F.lit("' vs '"), F.col(f"{b}.{name}"), F.lit("'")))
+        .when(own(a) != own(b), F.concat(F.lit("Event name mismatch: '"), own(a), F.lit("' vs '"), own(b), F.lit("'")))
         .when(~F.col(f"{a}.{text}").eqNullSafe(F.col(f"{b}.{text}")), "Annotation mismatch")
     )
 
 
 def memory_error(kind: str, key: str) -> Column:
-    """For memory writes (addr, value, pc; null: N/A): end of a trace, address, value, program counter."""
+    """For memory writes (addr, value, pc; null: N/A): end of a trace, address, value, program counter. The texts are fixed values."""
     get = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit("N/A"))
     versus = lambda c: F.concat(F.lit("'"), get("a", c), F.lit("' vs '"), get("b", c), F.lit("'"))
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rawbytes import number_at, places
+from .rawbytes import matches, number_at
 
 #: What stands around a program counter in a serialized event, and the bases tried in this order.
 PC_NAME, BEFORE, NEXT = b"\x52\x02\x70\x63", 0x38, 0x3C
@@ -14,11 +14,10 @@ BASES = (0xE0000, 0xC0000, 0xA0000, 0x80000, 0x40000, 0x00000)
 
 def counters_in(files: DataFrame, content: str = "content") -> DataFrame:
     """pc of each marked place: two little-endian bytes between the marks, three bytes before the name."""
-    c = F.col(content)
-    e = files.withColumn("position", F.explode(places(c, PC_NAME))).where("position >= 4")
-    byte = lambda back: F.hex(F.substring(c, F.col("position") - back + 1, F.lit(1)))
-    e = e.where((byte(4) == f"{BEFORE:02X}") & (byte(1) == f"{NEXT:02X}"))
-    return e.withColumn("pc", number_at(c, F.col("position") - 3, 2)).drop(content)
+    e = matches(files, PC_NAME, content, 4).where(F.length("before") == 4)
+    byte = lambda i: F.hex(F.substring("before", i + 1, 1))
+    e = e.where((byte(0) == f"{BEFORE:02X}") & (byte(3) == f"{NEXT:02X}"))
+    return e.withColumn("pc", number_at(F.col("before"), F.lit(1), 2)).drop("before", "after")
 
 
 def histogram(pcs: DataFrame, at: str = "position") -> DataFrame:

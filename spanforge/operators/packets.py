@@ -48,7 +48,7 @@ def annotations(packets: DataFrame) -> DataFrame:
     names = interning.resolved(a.withColumns({"table": F.lit("debug_annotation_names"), "iid": F.col("name_iid"), "inline": F.col("name")}), dictionary(packets), sequences(packets))
     names = names.withColumn("k", F.col("text")).drop("text", "table", "iid", "inline")
     texts = interning.resolved(names.withColumns({"table": F.lit("debug_annotation_string_values"), "iid": F.col("str_iid"), "inline": F.col("str_v")}), dictionary(packets), sequences(packets))
-    return texts.select("trace", "packet_idx", "path", "holder", "k", "kind", "bool_v", F.coalesce("int_v", F.col("uint_v").try_cast("bigint")).alias("int_v"), "dbl_v", F.col("text").alias("str_v"))
+    return texts.select("trace", "packet_idx", "path", "holder", "k", "kind", "bool_v", F.coalesce(F.col("int_v").cast("decimal(20,0)"), "uint_v").alias("int_v"), "dbl_v", F.col("text").alias("str_v"))
 
 
 def _leaf_json() -> Column:

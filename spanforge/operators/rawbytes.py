@@ -1,7 +1,7 @@
 """Forensics on raw bytes: printable runs, patterns in context, numbers, naive fields, hex dumps.
 
-Files come as rows with a binary column. Work stays in expressions on that value; the scan of every varint, which depends on where the last one
-ended, is an Arrow function.
+Files come as rows with a binary column. Runs, numbers and dumps are expressions on that value; the search for a pattern and the scan of every varint, which
+depends on where the last one ended, are Arrow functions.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 
@@ -23,21 +24,34 @@ def strings(files: DataFrame, content: str = "content", least: int = 4) -> DataF
     return files.select(*[c for c in files.columns if c != content], F.posexplode(F.regexp_extract_all(text, F.lit(f"([\\x20-\\x7E]{{{least},}})"), F.lit(1))).alias("nr", "value"))
 
 
-def places(content: Column, pattern: bytes) -> Column:
-    """Zero-based places of the pattern, overlapping ones too, as an array."""
-    n, want = F.octet_length(content) - (len(pattern) - 1), F.lit(bytearray(pattern))
-    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: F.substring(content, i + 1, F.lit(len(pattern))) == want))
+def matches(files: DataFrame, pattern: bytes, content: str = "content", before: int = 0, after: int = 0) -> DataFrame:
+    """A row per match, overlapping ones too: the other columns, position, and up to so many bytes before and after. No match carries the content."""
+    ship(files.sparkSession)
+    others = [c for c in files.columns if c != content]
+    schema = T.StructType([files.schema[c] for c in others] + T._parse_datatype_string("position int, before binary, after binary").fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, ahead, behind = [], [], [], []
+            for i, data in enumerate(batch.column(len(others))):
+                data = data.as_py() or b""
+                p = data.find(pattern)
+                while p >= 0:
+                    row.append(i)
+                    at.append(p)
+                    ahead.append(data[max(0, p - before) : p])
+                    behind.append(data[p + len(pattern) : p + len(pattern) + after])
+                    p = data.find(pattern, p + 1)
+            found = [batch.column(i).take(pa.array(row, pa.int32())) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(at, pa.int32()), pa.array(ahead, pa.binary()), pa.array(behind, pa.binary())], schema=arrow)
+
+    return files.select(*others, F.col(content).cast("binary").alias(content)).mapInArrow(run, schema)
 
 
 def occurrences(files: DataFrame, pattern: bytes, content: str = "content", around: int = 20) -> DataFrame:
     """A row per match: position, before and after (up to `around` bytes, as hex)."""
-    c = F.col(content)
-    e = files.withColumn("position", F.explode(places(c, pattern)))
-    start = F.greatest(F.col("position") - around, F.lit(0))
-    before = F.hex(F.substring(c, start + 1, F.col("position") - start))
-    after = F.hex(F.substring(c, F.col("position") + len(pattern) + 1, F.lit(around)))
-    return e.withColumns({"before": before, "after": after}).drop(content)
+    return matches(files, pattern, content, around, around).withColumns({"before": F.hex("before"), "after": F.hex("after")})
 
 
 def number_at(content: Column, at: Column, size: int, endian: str = "<") -> Column:
@@ -52,9 +66,8 @@ def number_at(content: Column, at: Column, size: int, endian: str = "<") -> Colu
 
 def numbers(files: DataFrame, pattern: bytes, size: int = 2, content: str = "content", endian: str = "<") -> DataFrame:
     """A row per match that a whole number follows: position, number."""
-    c = F.col(content)
-    e = files.withColumn("position", F.explode(places(c, pattern)))
-    return e.withColumn("number", number_at(c, F.col("position") + len(pattern), size, endian)).where("number is not null").drop(content)
+    e = matches(files, pattern, content, 0, size)
+    return e.withColumn("number", number_at(F.col("after"), F.lit(0), size, endian)).where("number is not null").drop("before", "after")
 
 
 def varints(data: bytes) -> tuple[np.ndarray, list[int]]:

@@ -7,8 +7,6 @@ table that is summed over chunks, and then windows inside a chunk.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +18,15 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.where(F.col("type").isin(BEGIN, END))
 
 
-def depths(events: DataFrame, *, track: str = "track", chunk_ns: int = 3_600_000_000_000) -> DataFrame:
+def depths(events: DataFrame, *, track: str = "track", chunk_ns: int | None = None, chunk_rows: int = 100_000) -> DataFrame:
     """Adds depth (after the event), level (of the slice it begins or ends) and effective (false for an ignored END).
 
-    events: track, ts, type, packet_idx. Chunks are spans of time, so that order within a track is order of chunks, then inside a chunk.
+    events: track, ts, type, packet_idx. Chunks are spans of time, so that order within a track is order of chunks, then inside a chunk; unless given,
+    a span is so long that about chunk_rows events fall into it, however short the trace.
     """
+    if chunk_ns is None:
+        lo, hi, n = ordered(events).agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+        chunk_ns = max(1, ((hi or 0) - (lo or 0) + 1) * chunk_rows // max(1, n))
     e = ordered(events).withColumn("chunk", F.floor(F.col("ts") / chunk_ns)).withColumn("step", F.when(F.col("type") == BEGIN, 1).otherwise(-1).cast("bigint"))
     order = [F.col("ts"), F.col("type"), F.col("packet_idx")]
     inside = Window.partitionBy(track, "chunk").orderBy(*order)
@@ -97,6 +99,3 @@ def folded_path(begins: DataFrame, name: Column, *, track: str = "track") -> Dat
 
     return b.mapInArrow(fold, schema)
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
