@@ -92,9 +92,9 @@ def memory_track_fallback(spark: SparkSession, sf: str) -> DataFrame:
 # Slices ---------------------------------------------------------------------------------------------------------------
 
 
-@query("slice_filter", f"WITH {EV} SELECT packet_idx, track, type FROM ev WHERE type IN (1, 2) AND track % 3 <> 0")
+@query("slice_filter", f"WITH {EV} SELECT packet_idx, track, type FROM ev WHERE type IN (1, 2)")
 def slice_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return slices.ordered(views.events(spark, sf)).where("track % 3 <> 0").select("packet_idx", "track", "type")
+    return slices.ordered(views.events(spark, sf)).select("packet_idx", "track", "type")
 
 
 @query("instant_filter", f"WITH {EV} SELECT packet_idx, name FROM ev WHERE type = 3 AND starts_with(name, 'cl')")
@@ -434,19 +434,6 @@ def memory_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "memory_compare",
-    f"""WITH w AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) - 1 AS pos, if(l_suppkey % 2 = 0, printf('0x%X', l_partkey), l_partkey::VARCHAR) AS a FROM lineitem WHERE l_linenumber = 1)
-SELECT pos, 'Memory_External value mismatch at addr ' || a || ': ''' || printf('0x%X', l_suppkey * 65537 + l_partkey) || ''' vs ''' || printf('0x%X', l_suppkey * 65537 + l_partkey + 1) || '''' AS error FROM w WHERE l_orderkey % 1009 = 17""",
-)
-def memory_compare(spark: SparkSession, sf: str) -> DataFrame:
-    w = compare.numbered(memory.single_bytes(views.writes(spark, sf).where("l_linenumber = 1")), *views.LINE)
-    a = w.select("pos", F.col("addr_text").alias("addr"), F.col("value_text").alias("value"), "pc")
-    raised = V.hex_upper(V.parse_int(F.col("value_text")) + F.when(F.col("l_orderkey") % 1009 == 17, 1).otherwise(0))
-    b = w.select("pos", F.col("addr_text").alias("addr"), raised.alias("value"), "pc")
-    return compare.paired(a, b).select("pos", compare.memory_error("Memory_External", "addr").alias("error")).where("error is not null")
-
-
-@query(
-    "memory_compare_bytes",
     f"""WITH w AS (SELECT *, l_linestatus = 'F' AS inner_, l_suppkey * 65537 + l_partkey AS v, unnest(range(l_linenumber)) AS i FROM lineitem),
 x AS (SELECT l_orderkey, inner_, row_number() OVER (PARTITION BY inner_ ORDER BY {ORDER}, i) - 1 AS pos,
   CASE WHEN l_linenumber > 1 THEN if(inner_, printf('0x%02X', l_partkey + i), printf('0x%06X', l_partkey + i)) WHEN l_suppkey % 2 = 0 THEN printf('0x%X', l_partkey) ELSE l_partkey::VARCHAR END AS a,
@@ -455,7 +442,7 @@ x AS (SELECT l_orderkey, inner_, row_number() OVER (PARTITION BY inner_ ORDER BY
 SELECT pos, if(inner_, 'Memory_Internal value mismatch at offset ', 'Memory_External value mismatch at addr ') || a || ': ''' || v1 || ''' vs ''' || v2 || '''' AS error
 FROM x WHERE l_orderkey % 1009 = 17 AND v1 <> v2""",
 )
-def memory_compare_bytes(spark: SparkSession, sf: str) -> DataFrame:
+def memory_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Every byte of all writes, of inner and of external ones apart."""
     writes = views.writes(spark, sf)
     raised = V.hex_upper(V.parse_int(F.col("value")) + F.when(F.col("l_orderkey") % 1009 == 17, 1).otherwise(0))
@@ -509,10 +496,12 @@ def pc_containing_function(spark: SparkSession, sf: str) -> DataFrame:
 # Raw bytes ------------------------------------------------------------------------------------------------------------
 
 
-@query("bin_strings_top", r"WITH s AS (SELECT unnest(regexp_extract_all(text, '[\x20-\x7E]{4,}')) AS value FROM documents) SELECT value, count(*) AS n FROM s GROUP BY value ORDER BY n DESC, value LIMIT 50")
+@query("bin_strings_top", r"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7E]{4,}') AS v FROM documents), s AS (SELECT doc_id, unnest(v) AS value, unnest(range(len(v))) AS nr FROM l)
+SELECT value, count(*) AS n FROM s GROUP BY value ORDER BY n DESC, min((doc_id, nr)) LIMIT 50""")
 def bin_strings_top(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "documents").select(F.encode("text", "UTF-8").alias("content"))
-    return rawbytes.strings(files).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(50)
+    """Of equally frequent strings the one that came first."""
+    files = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return rawbytes.strings(files).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "nr")).alias("at")).orderBy(F.desc("n"), "at").limit(50).drop("at")
 
 
 @query("bin_pattern_context", """WITH h AS (SELECT page_id, hex(encode(html)) AS h FROM pages), m AS (SELECT page_id, h, unnest(list_filter(range(len(h) // 2), lambda i: substr(h, 2 * i + 1, 6) = '3C703E')) AS position FROM h)
@@ -543,10 +532,8 @@ def bin_hexdump(spark: SparkSession, sf: str) -> DataFrame:
 # The wire --------------------------------------------------------------------------------------------------------------
 
 
-@query("codec_roundtrip", f"WITH {EV} SELECT packet_idx, track, ts, type, name, value, k FROM ev")
-def codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as packets, encoded to the trace's bytes, decoded again."""
-    from ..sources import trace
+def _packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as packets of eight traces, with an annotation each."""
     from ..sources.schema import PACKET
 
     e = views.events(spark, sf)
@@ -557,8 +544,83 @@ def codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     k = F.struct(*[one.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ann.elementType.fields])
     event = {"type": F.col("type"), "track_uuid": F.col("track"), "name": F.col("name"), "double_counter_value": F.col("value"), "annotations": F.array(k)}
     fields = {"trace": F.concat(F.lit("t"), (F.col("track") % 8).cast("string")), "packet_idx": F.col("packet_idx"), "timestamp": F.col("ts"), "seq_id": F.col("packet_idx"), "kind": F.lit("track_event"), "event": F.struct(*[event.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])}
-    packets = e.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
-    back = trace.decoded(trace.serialized(packets))
-    # The file has no packet number of ours; the sequence id carries it here.
+    return e.select(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+
+
+def _unpacked(back: DataFrame) -> DataFrame:
     v = F.col("event")
     return back.select(F.col("seq_id").alias("packet_idx"), v["track_uuid"].alias("track"), F.col("timestamp").alias("ts"), v["type"].alias("type"), v["name"].alias("name"), v["double_counter_value"].alias("value"), v["annotations"][0]["int_v"].alias("k"))
+
+
+PACKETS = f"WITH {EV} SELECT packet_idx, track, ts, type, name, value, k FROM ev"
+
+
+@query("codec_roundtrip", PACKETS)
+def codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as packets, encoded to the trace's bytes, decoded again."""
+    from ..sources import trace
+
+    return _unpacked(trace.decoded(trace.serialized(_packets(spark, sf))))
+
+
+@query("trace_files", PACKETS)
+def trace_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as packets, saved as trace files in the shared folder and scanned from there by the data source."""
+    from ..session import shared_folder
+    from ..sources import trace
+
+    folder = shared_folder(spark)
+    trace.register(spark)
+    _packets(spark, sf).write.format("trace").mode("append").save(folder)
+    return _unpacked(spark.read.format("trace").load(folder))
+
+
+@query("name_map_json", "SELECT p_partkey AS addr, p_name AS mapped FROM part")
+def name_map_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Name maps written as JSON files, half of the keys hexadecimal, and read again; entries that are no names are dropped."""
+    from ..session import shared_folder
+    from ..sources.names import name_map
+
+    p, folder = table(spark, sf, "part"), shared_folder(spark)
+    key = F.when(F.col("p_partkey") % 2 == 0, V.hex_upper(F.col("p_partkey"))).otherwise(F.col("p_partkey").cast("string"))
+    entries = p.groupBy((F.col("p_partkey") % 16).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("p_name").alias("v")))).alias("names"))
+    flat = F.concat(F.expr("left(to_json(names), length(to_json(names)) - 1)"), F.lit(',"no address":"x","7777777":5}'))
+    text = F.when(F.col("g") % 2 == 0, F.concat(F.lit('{"names":'), flat, F.lit("}"))).otherwise(flat)
+    entries.select("g", text.alias("value")).repartition("g").write.partitionBy("g").mode("append").text(folder)
+    return name_map(spark, f"{folder}/g=*").select("addr", "mapped")
+
+
+@query("pc_scan", "SELECT l_partkey & 65535 AS pc, count(*) AS count FROM lineitem GROUP BY 1")
+def pc_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Program counters found in the bytes of files (one for each order) by the marks around them; decoys lack a mark."""
+    li = table(spark, sf, "lineitem")
+    low, high = (F.lpad(F.hex(x), 2, "0") for x in (F.col("l_partkey").bitwiseAND(F.lit(255)), F.shiftright("l_partkey", 8).bitwiseAND(F.lit(255))))
+    event = F.concat(F.lit("0011"), F.lit("38"), low, high, F.lit("3C"), F.lit("52027063"), F.lit("FF39"), low, high, F.lit("3C52027063"))
+    files = li.groupBy("l_orderkey").agg(F.unhex(F.concat(F.lit("52027063"), F.array_join(F.collect_list(event), ""))).alias("content"))
+    return hotspots.counters_in(files).groupBy("pc").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("utf8_replaced", f"WITH {EV} SELECT packet_idx, name || chr(65533) || k || chr(65533) AS text FROM ev")
+def utf8_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Names as bytes with malformed places, as text."""
+    raw = F.concat(F.encode("name", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.col("k").cast("string"), "UTF-8"), F.unhex(F.lit("C3")))
+    return views.events(spark, sf).select("packet_idx", V.utf8(raw).alias("text"))
+
+
+@query("builder_events", """WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, * FROM nation), b AS (SELECT i, n_name AS track_name, n_nationkey::BIGINT AS key, 'r' || n_regionkey AS region, 1000 * (i + 1) AS ts FROM n)
+SELECT track_name, 'call' AS name, 1 AS type, ts, '0x' || printf('%X', key) || ';' || region AS args FROM b UNION ALL SELECT track_name, 'mark', 3, ts + 10, NULL FROM b UNION ALL SELECT track_name, NULL, 2, ts + 20, NULL FROM b""")
+def builder_events(spark: SparkSession, sf: str) -> DataFrame:
+    """A trace built packet by packet, with a thread for each nation (a table of fixed size), interned names, annotations; then resolved."""
+    from ..operators import packets
+    from ..sources.builder import TraceBuilder
+
+    b = TraceBuilder("Nations")
+    for i, r in enumerate(table(spark, sf, "nation").orderBy("n_nationkey").collect()):
+        t, ts = b.add_thread(r.n_name), 1000 * (i + 1)
+        b.begin_slice(t, "call", ts).add_annotations({"key_pc": r.n_nationkey, "region": f"r{r.n_regionkey}"})
+        b.add_instant_event(t, "mark", ts + 10)
+        b.end_slice(t, ts + 20)
+    p = b.frame(spark)
+    e = tracks.named_as_of(packets.events(p), packets.descriptors(p).select("track", "packet_idx", "name"))
+    args = packets.compared_entries(p).select("packet_idx", F.array_join(F.transform("entries", lambda x: x["v"]), ";").alias("args"))
+    return e.join(args, "packet_idx", "left").select("track_name", "name", "type", "ts", "args")

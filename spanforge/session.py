@@ -1,8 +1,9 @@
-"""What sessions need: the package on the executors."""
+"""What sessions need: the package on the executors, a folder that they share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,6 +12,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below a local one only where that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/spanforge-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once an application: they need not have it installed."""
     sc = spark.sparkContext
