@@ -144,6 +144,32 @@ def test_memory(spark):
     got = [(r.packet_idx, r.key, r.addr_text, r.value_text) for r in memory.single_bytes(w).orderBy("packet_idx", "byte_no").collect()]
     assert got[:4] == [(1, "offset", f"0x{0x10 + i:02X}", f"0x{4 - i:02X}") for i in range(4)]
     assert got[4:] == [(2, "addr", "0x000014", "0x01"), (2, "addr", "0x000015", "0x02"), (3, "addr", "0x5", "7"), (4, "addr", "0x000000", "0x00"), (4, "addr", "0x000001", "0x00")]
+    values = ["0xFFFFFFFFFFFFFFFF", "0x8000000000000001", "0x0102030405060708090A", "18446744073709551615", "-2", "0xABC"]
+    w = spark.createDataFrame([(i, None, "0xFFFFFFFFFFFFFFFE", None, v, None, "10") for i, v in enumerate(values)], cols)
+    got = [(r.packet_idx, r.addr_text, r.value_text) for r in memory.single_bytes(w).orderBy("packet_idx", "byte_no").collect()]
+    assert got == [(i, f"0x{2**64 - 2 + k:06X}", f"0x{int(v, 0) >> 8 * k & 255:02X}") for i, v in enumerate(values) for k in range(10)]
+    for bad in (("0x10", "12x", "2"), ("zz", "1", "2"), ("0x10", "1", "two")):
+        with pytest.raises(Exception, match="no number"):
+            memory.single_bytes(spark.createDataFrame([(1, None, bad[0], None, bad[1], None, bad[2])], cols)).collect()
+
+
+def test_missing_names(spark):
+    """An event without a name differs from one with a name."""
+    side = "struct<name:string,text:string>"
+    rows = [((None, "t"), ("x", "t")), ((None, "t"), (None, "t")), (("x", None), ("x", None)), ((None, "t"), None)]
+    df = spark.createDataFrame(rows, f"a {side}, b {side}")
+    errors = [r.e for r in df.select(compare.execution_error().alias("e")).collect()]
+    assert errors == ["Event name mismatch: '' vs 'x'", None, None, "Trace 2 ended but Trace 1 has more events"]
+    assert [r.same for r in (compare.equal(df.limit(1), compare.execution_error()).first(), compare.equal(df.where("b is not null and a.name is not null"), compare.execution_error()).first())] == [False, True]
+
+
+def test_one_hot_track(spark):
+    """A track that holds nearly all events of a short trace is cut into chunks by count."""
+    r = random.Random(6)
+    rows = [(i, "hot" if r.random() < 0.9 else "b", i // 3, r.choice([1, 1, 2, 2, 2]), "n") for i in range(2000)]
+    df = spark.createDataFrame(rows, "packet_idx bigint, track string, ts bigint, type int, name string")
+    seen, _ = fold(rows)
+    assert {x.packet_idx: (x.depth, x.level, x.effective) for x in slices.depths(df, chunk_rows=100).collect()} == seen
 
 
 @pytest.mark.parametrize("size", [1, 7, 10**6])
@@ -174,4 +200,3 @@ def test_frames_and_flows(spark):
     f = spark.createDataFrame([(1, 10, 0, False), (1, 20, 1, True), (1, 30, 2, False), (2, 1, 3, False)], "flow_id bigint, ts bigint, packet_idx bigint, terminating boolean")
     assert [r.role for r in frames.flow_steps(f).orderBy("packet_idx").collect()] == ["source", "sink", "sink", "source"]
     assert one(spark, frames.jank_labels(F.lit(1 | 64 | 4096))) == ["NONE", "APP_DEADLINE_MISSED", "APP_RESYNCED_JITTER"]
-    assert callgraph and packets
