@@ -4,7 +4,7 @@ A string of `length` bytes is a window. Windows are dealt out by content: each g
 anchor), so equal windows meet and the work is spread over the cluster. Successive windows of a document with the same anchor form a
 fragment, shorter than twice the length. Only anchors that occur at least twice are followed up. Of fragments equal in full `copies` go on from a task,
 and `copies` of those that meet, the earliest ones; further ones stand after them, so they are removed at once, and a passage that a third of all documents
-share is no hot key. For an anchor with more than `hot` occurrences every window is dealt out by the hash of the whole window.
+share is no hot key. A text that equals an earlier one in full is removed before all this. For an anchor with more than `hot` occurrences every window is dealt out by the hash of the whole window.
 
 The fragments that meet are a collection of short strings. In round j the suffixes of length j of all strings are inserted, one symbol per
 string: where the new suffix goes follows from the symbol's rank in the transform so far, and its common prefix with both neighbours from
@@ -151,7 +151,7 @@ def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Transform:
     """The transform and common prefixes of strings of up to 254 bytes, none empty."""
 
-    def __init__(self, strings: list[bytes], folder: str, *, memory: int = 32 << 20, block: int = 1 << 20):
+    def __init__(self, strings: list[bytes], folder: str, *, memory: int = 32 << 20, block: int = 1 << 21):
         self.n = len(strings)
         self.sizes = np.array([len(s) for s in strings], np.int64)
         self.width = int(self.sizes.max())
@@ -283,8 +283,8 @@ class Transform:
         return sid, size
 
 
-def repeats(strings: list[bytes], where: list[tuple], length: int, folder: str) -> list[tuple[int, int]]:
-    """(string, start) of the windows that another one equals which stands earlier. where: what orders the strings' places, ending with the start."""
+def repeats(strings: list[bytes], where: list[tuple], length: int, folder: str) -> list[tuple[int, int, int]]:
+    """(string, start, end) of what windows cover that another one equals which stands earlier. where: what orders the strings' places, ending with the start."""
     if len(strings) < 2:
         return []
     t = Transform(strings, folder)
@@ -310,26 +310,36 @@ def repeats(strings: list[bytes], where: list[tuple], length: int, folder: str)
     first = np.full(len(starts), np.iinfo(np.int64).max)
     np.minimum.at(first, group, key)
     later = key > first[group]
-    return list(zip(s[later].tolist(), start[later].tolist(), strict=True))
+    s, start = s[later], start[later]
+    order = np.lexsort((start, s))
+    s, start = s[order], start[order]
+    new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (start[1:] > start[:-1] + length)])) if len(s) else np.empty(0, np.int64)
+    end = start[np.append(new[1:], len(s)) - 1] + length if len(s) else new
+    return list(zip(s[new].tolist(), start[new].tolist(), end.tolist(), strict=True))
 
 
 def settled(strings: list[bytes], where: list[tuple], length: int, folder: str) -> list[tuple]:
     """(doc, uid, first byte, end) of windows to remove among fragments that met; where: (doc, uid, start)."""
-    spans: list[tuple] = []
-    for s, start in repeats(strings, where, length, folder):
-        doc, uid, a = where[s]
-        a += start
-        if spans and spans[-1][:2] == (doc, uid) and spans[-1][2] <= a <= spans[-1][3]:
-            spans[-1] = (doc, uid, spans[-1][2], max(spans[-1][3], a + length))
-        else:
-            spans.append((doc, uid, a, a + length))
-    return spans
+    return [(*where[s][:2], where[s][2] + a, where[s][2] + e) for s, a, e in repeats(strings, where, length, folder)]
+
+
+def copies_of_texts(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """doc, uid, size of every text of `length` bytes or more; and uid of those that equal (by 128 bits) an earlier one. No join is on the text, so a text that many have is no hot key."""
+    whole = docs.where(F.octet_length("text") >= length).select("doc", "uid", F.octet_length("text").alias("size"), F.md5("text").alias("m"))
+    firsts = whole.groupBy("m").agg(F.min(F.struct("doc", "uid")).alias("f")).select("f.uid")
+    return whole.drop("m"), whole.select("uid").join(firsts, "uid", "left_anti").distinct()
 
 
-def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies: int, bucket_bytes: int, small_hashes: int) -> DataFrame:
+def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies: int, bucket_bytes: int, small_hashes: int, small_copies: int = 1_000_000) -> DataFrame:
     """doc, uid, spans (first byte, end, whether the transform found it) to remove. docs: doc (not null), uid, text (binary)."""
     prepared(docs.sparkSession)
     folder = f"{shared_dir(docs.sparkSession)}/tapes"
+    # Copies of whole texts are removed at once; up to small_copies of their ids go to every task.
+    whole, later = copies_of_texts(docs, length)
+    later = written(later, shared_dir(docs.sparkSession), "copies")
+    few = F.broadcast(later) if later.limit(small_copies + 1).count() <= small_copies else later
+    of_copies = whole.join(few, "uid", "left_semi").select("doc", "uid", F.lit(0).alias("a"), F.col("size").alias("e"), F.lit(False).alias("built")).distinct()
+    docs = docs.join(few, "uid", "left_anti").select("doc", "uid", "text")
 
     def found(texts: list) -> dict:
         sizes = [len(t or b"") for t in texts]
@@ -483,7 +493,7 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies:
             settle()
         yield out()
 
-    return frags.mapInArrow(tidy(meet), span_schema).groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "e", "built")).alias("spans"))
+    return frags.mapInArrow(tidy(meet), span_schema).unionByName(of_copies).groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "e", "built")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -496,10 +506,10 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 20_000, copies: int = 2, bucket_bytes: int = 1 << 19, small_hashes: int = 8_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 20_000, copies: int = 2, bucket_bytes: int = 1 << 20, small_hashes: int = 8_000_000, small_copies: int = 1_000_000) -> DataFrame:
     """A row for each document: doc_id, n_bytes, removed (spans of bytes), kept (the remaining bytes)."""
     d = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(doc).cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("text"))
-    spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, copies=copies, bucket_bytes=bucket_bytes, small_hashes=small_hashes)
+    spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, copies=copies, bucket_bytes=bucket_bytes, small_hashes=small_hashes, small_copies=small_copies)
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc].dataType), *T._parse_datatype_string("n_bytes bigint, removed array<struct<a:int,e:int>>, kept binary").fields])
     arrow = _arrow(schema)
 
