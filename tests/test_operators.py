@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import values as V
-from spanforge.operators import callgraph, compare, frames, hotspots, interning, memory, packets, rawbytes, slices, tracks
+from spanforge.operators import compare, frames, hotspots, interning, memory, rawbytes, slices, tracks
 
 
 def events(seed, n=400, n_tracks=5):
