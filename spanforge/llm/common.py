@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -15,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 #: A word is a run of characters other than space and TAB..CR; bytes.split() cuts at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,13 +35,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset (local tests) a local one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/spanforge-{uuid.uuid4().hex}"
+#: A new folder below spark.checkpoint.dir.
+shared_dir = shared_folder
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -202,17 +202,18 @@ class Model:
         share = (np.arange(GATES)[:, None] >> np.arange(K) & 1) * np.array([1.0, 2.0, 1.0])
         self.weights = (1.05 * share / np.maximum(share.sum(1, keepdims=True), 1)).astype(np.float32)
 
-    def log10(self, texts: list[bytes], lookup: Lookup, run: int = 1 << 17) -> np.ndarray:
+    def log10(self, texts: list[bytes], lookup: Lookup, run: int = 1 << 18) -> np.ndarray:
         """log10 probability of each text. Each distinct context and byte is looked up once; then texts are mixed in runs of about `run` bytes."""
         data, before, ends, ctx = contexts(texts)
         following = data.astype(np.int64) << NEXT
         both = before.astype(np.int64) << 8 | data
-        tables = [(self.code.bit, self.code.start[both])]
+        tables = []
         for k in range(K):
             u, index = distinct(ctx[k] | following)
-            keys, _, start = decisions(self.code, u)
+            keys, path, start = decisions(self.code, u)
             some, where = distinct(keys)
-            tables.append((self.predicted[k][lookup(some).astype(np.int64)][where], start[index]))
+            x = self.predicted[k][lookup(some).astype(np.int64)][where]
+            tables.append((np.where(self.code.bit[path], x, -x), start[index]))
         size, out, a = self.code.size[both], [], 0
         while a < len(texts):
             lo = int(ends[a - 1]) if a else 0
@@ -223,7 +224,7 @@ class Model:
         return np.concatenate(out) / math.log(10)
 
     def mixed(self, lengths: np.ndarray, size: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], rate: float = 10.0) -> np.ndarray:
-        """The logarithm of each text's probability. size: decisions of each byte. tables: of bits, and of predictions of each context, with the place of each byte's first."""
+        """The logarithm of each text's probability. size: decisions of each byte. tables: by context, logarithms of odds for what came, and the place of each byte's first."""
         doc = np.repeat(np.arange(len(lengths)), lengths)
         at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]
         edges = np.cumsum(BLOCKS)
@@ -233,7 +234,7 @@ class Model:
         first = np.cumsum(size) - size
         total = int(size.sum())
         place = np.arange(total)
-        bit, *x = (t[np.repeat(i[order] - first, size) + place] for t, i in tables)
+        x = [t[np.repeat(i[order] - first, size) + place] for t, i in tables]
         gate = np.zeros(total, np.uint8)
         for k in range(K):
             gate |= (x[k] != 0).view(np.uint8) << np.uint8(k)
@@ -244,14 +245,14 @@ class Model:
         factor, cost = np.ones((len(lengths), K), np.float32), np.zeros(len(lengths))
         for a, e in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
             lo, hi = int(seg[a]), int(seg[e])
-            docs, many, y = seg_doc[a:e], np.diff(seg[a : e + 1]), bit[lo:hi]
+            docs, many = seg_doc[a:e], np.diff(seg[a : e + 1])
             own = np.repeat(np.arange(0, len(docs) * GATES, GATES), many) + gate[lo:hi]
             parts = [(self.weights[:, k] * factor[docs, k, None]).ravel()[own] * x[k][lo:hi] for k in range(K)]
             dot = sum(parts[1:], parts[0]).clip(-16, 16)
             p = 1 / (1 + np.exp(-dot))
-            cost[docs] += np.add.reduceat(np.log(np.abs((1 - y) - p)), seg[a:e] - lo, dtype=np.float64)
+            cost[docs] += np.add.reduceat(np.log(p), seg[a:e] - lo, dtype=np.float64)
             if e < len(seg_doc):
-                error = y - p
+                error = 1 - p
                 for k in range(K):
                     factor[docs, k] += np.float32(rate) * np.add.reduceat(error * parts[k], seg[a:e] - lo) / (many + np.float32(200))
                 np.clip(factor, 0, 3, out=factor)
