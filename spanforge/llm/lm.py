@@ -88,8 +88,11 @@ class Code:
         return out
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of each byte of the texts, lower-cased, and their ends: the byte and the one before; ends of the texts; the key of each context, without what is next."""
+def contexts(texts: list[bytes], back: tuple[int, ...] = BACK) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each byte of the texts, lower-cased, and their ends: the byte and the one before; ends of the texts; the key of each context, without what is next.
+
+    back: the contexts of fixed length that are wanted; that of the word so far comes last.
+    """
     lows = [t.translate(LOWER) for t in texts]
     ends = np.cumsum([len(t) + 1 for t in lows])
     starts = np.concatenate([[0], ends[:-1]])
@@ -98,12 +101,12 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     data, before = raw[8:], raw[7:-1]
     n = len(data)
     eight = np.ndarray((n,), "<u8", buffer, 0, (1,)).copy()  # the eight bytes before each place, the nearest as the highest
-    near = (starts[:, None] + np.arange(max(BACK))).ravel()
-    at = np.tile(np.arange(max(BACK)), len(starts))
-    inside = near < np.repeat(ends, max(BACK))
+    near = (starts[:, None] + np.arange(max(back))).ravel()
+    at = np.tile(np.arange(max(back)), len(starts))
+    inside = near < np.repeat(ends, max(back))
     near, at = near[inside], at[inside].astype(U)
     found = []
-    for b in BACK:
+    for b in back:
         h = eight >> U(64 - 8 * b)
         h[near] |= (U(1) << (U(8) * (U(b) - np.minimum(at, U(b))))) - U(1)  # nothing of the text before
         found.append(h)
@@ -112,19 +115,30 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     word[0], word[1:] = 0, np.maximum.accumulate(np.where(SPACE[data] | (data == END), place + np.int32(1), np.int32(0)))[:-1]
     length = (place - word).astype(U)
     found.append(np.where(length > 0, eight >> (U(64) - U(8) * np.clip(length, 1, 8)), U(0)) + (length << U(57)) + length)
-    last = before.astype(U) << U(BEFORE)
-    keep = ~(U(0xFFFF) << U(BEFORE) | U(3))
-    out = []
-    for k, h in enumerate(found):
-        h += U(k + 1)
-        h *= U(0x9E3779B97F4A7C15)
-        h ^= h >> U(32)
-        h *= U(0xD6E8FEB86659FD93)
-        h &= keep
-        h |= last
-        h |= U(k)
-        out.append(h.view(np.int64))
-    return data, before, ends, out
+    numbers = [*(BACK.index(b) for b in back), K - 1]
+    return data, before, ends, [keyed(h, before, k) for h, k in zip(found, numbers, strict=True)]
+
+
+def keyed(h: np.ndarray, before: np.ndarray, k: int) -> np.ndarray:
+    """The keys of context k from numbers that tell its contexts apart, which are overwritten, and the bytes before."""
+    h += U(k + 1)
+    h *= U(0x9E3779B97F4A7C15)
+    h ^= h >> U(32)
+    h *= U(0xD6E8FEB86659FD93)
+    h &= ~(U(0xFFFF) << U(BEFORE) | U(3))
+    h |= before.astype(U) << U(BEFORE)
+    h |= U(k)
+    return h.view(np.int64)
+
+
+def shorter(data: np.ndarray, before: np.ndarray, ends: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """The keys of fixed context k at some places only."""
+    starts = np.concatenate([[0], ends[:-1]])
+    at = places - starts[np.searchsorted(starts, places, side="right") - 1]
+    h = np.zeros(len(places), U)
+    for j in range(1, BACK[k] + 1):
+        h |= np.where(at >= j, data[places - np.minimum(at, j)], END).astype(U) << U(8 * (BACK[k] - j))
+    return keyed(h, before[places], k)
 
 
 def pairs(texts: list[bytes]) -> list[np.ndarray]:
@@ -134,8 +148,8 @@ def pairs(texts: list[bytes]) -> list[np.ndarray]:
     return [c | following for c in ctx]
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, nearly in order, and of each key the index of its own. One sort of numbers that hold a key's upper bits and its place; keys that differ
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, nearly in order, of each key the index of its own, and a place of each distinct one. One sort of numbers that hold a key's upper bits and its place; keys that differ
     below those bits are told apart afterwards, at the price that one may come twice."""
     n = len(keys)
     low = U(max(1, (n - 1).bit_length()))
@@ -151,7 +165,7 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(k[1:], k[:-1], out=new[1:])
     index = np.empty(n, np.int64)  # numpy takes by 64-bit indices twice as fast as by shorter ones
     index[at] = np.cumsum(new) - 1
-    return k[new], index
+    return k[new], index, at[new]
 
 
 def decisions(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,28 +217,33 @@ class Model:
         self.weights = (1.05 * share / np.maximum(share.sum(1, keepdims=True), 1)).astype(np.float32)
 
     def log10(self, texts: list[bytes], lookup: Lookup, run: int = 1 << 18) -> np.ndarray:
-        """log10 probability of each text. Each distinct context and byte is looked up once; then texts are mixed in runs of about `run` bytes."""
-        data, before, ends, ctx = contexts(texts)
+        """log10 probability of each text. Each distinct context and byte is looked up once, of the contexts of fixed length only the distinct longest
+        ones, which have the shorter ones in them; then texts are mixed in runs of about `run` bytes."""
+        data, before, ends, ctx = contexts(texts, BACK[-1:])
         following = data.astype(np.int64) << NEXT
         both = before.astype(np.int64) << 8 | data
         tables = []
-        for k in range(K):
-            u, index = distinct(ctx[k] | following)
-            keys, path, start = decisions(self.code, u)
-            some, where = distinct(keys)
-            x = self.predicted[k][lookup(some).astype(np.int64)][where]
-            tables.append((np.where(self.code.bit[path], x, -x), start[index]))
+        for keys in ctx:
+            u, index, place = distinct(keys | following)
+            own, path, start = decisions(self.code, u)
+            lengths = [*(decisions(self.code, shorter(data, before, ends, place, k) | u & BYTE << NEXT)[0] for k in range(K - 2)), own] if keys is ctx[0] else [own]
+            x = []
+            for k, q in enumerate(lengths, 0 if keys is ctx[0] else K - 1):
+                some, where, _ = distinct(q)
+                p = self.predicted[k][lookup(some).astype(np.int64)][where]
+                x.append(np.where(self.code.bit[path], p, -p))
+            tables.append((x, start[index]))
         size, out, a = self.code.size[both], [], 0
         while a < len(texts):
             lo = int(ends[a - 1]) if a else 0
             b = max(a + 1, int(np.searchsorted(ends, lo + run, side="right")))
             hi = int(ends[b - 1])
-            out.append(self.mixed(np.diff(ends[a:b], prepend=lo), size[lo:hi], [(t, i[lo:hi]) for t, i in tables]))
+            out.append(self.mixed(np.diff(ends[a:b], prepend=lo), size[lo:hi], [(x, i[lo:hi]) for x, i in tables]))
             a = b
         return np.concatenate(out) / math.log(10)
 
-    def mixed(self, lengths: np.ndarray, size: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], rate: float = 10.0) -> np.ndarray:
-        """The logarithm of each text's probability. size: decisions of each byte. tables: by context, logarithms of odds for what came, and the place of each byte's first."""
+    def mixed(self, lengths: np.ndarray, size: np.ndarray, tables: list[tuple[list[np.ndarray], np.ndarray]], rate: float = 10.0) -> np.ndarray:
+        """The logarithm of each text's probability. size: decisions of each byte. tables: logarithms of odds for what came, of contexts in order, and the place of each byte's first."""
         doc = np.repeat(np.arange(len(lengths)), lengths)
         at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]
         edges = np.cumsum(BLOCKS)
@@ -234,7 +253,10 @@ class Model:
         first = np.cumsum(size) - size
         total = int(size.sum())
         place = np.arange(total)
-        x = [t[np.repeat(i[order] - first, size) + place] for t, i in tables]
+        x = []
+        for own, i in tables:
+            at = np.repeat(i[order] - first, size) + place
+            x += [t[at] for t in own]
         gate = np.zeros(total, np.uint8)
         for k in range(K):
             gate |= (x[k] != 0).view(np.uint8) << np.uint8(k)

@@ -434,7 +434,9 @@ def test_context_tables(spark):
     look = lambda t: lm.values_of(keys, states, lm.decisions(code, lm.pairs([t])[1])[0])
     assert (look(texts[0]) > 0).all() and (look(b"klmnopq") == 0).sum() > 10
     model = lm.Model(code, left_out)
-    every = [t or b"" for t in texts]
+    every = [t or b"" for t in texts] + [b"a", b"ab", b"abc", b"abcd"]
+    data, before, ends, ctx = lm.contexts(every)
+    assert (lm.shorter(data, before, ends, np.arange(len(data)), 0) == ctx[0]).all() and (lm.contexts(every, lm.BACK[-1:])[3][0] == ctx[1]).all()
     whole = model.log10(every, lambda q: lm.values_of(keys, states, q))
     assert whole.tolist() == [model.log10([t], lambda q: lm.values_of(keys, states, q))[0] for t in every]
 
