@@ -399,8 +399,8 @@ class Vocabulary:
         return np.concatenate([values_of(k, v, q[a:e]) for (k, v), a, e in zip(self.parts, cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        u, inv = np.unique(h, return_inverse=True)
-        return self.values(u)[inv]
+        u, index, _ = distinct(h)
+        return self.values(u)[index]
 
 
 def mounted(folder: str) -> bool:
