@@ -21,13 +21,14 @@ def single_bytes(writes: DataFrame) -> DataFrame:
     many = F.col("__n") > 1
     w = w.withColumn("__base", F.when(many, sure_hex(F.coalesce("offset", "address", "addr", F.lit("0x0")))))
     w = w.withColumn("__v", F.when(many, sure_hex(F.coalesce("value", F.lit("0x0")))))
+    w = w.withColumn("__low", F.conv(F.right(F.col("__base"), F.lit(15)), 16, 10).cast("bigint"))
     w = w.withColumn("byte_no", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__n"), F.lit(1)).cast("int") - 1)))
     # The low 15 digits as a number, and what it carries over to the digits above.
-    low = F.conv(F.right(F.col("__base"), F.lit(15)), 16, 10).cast("bigint") + F.col("byte_no")
+    low = F.col("__low") + F.col("byte_no")
     above = F.expr("left(__base, greatest(length(__base) - 15, 0))")
     above = F.when(low >= 16**15, F.hex(F.conv(F.concat(F.lit("0"), above), 16, 10).cast("bigint") + 1)).otherwise(above)
-    at = F.when(F.length("__base") >= 15, F.concat(above, F.lpad(F.hex(F.pmod(low, F.lit(16**15))), 15, "0"))).otherwise(F.hex(low))
-    at = F.regexp_replace(at, "^0+(?=.)", "")
+    long = F.regexp_replace(F.concat(above, F.lpad(F.hex(F.pmod(low, F.lit(16**15))), 15, "0")), "^0+(?=.)", "")
+    at = F.when(F.length("__base") >= 15, long).otherwise(F.hex(low))
     padded = lambda c, digits: F.when(F.length(c) < digits, F.lpad(c, digits, "0")).otherwise(c)
     sign = F.when(F.col("value").startswith("-"), "F").otherwise("0")
     byte = F.expr("right(__v, 2 * byte_no + 2)")
@@ -38,7 +39,7 @@ def single_bytes(writes: DataFrame) -> DataFrame:
             "addr_text": F.when(many, F.concat(F.lit("0x"), F.when(inner, padded(at, 2)).otherwise(padded(at, 6)))).otherwise(F.coalesce("offset", "address", "addr")),
             "value_text": F.when(many, F.concat(F.lit("0x"), byte)).otherwise(F.col("value")),
         }
-    ).drop("__n", "__base", "__v")
+    ).drop("__n", "__base", "__v", "__low")
 
 
 def sure(text: Column, number: Column) -> Column:
