@@ -8,7 +8,7 @@ share is no hot key. A text that equals an earlier one in full is removed before
 
 The fragments that meet are a collection of short strings. In round j the suffixes of length j of all strings are inserted, one symbol per
 string: where the new suffix goes follows from the symbol's rank in the transform so far, and its common prefix with both neighbours from
-the least of the former common prefixes between. Transform and common prefixes are tapes, read and written from front to end in blocks: what a block needs of those
+the least of the former common prefixes between. Transform and common prefixes are a tape, read and written from front to end in blocks: what a block needs of those
 before it are counts and minima by symbol. A tape of over `memory` bytes goes on in a file of the shared folder. String and start of each
 suffix follow at the end by going back through the transform. Runs of common prefixes of at least `length` are then the groups of equal windows; all but the first
 occurrence (by doc_id, then start) are removed.
@@ -30,46 +30,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _arrow, chunks, map_texts, prepared, shared_dir, tidy, written
+from .common import _arrow, chunks, prepared, shared_dir, tidy, written
 
 U = np.uint64
 TOP = np.uint8(255)
+#: A symbol and, as the upper byte, a common prefix.
+PAIR = np.dtype("<u2")
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     """A hash of the `gram` (a power of two) bytes from each place; places near the end have none."""
-    h, size = b.astype(U) + U(1), 1
+    h, size = b.astype(U), 1
+    h += U(1)
     while size < gram:
-        h = h[:-size] * U(pow(0x9E3779B97F4A7C15, size, 2**64)) + h[size:]
-        size *= 2
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+        longer = h[:-size] * U(pow(0x9E3779B97F4A7C15, size, 2**64))
+        longer += h[size:]
+        h, size = longer, 2 * size
+    h ^= h >> U(30)
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(27)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(31)
+    return h
+
 
+def anchors(data: bytes, sizes: list[int], length: int, gram: int, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments of the texts in data: text number, first window, number of windows (all from the text's start), anchor hash.
 
-def anchors(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fragments of the texts in data: text number, first window, number of windows (all from the text's start), anchor hash."""
+    Anchors are found for `block` windows at a time, so that what is computed on stays in the processor's cache.
+    """
     b = np.frombuffer(data, np.uint8)
-    empty = np.empty(0, np.int64)
-    if len(b) < length:
-        return empty, empty, empty, np.empty(0, U)
-    v = gram_hashes(b, gram)
-    p = least_places(v, length - gram + 1)
-    ends = np.cumsum(sizes)
+    windows = len(b) - length + 1
+    ends = np.cumsum(sizes, dtype=np.int64)
     starts = ends - sizes
-    some = np.asarray(sizes) >= length
-    edge = np.zeros(len(p) + 1, np.int8)
-    edge[starts[some]] += 1
-    edge[ends[some] - length + 1] -= 1
-    at = np.flatnonzero(np.cumsum(edge[:-1]))
-    if not len(at):
+    some = ends - starts >= length
+    if not some.any():
+        empty = np.empty(0, np.int64)
         return empty, empty, empty, np.empty(0, U)
-    pa_ = p[at]
-    new = np.flatnonzero(np.concatenate([[True], (pa_[1:] != pa_[:-1]) | (at[1:] != at[:-1] + 1)]))
-    first = at[new]
-    count = np.diff(np.append(new, len(at)))
-    doc = np.searchsorted(ends, first, side="right")
-    return doc, first - starts[doc], count, v[p[first]]
+    # Runs of windows with one anchor, of the texts put together.
+    first, place, hashes = [], [], []
+    for lo in range(0, windows, block):
+        v = gram_hashes(b[lo : min(lo + block, windows) + length - 1], gram)
+        p = least_places(v, length - gram + 1)
+        at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        p = p[at]
+        first.append(at + lo)
+        place.append(p + lo)
+        hashes.append(v[p])
+    first, place, hashes = np.concatenate(first), np.concatenate(place), np.concatenate(hashes)
+    new = np.concatenate([[True], place[1:] != place[:-1]])  # a run goes on over the end of a block
+    first, hashes = first[new], hashes[new]
+    # Texts begin and end runs; windows over the end of a text are none.
+    last = ends[some] - length + 1
+    cut = np.unique(np.concatenate([first, starts[some], last]))
+    count = np.diff(np.append(cut, windows))
+    doc = np.searchsorted(ends, cut, side="right")
+    doc[doc == len(ends)] = 0  # only after the last window
+    own = cut + length <= ends[doc]
+    cut, doc = cut[own], doc[own]
+    return doc, cut - starts[doc], count[own], hashes[np.searchsorted(first, cut, side="right") - 1]
 
 
 def least_places(v: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
@@ -100,7 +119,7 @@ def least_places(v: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
 
 
 class Tape:
-    """Bytes written once from front to end, then read from front to end, in blocks. Over `memory` bytes they go on in a file of the folder."""
+    """Symbols, each with a common prefix as its upper byte, written once from front to end, then read from front to end, in blocks of `block` symbols. Over `memory` bytes they go on in a file of the folder."""
 
     def __init__(self, folder: str, memory: int, block: int):
         self.folder, self.memory, self.block = folder, memory, block
@@ -111,7 +130,7 @@ class Tape:
         self.size += len(x)
         for at in range(0, len(x), self.block):
             self.parts.append(x[at : at + self.block])
-        if self.size > self.memory:
+        if 2 * self.size > self.memory:
             if self.out is None:
                 self.fs, folder = pa_fs.FileSystem.from_uri(self.folder)
                 self.fs.create_dir(folder, recursive=True)
@@ -130,8 +149,8 @@ class Tape:
             yield from self.parts
             return
         with self.fs.open_input_stream(self.path) as f:
-            while data := f.read(self.block):
-                yield np.frombuffer(data, np.uint8)
+            while data := f.read(2 * self.block):
+                yield np.frombuffer(data, PAIR)
 
     def remove(self) -> None:
         if self.path is not None:
@@ -151,15 +170,15 @@ def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Transform:
     """The transform and common prefixes of strings of up to 254 bytes, none empty."""
 
-    def __init__(self, strings: list[bytes], folder: str, *, memory: int = 32 << 20, block: int = 1 << 21):
+    def __init__(self, strings: list[bytes], folder: str, *, memory: int = 32 << 20, block: int = 1 << 20):
         self.n = len(strings)
         self.sizes = np.array([len(s) for s in strings], np.int64)
         self.width = int(self.sizes.max())
         # Right-aligned; 0 is the end mark, and UTF-8 has no byte above 0xF4, so every symbol moves up by one.
         rows = np.frombuffer(b"".join(s.rjust(self.width, b"\xff") for s in strings), np.uint8).reshape(self.n, self.width)
         self.text = np.ascontiguousarray((rows + np.uint8(1)).T)
-        self.tape = lambda: Tape(folder, memory, block)
-        self.bwt, self.lcp = self.tape(), self.tape()
+        self.new_tape = lambda: Tape(folder, memory, block)
+        self.tape = self.new_tape()
 
     def symbol(self, j: int) -> np.ndarray:
         """What precedes the suffixes of length j; 0 at a string's start."""
@@ -167,9 +186,8 @@ class Transform:
 
     def build(self) -> tuple[np.ndarray, np.ndarray]:
         """The transform and, for each suffix in order, its common prefix with the one before."""
-        for tape, x in ((self.bwt, self.symbol(0)), (self.lcp, np.zeros(self.n, np.uint8))):
-            tape.write(x)
-            tape.close()
+        self.tape.write(self.symbol(0).astype(PAIR))
+        self.tape.close()
         self.count = np.bincount(self.symbol(0), minlength=256)
         place = live = np.arange(self.n)  # of the strings that get a symbol this round, in order of place
         for j in range(1, self.width + 1):
@@ -184,10 +202,9 @@ class Transform:
             place, live = to[more], live[more]
             if not len(live):
                 break
-        out = tuple(np.concatenate(list(tape.blocks())) for tape in (self.bwt, self.lcp))
-        for tape in (self.bwt, self.lcp):
-            tape.remove()
-        return out
+        t = np.concatenate(list(self.tape.blocks()))
+        self.tape.remove()
+        return t.astype(np.uint8), (t >> 8).astype(np.uint8)
 
     def ranked(self, place: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For places in ascending order and the symbols there: the symbol's occurrences before; the least common prefix after its last occurrence up
@@ -198,15 +215,22 @@ class Transform:
         since = np.full(256, TOP)  # the least common prefix after a symbol's last occurrence
         waits, least = np.full(256, -1), np.full(256, TOP)  # the place whose symbol has not come again, and the least since
         at = base = 0
-        for b, x in zip(self.bwt.blocks(), self.lcp.blocks(), strict=True):
-            order = np.argsort(b, kind="stable")
-            several = len(b) < self.bwt.size
-            size = np.bincount(b, minlength=256) if several else self.count
-            start = np.cumsum(size) - size
-            x = np.append(x, TOP)
+        for t in self.tape.blocks():
+            b, x = t.astype(np.uint8), np.append((t >> 8).astype(np.uint8), TOP)
+            # The transform of repeated text is made of long runs of one symbol; they are put in order, not the symbols.
+            run = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1])
+            long = np.diff(np.append(run, len(b)))
+            own = b[run]
+            order = np.argsort(own, kind="stable")
+            many = np.bincount(own, minlength=256)
+            start = np.cumsum(many) - many
+            before = np.concatenate([[0], np.cumsum(long[order])])  # symbols in the runs before, in order
+            size = before[start + many] - before[start]
+            several = len(b) < self.tape.size
             if several:
                 here, gone = np.flatnonzero(size), size == 0
-                first, last = order[start[here]], order[start[here] + size[here] - 1]
+                first, last = run[order[start[here]]], order[start[here] + many[here] - 1]
+                last = run[last] + long[last] - 1
                 head, tail = np.minimum.accumulate(x[:-1]), np.minimum.accumulate(x[::-1])[::-1]
                 came = waits[here] >= 0
                 high[waits[here[came]]] = np.minimum(least[here[came]], head[first[came]])
@@ -214,23 +238,31 @@ class Transform:
                 least[gone] = np.minimum(least[gone], head[-1])
             end = at + int(np.searchsorted(place[at:], base + len(b)))
             if end > at:
-                sort = np.argsort(c[at:end], kind="stable")
-                own, p, s = at + sort, place[at:end][sort] - base, c[at:end][sort]
-                i = np.empty(len(p), np.int64)  # where the place stands in order
-                cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])).tolist()
-                for k, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    f = int(start[s[k]])
-                    i[k:e] = f + np.searchsorted(order[f : f + int(size[s[k]])], p[k:e])
-                rank[own] = count[s] + i - start[s]
-                inside = i > start[s]
-                low[own[inside]] = least_between(x, order[i[inside] - 1] + 1, p[inside])
+                p, s = place[at:end] - base, c[at:end]
+                r = np.searchsorted(run, p, side="right") - 1
+                stands = np.empty(len(run), np.int64)
+                stands[order] = np.arange(len(run))
+                i = stands[r]
+                rank[at:end] = count[s] + before[i] - before[start[s]] + p - run[r]
+                # Before the place: the symbol itself, else its run before, else one of an earlier block, else none.
+                found, own_low = p > run[r], x[p].astype(np.int16)
+                far = np.flatnonzero(~found & (i > start[s]))
+                prior = order[i[far] - 1]
+                own_low[far] = least_between(x, run[prior] + long[prior], p[far])
+                none = np.flatnonzero(~found & (i == start[s]))
+                own_low[none] = -1
                 if several:
-                    carried = ~inside & (count[s] > 0)
-                    low[own[carried]] = np.minimum(since[s[carried]], head[p[carried]])
-                inside = i + 1 < start[s] + size[s]
-                high[own[inside]] = least_between(x, p[inside] + 1, order[i[inside] + 1])
+                    none = none[count[s[none]] > 0]
+                    own_low[none] = np.minimum(since[s[none]], head[p[none]])
+                low[at:end] = own_low
+                found, own_high = p + 1 < run[r] + long[r], x[p + 1].astype(np.int16)
+                far = np.flatnonzero(~found & (i + 1 < start[s] + many[s]))
+                own_high[far] = least_between(x, p[far] + 1, run[order[i[far] + 1]])
+                none = np.flatnonzero(~found & (i + 1 == start[s] + many[s]))
+                own_high[none] = -1
+                high[at:end] = own_high
                 if several:
-                    waits[s[~inside]], least[s[~inside]] = own[~inside], tail[p[~inside] + 1]
+                    waits[s[none]], least[s[none]] = at + none, tail[p[none] + 1]
             if several:
                 since[gone] = np.minimum(since[gone], head[-1])
                 since[here] = tail[last + 1]
@@ -241,31 +273,27 @@ class Transform:
     def insert(self, to: np.ndarray, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         """Puts suffixes at their places: the symbol before each, its common prefix with the one before, and that of the one after."""
         into = to - np.arange(len(to))  # the old suffix before which it goes
-        bwt, lcp, at, base = self.tape(), self.tape(), 0, 0
-        for b, x in zip(self.bwt.blocks(), self.lcp.blocks(), strict=True):
-            end = len(into) if base + len(b) == self.bwt.size else at + int(np.searchsorted(into[at:], base + len(b)))
+        fresh = symbol | low.astype(PAIR) << 8
+        tape, at, base = self.new_tape(), 0, 0
+        for t in self.tape.blocks():
+            size = len(t)
+            end = len(into) if base + size == self.tape.size else at + int(np.searchsorted(into[at:], base + size))
             if end > at:
                 i = into[at:end] - base
-                final = np.append(i[1:] != i[:-1], True) & (i < len(x))  # the last one before an old suffix
-                x = x.copy()
-                x[i[final]] = high[at:end][final]
+                final = np.append(i[1:] != i[:-1], True) & (i < size)  # the last one before an old suffix
+                t, after = t.copy(), i[final]
+                t[after] = t[after] & 255 | high[at:end][final].astype(PAIR) << 8
                 new = i + np.arange(len(i))
-                old = np.ones(len(b) + len(i), bool)
+                old = np.ones(size + len(i), bool)
                 old[new] = False
-                merged_ = []
-                for was, put in ((b, symbol), (x, low)):
-                    now = np.empty(len(old), np.uint8)
-                    now[old], now[new] = was, put[at:end]
-                    merged_.append(now)
-                b, x = merged_
-            bwt.write(b)
-            lcp.write(x)
-            at, base = end, base + (len(b) - (end - at))
-        for tape in (bwt, lcp):
-            tape.close()
-        for tape in (self.bwt, self.lcp):
-            tape.remove()
-        self.bwt, self.lcp = bwt, lcp
+                now = np.empty(len(old), PAIR)
+                now[old], now[new] = t, fresh[at:end]
+                t = now
+            tape.write(t)
+            at, base = end, base + size
+        tape.close()
+        self.tape.remove()
+        self.tape = tape
         self.count = self.count + np.bincount(symbol, minlength=256)
 
     def suffixes(self, bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,20 +369,17 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies:
     of_copies = whole.join(few, "uid", "left_semi").select("doc", "uid", F.lit(0).alias("a"), F.col("size").alias("e"), F.lit(False).alias("built")).distinct()
     docs = docs.join(few, "uid", "left_anti").select("doc", "uid", "text")
 
-    def found(texts: list) -> dict:
-        sizes = [len(t or b"") for t in texts]
-        doc, _, _, h = anchors(b"".join(t or b"" for t in texts), sizes, length, gram)
-        out: list[list] = [[] for _ in texts]
-        if len(doc):
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
-            n = np.diff(np.append(new, len(h)))
-            for d, x, k in zip(doc[new].tolist(), h[new].astype(np.int64).tolist(), n.tolist(), strict=True):
-                out[d].append((x, k))
-        return {"a": out}
-
-    each = map_texts(docs, found, "a array<struct<h:bigint,n:int>>", keep=("doc", "uid")).select("doc", "uid", F.explode("a").alias("a")).select("doc", "uid", "a.h", "a.n")
+    count_schema = T._parse_datatype_string("h bigint, n int")
+    count_arrow = _arrow(count_schema)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors of some texts, and how often they come."""
+        for batch in chunks(batches, 0):
+            texts = [t or b"" for t in batch.column(0).to_pylist()]
+            h, n = np.unique(anchors(b"".join(texts), [len(t) for t in texts], length, gram)[3].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32))], schema=count_arrow)
+
+    each = docs.select("text").mapInArrow(tidy(counted), count_schema)
     many = written(each.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot")), shared_dir(docs.sparkSession), "anchors")
     known = None
     if many.limit(small_hashes + 1).count() <= small_hashes:
@@ -365,7 +390,21 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies:
         known = docs.sparkSession.sparkContext.broadcast((h[order], is_hot[order]))
         located = docs
     else:
-        mine = each.select("doc", "uid", "h").join(many, "h").groupBy("doc", "uid").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
+        own_schema = T._parse_datatype_string("doc bigint, uid bigint, h bigint")
+        own_arrow = _arrow(own_schema)
+
+        def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The anchors of each text, once."""
+            for batch in chunks(batches, 2):
+                texts = [t or b"" for t in batch.column(2).to_pylist()]
+                i, _, _, h = anchors(b"".join(texts), [len(t) for t in texts], length, gram)
+                order = np.lexsort((h, i))
+                i, h = i[order], h[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (i[1:] != i[:-1])]) if len(i) else np.zeros(0, bool)
+                ids = pa.array(i[new])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(h[new].view(np.int64))], schema=own_arrow)
+
+        mine = docs.mapInArrow(tidy(owned), own_schema).join(many, "h").groupBy("doc", "uid").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hots"))
         located = docs.join(mine, ["doc", "uid"])
     schema = T._parse_datatype_string("key bigint, frag binary, doc bigint, uid bigint, first int, size int")
     arrow = _arrow(schema)
@@ -438,29 +477,30 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies:
     span_arrow = _arrow(span_schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: list[bytes] = []
-        where: list[tuple[int, int, int]] = []
+        # Strings, their places and bytes, by the size of the longest of a group: a transform takes as many rounds as its longest string has symbols.
+        buckets: list[tuple[list[bytes], list[tuple[int, int, int]]]] = [([], []) for _ in range(4)]
+        held = [0] * len(buckets)
         group: list[tuple[bytes, tuple]] = []
-        last_key, last, same, held, spans = None, None, 0, 0, []
+        last_key, last, same, spans = None, None, 0, []
 
-        def settle() -> None:
-            nonlocal held
-            spans.extend((*x, True) for x in settled(strings, where, length, folder))
-            strings.clear()
-            where.clear()
-            held = 0
+        def settle(k: int) -> None:
+            spans.extend((*x, True) for x in settled(*buckets[k], length, folder))
+            for part in buckets[k]:
+                part.clear()
+            held[k] = 0
 
         def close_group() -> None:
             """Fragments of one anchor meet; one alone has no other to meet and holds no window twice."""
-            nonlocal held
             if len(group) > 1:
+                k = (max(len(f) for f, _ in group) - length) * len(buckets) // length
+                strings, where = buckets[k]
                 for f, w in group:
                     strings.append(f)
                     where.append(w)
-                    held += len(f)
+                    held[k] += len(f)
+                if held[k] >= bucket_bytes:
+                    settle(k)
             group.clear()
-            if held >= bucket_bytes:
-                settle()
 
         def out() -> pa.RecordBatch:
             rows = list(zip(*spans, strict=True)) or [()] * len(span_arrow)
@@ -489,9 +529,9 @@ def removed_spans(docs: DataFrame, *, length: int, gram: int, hot: int, copies:
             if spans:
                 yield out()
         close_group()
-        if strings:
-            settle()
-        yield out()
+        for k in range(len(buckets)):
+            settle(k)
+            yield out()
 
     return frags.mapInArrow(tidy(meet), span_schema).unionByName(of_copies).groupBy("doc", "uid").agg(F.collect_list(F.struct("a", "e", "built")).alias("spans"))
 
