@@ -546,7 +546,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 20_000, copies: int = 2, bucket_bytes: int = 1 << 20, small_hashes: int = 8_000_000, small_copies: int = 1_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, hot: int = 20_000, copies: int = 2, bucket_bytes: int = 1 << 19, small_hashes: int = 8_000_000, small_copies: int = 1_000_000) -> DataFrame:
     """A row for each document: doc_id, n_bytes, removed (spans of bytes), kept (the remaining bytes)."""
     d = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(doc).cast("bigint"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("uid"), F.col(text).cast("binary").alias("text"))
     spans = removed_spans(d.select("doc", "uid", "text"), length=length, gram=gram, hot=hot, copies=copies, bucket_bytes=bucket_bytes, small_hashes=small_hashes, small_copies=small_copies)
