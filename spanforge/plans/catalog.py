@@ -139,8 +139,16 @@ def slice_unfinished(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("slice_durations", f"WITH {BEGINS} SELECT name, level::BIGINT AS level, count(*) AS n, sum(end_ts - ts)::BIGINT AS total_ns, max(end_ts - ts)::BIGINT AS longest_ns FROM b WHERE end_idx IS NOT NULL GROUP BY name, level")
 def slice_durations(spark: SparkSession, sf: str) -> DataFrame:
+    """total_ns is a bigint, as in SQL, unless one of the sums is no bigint (where the SQL fails): then the column is a decimal."""
+    from ..session import shared_folder
+
     d = F.col("end_ts") - F.col("ts")
-    return _begins(spark, sf).where("end_idx is not null").groupBy("name", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("total_ns"), F.max(d).alias("longest_ns"))
+    sums = _begins(spark, sf).where("end_idx is not null").groupBy("name", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(d.cast("decimal(19,0)")).alias("total_ns"), F.max(d).alias("longest_ns"))
+    folder = shared_folder(spark)
+    sums.write.parquet(f"{folder}/durations")
+    sums = spark.read.schema(sums.schema).parquet(f"{folder}/durations")
+    most = sums.agg(F.max("total_ns")).first()[0] or 0
+    return sums.withColumn("total_ns", F.col("total_ns").cast("bigint" if most < 2**63 else "decimal(38,0)"))
 
 
 # Call graphs ----------------------------------------------------------------------------------------------------------
