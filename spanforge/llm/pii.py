@@ -98,6 +98,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: sigmoid from -10 to 10 and, steeper, tanh from -6 to 6 in steps of 1 / STEPS of their arguments times 1 and 4; beyond, both stand still. Off by 1e-4 at most.
+STEPS, STEEP = 2048, 4
+SIGMOID, TANH = (f(np.arange(-m * STEPS, m * STEPS + 1) / STEPS / by).astype(np.float32) for f, m, by in ((sigmoid, 10, 1), (np.tanh, 24, STEEP)))
+#: Added to a number of up to some thousands, it leaves the nearest step's number in the lowest bits.
+SHIFT = np.float32(1.5 * 2**23 / STEPS)
+ZERO = int(SHIFT.view(np.int32))
+
+
+def looked_up(table: np.ndarray, x: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """The table's values for x, which is overwritten, as is at."""
+    x += SHIFT
+    np.subtract(x.view(np.int32), ZERO - len(table) // 2, out=at)
+    np.take(table, at, out=out, mode="clip")
+
+
 class Tagger:
     """Embedding, LSTM in both directions, linear emissions, CRF. Arrays are (time, batch, ...)."""
 
@@ -195,41 +210,50 @@ class Tagger:
                 self.w[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
         return loss
 
-    def hidden(self, ids: np.ndarray, d: str) -> np.ndarray:
-        """As lstm, without what learning needs: the classes' part of the gates is a table, and sigmoids are tanh at half the argument."""
+    def inputs(self, ids: np.ndarray) -> np.ndarray:
+        """(time, hidden + embedding + 1, windows): what a step multiplies. The hidden part is left free, the last row is the bias's."""
+        emb, n = self.w["emb"], self.h
+        x = np.empty((len(ids), n + emb.shape[1] + 1, ids.shape[1]), np.float32)
+        for j, own in enumerate(np.ascontiguousarray(emb.T)):
+            np.take(own, ids, out=x[:, n + j], mode="clip")
+        x[:, -1] = 1
+        return x
+
+    def hidden(self, x: np.ndarray, d: str) -> np.ndarray:
+        """As lstm, from inputs, without what learning needs, as (time, hidden, windows); sigmoid and tanh are looked up."""
         w, n = self.w, self.h
-        half = np.concatenate([np.full(3 * n, 0.5, np.float32), np.ones(n, np.float32)])
-        table, wh = (w["emb"] @ w[f"x{d}"] + w[f"c{d}"]) * half, w[f"h{d}"] * half
-        ids = np.ascontiguousarray(ids)
-        h = c = np.zeros((ids.shape[1], n), np.float32)
-        out = np.empty((*ids.shape, n), np.float32)
-        z, from_h = (np.empty((ids.shape[1], 4 * n), np.float32) for _ in range(2))
-        for t in range(len(ids)) if d == "f" else range(len(ids) - 1, -1, -1):
-            np.take(table, ids[t], axis=0, out=z, mode="clip")
-            z += np.dot(h, wh, out=from_h)
-            np.tanh(z, out=z)
-            s = z[:, : 3 * n]
-            s *= 0.5
-            s += 0.5
-            c = s[:, n : 2 * n] * c + s[:, :n] * z[:, 3 * n :]
-            h = np.multiply(s[:, 2 * n :], np.tanh(c), out=out[t])
+        wt = np.ascontiguousarray(np.concatenate([w[f"h{d}"], w[f"x{d}"], w[f"c{d}"][None]]).T)
+        wt[3 * n :] *= STEEP
+        out, (c, h) = np.empty((len(x), n, x.shape[2]), np.float32), np.zeros((2, n, x.shape[2]), np.float32)
+        z, s = (np.empty((4 * n, x.shape[2]), np.float32) for _ in range(2))
+        tc, at = np.empty_like(c), np.empty(z.shape, np.int64)
+        i, f, o, u = s[:n], s[n : 2 * n], s[2 * n : 3 * n], s[3 * n :]
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            x[t, :n] = h
+            np.dot(wt, x[t], out=z)
+            looked_up(SIGMOID, z[: 3 * n], at[: 3 * n], s[: 3 * n])
+            looked_up(TANH, z[3 * n :], at[3 * n :], u)
+            c *= f
+            i *= u
+            c += i
+            looked_up(TANH, np.multiply(c, STEEP, out=z[:n]), at[:n], tc)
+            h = np.multiply(o, tc, out=out[t])
         return out
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best labels and emissions of (windows, time)."""
-        out, n = self.w["out"], self.h
-        e = self.hidden(ids.T, "f") @ out[:n] + self.hidden(ids.T, "b") @ out[n:] + self.w["ob"]
+        out, n, x = self.w["out"], self.h, self.inputs(np.ascontiguousarray(ids.T))
+        e = np.matmul(out[:n].T.copy(), self.hidden(x, "f"))
+        e += np.matmul(out[n:].T.copy(), self.hidden(x, "b"))
+        e += self.w["ob"][:, None]
         tr = self.w["tr"] + self.allowed
         # What a place adds to a span's score against "outside": its emission and the transition to it. A span that is better than outside has a place that adds.
         gain = tr.max(0) - tr[0, 0] + max(0.0, float((tr[:, 0] - tr[0, 0]).max()))
-        best = e[:, :, 1] + gain[1]
-        for k in range(2, LABELS):
-            np.maximum(best, e[:, :, k] + gain[k], out=best)
-        open_ = (best > e[:, :, 0]).T
-        return self.stretches(e, tr, open_), e.transpose(1, 0, 2)
+        open_ = ((e[:, 1:] + gain[1:, None]).max(1) > e[:, 0]).T
+        return self.stretches(e, tr, open_), e.transpose(2, 0, 1)
 
     def stretches(self, e: np.ndarray, tr: np.ndarray, open_: np.ndarray, quiet: int = 16, batch: int = 512) -> np.ndarray:
-        """Best labels of (windows, time): Viterbi over stretches of open places and `quiet` more on either side, a batch of about one length at a time; outside elsewhere."""
+        """Best labels of (windows, time), from emissions (time, label, window): Viterbi over stretches of open places and `quiet` more on either side, a batch of about one length at a time; outside elsewhere."""
         n = open_.shape[1]
         labels = np.zeros(open_.shape, np.int64)
         row, at = np.nonzero(open_)
@@ -239,13 +263,16 @@ class Tagger:
         row, first, end = row[new], np.maximum(at[new] - quiet, 0), np.minimum(at[np.append(new[1:], len(at)) - 1] + quiet + 1, n)
         size = end - first
         order = np.argsort(size, kind="stable")
+        flat, many = e.reshape(-1), e.shape[2]
         for part in np.split(order, range(batch, len(order), batch)):
             step = np.arange(size[part[-1]])[:, None]
-            inside = step < size[part]
-            own = e[np.minimum(first[part] + step, n - 1), row[part]]
-            own[~inside] = np.where(np.arange(LABELS) == 0, 0, -1e4)
-            got = self.viterbi(own, tr)
-            labels[np.broadcast_to(row[part], inside.shape)[inside], (first[part] + step)[inside]] = got[inside]
+            at = np.minimum(first[part] + step, n - 1) * (LABELS * many) + row[part]
+            own = np.empty((len(step), LABELS, len(part)), e.dtype)
+            for k in range(LABELS):
+                own[:, k] = np.take(flat[k * many :], at, mode="clip")
+                own[:, k][step >= size[part]] = -1e4 * (k > 0)
+            t, j = np.nonzero(got := self.viterbi(own.transpose(0, 2, 1), tr))
+            labels[row[part][j], first[part][j] + t] = got[t, j]
         return labels
 
     def viterbi(self, e: np.ndarray, tr: np.ndarray) -> np.ndarray:
@@ -381,7 +408,7 @@ def reconciled(spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def model_spans(tagger: Tagger, texts: list[str], *, width: int = 256, overlap: int = 32, least: float = 0.5, batch: int = 2048) -> list[list[tuple[str, int, int]]]:
+def model_spans(tagger: Tagger, texts: list[str], *, width: int = 256, overlap: int = 32, least: float = 0.5, batch: int = 1024) -> list[list[tuple[str, int, int]]]:
     """Spans (kind, start, end) of the model in each text, reconciled over the text."""
     parts: list[list[tuple[int, int, int, bool, bool, float]]] = [[] for _ in texts]
     codes: dict[int, np.ndarray] = {}

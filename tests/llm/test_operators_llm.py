@@ -614,3 +614,15 @@ def test_ids_with_several_texts(spark):
     assert one.columns == d.columns
     kept = [x.doc_id for x in one.collect()]
     assert collections.Counter(kept) == {5: 1, 8: 1, None: 2} | {i: 1 for i in (6, 7) if i in kept} and len({6, 7} & set(kept)) == 1
+
+
+def test_gates_are_looked_up():
+    x = np.concatenate([np.linspace(-12, 12, 100_001), [-500, 500]]).astype(np.float32)
+    for table, steep, f in ((pii.SIGMOID, 1, pii.sigmoid), (pii.TANH, pii.STEEP, np.tanh)):
+        out = np.empty_like(x)
+        pii.looked_up(table, x * steep, np.empty(len(x), np.int64), out)
+        assert abs(out - f(x)).max() < 1e-4
+    tagger = pii.Tagger()
+    ids = np.random.default_rng(1).integers(0, pii.N_CLASSES, (70, 5))
+    for d in "fb":
+        assert abs(tagger.hidden(tagger.inputs(ids), d).transpose(0, 2, 1) - tagger.lstm(tagger.w["emb"][ids], d)[0]).max() < 1e-3
