@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, and on awkward tables."""
 
 import collections
+import gc
 import itertools
 import math
 import random
@@ -626,3 +627,19 @@ def test_gates_are_looked_up():
     ids = np.random.default_rng(1).integers(0, pii.N_CLASSES, (70, 5))
     for d in "fb":
         assert abs(tagger.hidden(tagger.inputs(ids), d).transpose(0, 2, 1) - tagger.lstm(tagger.w["emb"][ids], d)[0]).max() < 1e-3
+
+
+def test_no_collections_while_encoding():
+    encoder, seen = tokens.Encoder(tokenizer_path()), []
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(3000)).encode() for _ in range(10)]
+    count = lambda phase, info: seen.append(phase)
+    gc.callbacks.append(count)
+    try:
+        encoder.encoded(texts[:5])
+        assert seen
+        seen.clear()
+        encoder(texts[5:])
+        assert not seen and gc.isenabled()
+    finally:
+        gc.callbacks.remove(count)
