@@ -53,11 +53,15 @@ def prepared(spark: SparkSession) -> None:
         spark.conf.set(key, str(4 << 20))
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function. At the end of a task its process, which waits for the next stage, gives back the memory that it does not use."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], held: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function. At the end of a task its process, which waits for the next stage, gives back the memory that it does not use; until then what was freed is kept for the next
+    array (`held` bytes), as its pages would have to be fetched again."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            if held and (option := getattr(ctypes.CDLL(None), "mallopt", None)):
+                option(-1, held)  # M_TRIM_THRESHOLD
+                option(-3, 32 << 20)  # M_MMAP_THRESHOLD
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
@@ -110,6 +114,7 @@ def map_texts(
     text: str = "text",
     setup: Callable[[], Callable[[list], dict]] | None = None,
     chunk_bytes: int = 1 << 20,
+    held: int = 0,
 ) -> DataFrame:
     """Rows of `keep` columns and of what fn gives for the whole texts (bytes, or None for null), a list per field.
 
@@ -128,7 +133,7 @@ def map_texts(
             cols = [part.column(i) for i in range(len(keep))] + [got[n] for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(tidy(run), schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(tidy(run, held), schema)
 
 
 def filter_texts(docs: DataFrame, setup: Callable[[], Callable[[list], list]], *, text: str = "text") -> DataFrame:

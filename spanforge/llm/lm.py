@@ -13,7 +13,7 @@ are refined after 32, 64, 128, ... bytes and from 1024 on after every 1024, a te
 the tables only. Logarithms of odds are kept within 16, so zero and one always sum to one.
 
 The unigram base needs the corpus count of every word. Words and contexts grow with the corpus: up to a checked size, and where the shared folder is mounted, their sorted files are
-mapped by every task; else documents are dealt to blocks of bounded size, each block asks once for each of its keys, and the values come back to the block.
+mapped by every task, with hash tables that give a pair of a context and its next byte all predictions on its path (only what is not found there is searched for, decision by decision); else documents are dealt to blocks of bounded size, each block asks once for each of its keys, and the values come back to the block.
 
 Nulls: a null text is empty (just the end); a null id counts as training. Repeated rows count as often as they come. Without training
 documents N = 0 and the tables are empty: every bit costs one bit.
@@ -24,13 +24,14 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pa_fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,6 +191,11 @@ def state(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 def counted_decisions(code: Code, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The table of the counted pairs (with all pairs of each of their contexts): sorted keys of decisions, their states, and the counts
     of (context, state, bit) with each occurrence left out once."""
+    return counted_paths(code, pair, count)[:3]
+
+
+def counted_paths(code: Code, pair: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same; and the cell (context, state, bit) of each decision, pair by pair; where each pair's begin."""
     keys, path, start = decisions(code, pair)
     n, bit = np.repeat(count, np.diff(np.append(start, len(keys)))), code.bit[path].astype(np.int64)
     u, inv = np.unique(keys, return_inverse=True)
@@ -197,7 +203,85 @@ def counted_decisions(code: Code, pair: np.ndarray, count: np.ndarray) -> tuple[
     zero = np.bincount(inv, n * (1 - bit), minlength=len(u)).astype(np.int64)
     left = state(zero[inv] - (1 - bit), one[inv] - bit).astype(np.int64)
     cell = ((keys & 3) * (L * L) + left) * 2 + bit
-    return u, state(zero, one), np.bincount(cell, n, minlength=CELLS).astype(np.int64)
+    states = state(zero, one)
+    return u, states, np.bincount(cell, n, minlength=CELLS).astype(np.int64), (((keys & 3) * (L * L) + states[inv]) * 2 + bit).astype(np.uint16), start
+
+
+#: For the slots of the two tables of pairs.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def slots_of(keys: np.ndarray, slots: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key its slot in the level's table, which has `slots` for each value of the highest six bits, and 32 other bits."""
+    m = keys.view(U) * U(FACTORS[level])
+    m ^= m >> U(29)
+    m *= U(0xBF58476D1CE4E5B9)
+    check = m.astype(np.uint32)
+    m >>= U(32)
+    m *= U(slots)
+    m >>= U(32)
+    at = keys >> 58
+    at += PARTS // 2
+    at *= slots
+    at += m.view(np.int64)
+    return at, check
+
+
+def hashed(keys: np.ndarray, count: np.ndarray, size: np.ndarray, slots: tuple[int, int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Tables of distinct keys of one part, and which of them are in one, the most frequent first. Of those with the same slot the one that came most often has it; the second table is
+    for the rest. A slot holds 32 bits of its key and, plus 1, where its values begin in the sequence of what the tables' keys have (size: how many), or 0."""
+    kept, taken, rest = [], [], np.lexsort((keys, -count))
+    for level in (0, 1):
+        at, check = slots_of(keys[rest], slots[level], level)
+        at %= slots[level]
+        _, first = np.unique(at, return_index=True)
+        kept.append(rest[first])
+        taken.append((at[first], check[first]))
+        rest = np.delete(rest, first)
+    both = np.concatenate(kept)
+    order = np.lexsort((keys[both], -count[both]))
+    begin = np.empty(len(both), np.int64)
+    begin[order] = np.cumsum(size[both[order]]) - size[both[order]]
+    tables = [np.zeros(n, U) for n in slots]
+    for table, (at, check), value in zip(tables, taken, np.split(begin, [len(kept[0])]), strict=True):
+        table[at] = check.astype(U) << U(32) | (value + 1).astype(U)
+    return tables, both[order]
+
+
+class Paths:
+    """Pairs that training texts have, in hash tables, with the predictions for what came on their paths: where a pair is found, its decisions need no look-up of their own.
+
+    A few seldom pairs are in none, as their slots have gone to others. Tables of the parts lie one after the other.
+    """
+
+    def __init__(self, tables: list[np.ndarray], odds: np.ndarray):
+        self.tables, self.odds = tables, odds
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where the predictions of each key begin; -1 where it is not found."""
+        out, left = self.level(keys, 0)
+        out[left] = self.level(keys[left], 1)[0]
+        return out
+
+    def level(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one table, and which are not in it."""
+        table = self.tables[level]
+        at, check = slots_of(keys, len(table) // PARTS, level)
+        got = table[at].view(np.uint32)
+        low, high = (0, 1) if sys.byteorder == "little" else (1, 0)
+        at[:] = got[low::2]
+        at -= 1
+        left = np.flatnonzero(got[high::2] != check)
+        at[left] = -1
+        return at, left
+
+
+def ranges(start: np.ndarray, size: np.ndarray, first: np.ndarray, total: int) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other; first: where each begins. No range is empty."""
+    out = np.ones(total, np.int64)
+    out[0] = start[0]
+    out[first[1:]] = start[1:] - start[:-1] - size[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
 class Model:
@@ -212,13 +296,19 @@ class Model:
         x = np.log(p / (1 - p)).clip(-12, 12)
         self.predicted = np.where(np.abs(x) < 1e-6, 1e-6, x).astype(np.float32)
         self.predicted[:, 0] = 0  # not known
+        self.came = (self.predicted[:, :, None] * np.array([-1, 1], np.float32)).ravel()  # for what came, by (context, state, bit)
         # The weights of what is known sum to a little over one; of the contexts of fixed length the longer counts twice.
         share = (np.arange(GATES)[:, None] >> np.arange(K) & 1) * np.array([1.0, 2.0, 1.0])
         self.weights = (1.05 * share / np.maximum(share.sum(1, keepdims=True), 1)).astype(np.float32)
 
-    def log10(self, texts: list[bytes], lookup: Lookup, run: int = 1 << 18) -> np.ndarray:
-        """log10 probability of each text. Each distinct context and byte is looked up once, of the contexts of fixed length only the distinct longest
-        ones, which have the shorter ones in them; then texts are mixed in runs of about `run` bytes."""
+    def log10(self, texts: list[bytes], lookup: Lookup, run: int = 1 << 18, paths: Paths | None = None) -> np.ndarray:
+        """log10 probability of each text, mixed in runs of about `run` bytes. With paths only decisions of pairs that are not there are looked up."""
+        if paths:
+            return self.found(texts, lookup, run, paths) / math.log(10)
+        return self.looked_up(texts, lookup, run) / math.log(10)
+
+    def looked_up(self, texts: list[bytes], lookup: Lookup, run: int) -> np.ndarray:
+        """Each distinct context and byte is looked up once, of the contexts of fixed length only the distinct longest ones, which have the shorter ones in them."""
         data, before, ends, ctx = contexts(texts, BACK[-1:])
         following = data.astype(np.int64) << NEXT
         both = before.astype(np.int64) << 8 | data
@@ -227,23 +317,72 @@ class Model:
             u, index, place = distinct(keys | following)
             own, path, start = decisions(self.code, u)
             lengths = [*(decisions(self.code, shorter(data, before, ends, place, k) | u & BYTE << NEXT)[0] for k in range(K - 2)), own] if keys is ctx[0] else [own]
-            x = []
-            for k, q in enumerate(lengths, 0 if keys is ctx[0] else K - 1):
-                some, where, _ = distinct(q)
-                p = self.predicted[k][lookup(some).astype(np.int64)][where]
-                x.append(np.where(self.code.bit[path], p, -p))
-            tables.append((x, start[index]))
+            tables.append(([self.predictions(k, q, path, lookup) for k, q in enumerate(lengths, 0 if keys is ctx[0] else K - 1)], start[index]))
         size, out, a = self.code.size[both], [], 0
         while a < len(texts):
             lo = int(ends[a - 1]) if a else 0
             b = max(a + 1, int(np.searchsorted(ends, lo + run, side="right")))
             hi = int(ends[b - 1])
-            out.append(self.mixed(np.diff(ends[a:b], prepend=lo), size[lo:hi], [(x, i[lo:hi]) for x, i in tables]))
-            a = b
-        return np.concatenate(out) / math.log(10)
 
-    def mixed(self, lengths: np.ndarray, size: np.ndarray, tables: list[tuple[list[np.ndarray], np.ndarray]], rate: float = 10.0) -> np.ndarray:
-        """The logarithm of each text's probability. size: decisions of each byte. tables: logarithms of odds for what came, of contexts in order, and the place of each byte's first."""
+            def fetch(order: np.ndarray, size: np.ndarray, first: np.ndarray, total: int, here: slice = slice(lo, hi)) -> list[np.ndarray]:
+                x, place = [], np.arange(total)
+                for own, i in tables:
+                    at = np.repeat(i[here][order] - first, size) + place
+                    x += [t[at] for t in own]
+                return x
+
+            out.append(self.mixed(np.diff(ends[a:b], prepend=lo), size[lo:hi], fetch))
+            a = b
+        return np.concatenate(out)
+
+    def predictions(self, k: int, keys: np.ndarray, path: np.ndarray, lookup: Lookup) -> np.ndarray:
+        """Logarithms of odds for what came, of context k's decisions."""
+        some, where, _ = distinct(keys)
+        p = self.predicted[k][lookup(some).astype(np.int64)][where]
+        return np.where(self.code.bit[path], p, -p)
+
+    def found(self, texts: list[bytes], lookup: Lookup, run: int, paths: Paths) -> np.ndarray:
+        """The predictions for seen pairs come from their paths; the decisions of all other pairs are looked up together. Texts of like length are mixed together, in few steps."""
+        by_length = np.argsort([len(t) for t in texts], kind="stable")
+        runs, missing = [], [[] for _ in range(K)]
+        for part in sliced([texts[i] for i in by_length], run):
+            data, before, ends, ctx = contexts(part)
+            following, places = data.astype(np.int64) << NEXT, []
+            for k, keys in enumerate(ctx):
+                keys |= following
+                places.append(paths.places(keys))
+                missing[k].append(keys[places[k] < 0])
+            runs.append((np.diff(ends, prepend=0), self.code.size[before.astype(np.int64) << 8 | data], places))
+        others = []
+        for k, parts in enumerate(missing):
+            u, index, _ = distinct(np.concatenate(parts))
+            own, path, start = decisions(self.code, u)
+            others.append(self.predictions(k, own, path, lookup))
+            for at, (_, _, places) in zip(np.split(start[index], np.cumsum([len(x) for x in parts])[:-1]), runs, strict=True):
+                places[k][places[k] < 0] = -1 - at
+
+        out = []
+        for lengths, size, places in runs:
+
+            def fetch(order: np.ndarray, size: np.ndarray, first: np.ndarray, total: int, own: list[np.ndarray] = places) -> list[np.ndarray]:
+                x = []
+                for k, place in enumerate(own):
+                    place = place[order]
+                    new = np.flatnonzero(place < 0)
+                    there, place[new] = -1 - place[new], 0
+                    x.append(paths.odds[ranges(place, size, first, total)])
+                    if len(new):
+                        many = size[new]
+                        begin, n = np.cumsum(many) - many, int(many.sum())
+                        x[k][ranges(first[new], many, begin, n)] = others[k][ranges(there, many, begin, n)]
+                return x
+
+            out.append(self.mixed(lengths, size, fetch))
+        return np.concatenate(out)[np.argsort(by_length)]
+
+    def mixed(self, lengths: np.ndarray, size: np.ndarray, fetch: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[np.ndarray]], rate: float = 10.0) -> np.ndarray:
+        """The logarithm of each text's probability. size: decisions of each byte. fetch: of the bytes in an order, with their sizes and where each one's decisions begin, the logarithms
+        of odds for what came, by context."""
         doc = np.repeat(np.arange(len(lengths)), lengths)
         at = np.arange(len(doc)) - (np.cumsum(lengths) - lengths)[doc]
         edges = np.cumsum(BLOCKS)
@@ -252,11 +391,7 @@ class Model:
         doc, block, size = doc[order], block[order], size[order]
         first = np.cumsum(size) - size
         total = int(size.sum())
-        place = np.arange(total)
-        x = []
-        for own, i in tables:
-            at = np.repeat(i[order] - first, size) + place
-            x += [t[at] for t in own]
+        x = fetch(order, size, first, total)
         gate = np.zeros(total, np.uint8)
         for k in range(K):
             gate |= (x[k] != 0).view(np.uint8) << np.uint8(k)
@@ -358,7 +493,7 @@ def key_counts(train: DataFrame, keys: Callable[[list], list[np.ndarray]], most:
                     for at in range(0, len(h), 100_000):
                         yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=arrow)
 
-    return train.select("text").mapInArrow(tidy(count), schema).groupBy("h").agg(F.sum("n").alias("c"))
+    return train.select("text").mapInArrow(tidy(count, 256 << 20), schema).groupBy("h").agg(F.sum("n").alias("c"))
 
 
 def with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
@@ -422,29 +557,93 @@ def vocabulary(folder: str, kind: type) -> Vocabulary:
 CELL = "cell int, n bigint"
 
 
-def write_vocabulary(known: DataFrame, folder: str, code: Code | None = None) -> np.ndarray:
-    """Files of the words' counts or, with a code, of the pairs' table of states; then returns the counts of states with each occurrence left out."""
+def write_vocabulary(known: DataFrame, folder: str, code: Code | None = None, slots: tuple[int, int] | None = None) -> np.ndarray:
+    """Files of the words' counts or, with a code, of the pairs' table of states and, with slots of a part, of the pairs' paths; then returns the counts of states with each occurrence left out."""
     arrow = _arrow(T._parse_datatype_string(CELL))
 
     def save(group):
         h, c = group.column("h").to_numpy(), group.column("c").to_numpy()
         part, left_out = int(h[0] >> 58) + PARTS // 2, np.zeros(0, np.int64)
         if code:
-            h, c, left_out = counted_decisions(code, h, c)
+            order = np.argsort(h)
+            pair = h[order]
+            n = c[order]
+            h, c, left_out, cells, start = counted_paths(code, pair, n)
+            if slots:
+                size = np.diff(start, append=len(cells))
+                tables, kept = hashed(pair, n, size, slots)
+                many = size[kept]
+                for level, table in enumerate(tables):
+                    save_file(f"{folder}/{part}.table{level}", table)
+                save_file(f"{folder}/{part}.odds", cells[ranges(start[kept], many, np.cumsum(many) - many, int(many.sum()))])
         order = np.argsort(h)
-        fs, path = pa_fs.FileSystem.from_uri(f"{folder}/{part}")
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
-        with fs.open_output_stream(tmp) as f:
-            f.write(h[order].tobytes())
-            f.write(c[order].tobytes())
-        fs.move(tmp, path)
+        save_file(f"{folder}/{part}", h[order], c[order])
         at = np.flatnonzero(left_out)
         return pa.table([pa.array(at.astype(np.int32)), pa.array(left_out[at])], schema=arrow)
 
     return total_of(known.groupBy(F.expr("shiftright(h, 58)")).applyInArrow(save, CELL), CELLS)
 
 
+def save_file(uri: str, *arrays: np.ndarray) -> None:
+    fs, path = pa_fs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
+    with fs.open_output_stream(tmp) as f:
+        for x in arrays:
+            f.write(np.ascontiguousarray(x))
+    fs.move(tmp, path)
+
+
+def join_paths(spark: SparkSession, folder: str, slots: tuple[int, int], came: np.ndarray) -> bool:
+    """One file of each table of all parts, with places in another, of their predictions. False if there are more than a slot can tell."""
+    fs, path = pa_fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    size = {i.base_name: i.size for i in fs.get_file_info(pa_fs.FileSelector(path))}
+    many = [size.get(f"{i}.odds", 0) // 2 for i in range(PARTS)]
+    first = [sum(many[:i]) for i in range(PARTS)]
+    fits = sum(many) < 2**32 - 1
+
+    def join(kind: tuple[str, int]) -> int:
+        name, empty = kind
+        fs, path = pa_fs.FileSystem.from_uri(folder)
+        tmp = f"{path}/{name}.{TaskContext.get().taskAttemptId()}.tmp"
+        with fs.open_output_stream(tmp) as out:
+            for i in range(PARTS):
+                if f"{i}.{name}" not in size:
+                    out.write(bytes(8 * empty))
+                    continue
+                with fs.open_input_stream(f"{path}/{i}.{name}") as f:
+                    while block := f.read(4 << 20):
+                        if name == "odds":
+                            out.write(came[np.frombuffer(block, np.uint16)])
+                        else:
+                            own = np.frombuffer(block, U)
+                            out.write(own + np.where(own > 0, U(first[i]), U(0)))
+            if name == "odds":
+                out.write(bytes(4 * BYTE))  # a path that is taken for another's ends in the file
+        fs.move(tmp, f"{path}/{name}")
+        return 0
+
+    if fits:
+        spark.sparkContext.parallelize([("table0", slots[0]), ("table1", slots[1]), ("odds", 0)], 3).map(join).collect()
+    for name in size:
+        if "." in name:
+            fs.delete_file(f"{path}/{name}")
+    return fits
+
+
+_paths: dict[str, Paths] = {}
+
+
+def paths_of(folder: str) -> Paths:
+    if folder not in _paths:
+        _paths.clear()
+        path = pa_fs.FileSystem.from_uri(folder)[1]
+        mapped = [np.memmap(f"{path}/{name}", kind, "r").view(np.ndarray) for name, kind in (("table0", U), ("table1", U), ("odds", np.float32))]
+        _paths[folder] = Paths(mapped[:2], mapped[2])
+    return _paths[folder]
+
+
 def tokens_scored(texts: list, counts: np.ndarray, n: np.ndarray) -> dict:
     """part: the sum of log10(c + 1) over a text's tokens; what that is divided by is the same for all texts."""
     starts = np.cumsum(n) - n  # every text has its end, so none is empty
@@ -454,21 +653,23 @@ def tokens_scored(texts: list, counts: np.ndarray, n: np.ndarray) -> dict:
 SCORED = "n_tokens bigint, n_known bigint, part double, n_bytes bigint, score double"
 
 
-def scored(texts: list, model: Model, counts: Lookup, lookup: Lookup) -> dict:
+def scored(texts: list, model: Model, counts: Lookup, lookup: Lookup, paths: Paths | None = None) -> dict:
     h, n = token_hashes(texts)
-    return tokens_scored(texts, counts(h), n) | {"score": np.concatenate([model.log10(part, lookup) for part in sliced(texts)]).tolist()}
+    return tokens_scored(texts, counts(h), n) | {"score": np.concatenate([model.log10(part, lookup, paths=paths) for part in sliced(texts)]).tolist()}
 
 
-def scored_by_files(d: DataFrame, words: DataFrame, contexts: DataFrame, code: Code, folder: str) -> DataFrame:
+def scored_by_files(d: DataFrame, words: DataFrame, contexts: DataFrame, code: Code, folder: str, n_pairs: int) -> DataFrame:
     """For tables of checked size: their files are read where the documents are."""
     spark = d.sparkSession
     write_vocabulary(words, f"{folder}/w")
-    held = spark.sparkContext.broadcast(Model(code, write_vocabulary(contexts, f"{folder}/c", code)))
+    slots = n_pairs // PARTS + 1, n_pairs // PARTS // 2 + 1
+    model = Model(code, write_vocabulary(contexts, f"{folder}/c", code, slots))
+    joined, held = join_paths(spark, f"{folder}/c", slots, model.came), spark.sparkContext.broadcast(model)
 
     def fn(texts: list) -> dict:
-        return scored(texts, held.value, vocabulary(f"{folder}/w", np.int64).counts, vocabulary(f"{folder}/c", np.uint16).values)
+        return scored(texts, held.value, vocabulary(f"{folder}/w", np.int64).counts, vocabulary(f"{folder}/c", np.uint16).values, paths_of(f"{folder}/c") if joined else None)
 
-    return map_texts(d, fn, SCORED, keep=("doc_id", "held"), chunk_bytes=2 << 20)
+    return map_texts(d, fn, SCORED, keep=("doc_id", "held"), chunk_bytes=2 << 20, held=256 << 20)
 
 
 def sliced(texts: list, most: int = 2 << 20) -> Iterator[list[bytes]]:
@@ -540,7 +741,7 @@ def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_by
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Words are known by 64 bits of hash. At most small_words words (16 bytes each) and small_pairs pairs of a context and its next byte (10 bytes a
-    decision, of which pairs of one context share some) are read from files by every task; more are joined by blocks.
+    decision, of which pairs of one context share some, and for the paths 12 bytes a pair and 4 a decision) are read from files by every task; more are joined by blocks.
     """
     prepared(docs.sparkSession)
     d = docs.select(F.col(doc).alias("doc_id"), held_out(doc).alias("held"), F.col(text).cast("binary").alias("text"))
@@ -550,7 +751,7 @@ def scores(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", block_by
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_pairs = contexts.count()
     small = v <= small_words and n_pairs <= small_pairs and mounted(folder)
-    rows = scored_by_files(d, words, contexts, code, folder) if small else scored_by_blocks(d, words, contexts, code, folder, n_pairs, block_bytes)
+    rows = scored_by_files(d, words, contexts, code, folder, n_pairs) if small else scored_by_blocks(d, words, contexts, code, folder, n_pairs, block_bytes)
     base = F.col("part") - F.col("n_tokens") * math.log10(n + v + 1)
     return rows.select(
         F.col("doc_id").alias(doc), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")

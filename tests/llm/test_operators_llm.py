@@ -464,6 +464,44 @@ def test_probabilities_sum_to_one():
     assert math.isclose(total, 1, rel_tol=1e-5)
 
 
+def test_scores_by_paths():
+    """Pairs that are found with their paths need no look-up, pairs without a slot are looked up, and scores are the same, to the last bit."""
+    r = random.Random(15)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + r.choice("abcdefghij") * r.randrange(3) for _ in range(r.randrange(1, 300))).encode() for _ in range(60)]
+    code = lm.Code(lm.byte_counts(texts))
+    h, n = lm.merged([np.unique(x, return_counts=True) for x in lm.pairs(texts)])
+    keys, states, left_out, cells, start = lm.counted_paths(code, h, n)
+    model, size, part = lm.Model(code, left_out), np.diff(start, append=len(cells)), (h >> 58) + lm.PARTS // 2
+    asked = []
+
+    def look(q):
+        asked.append(len(q))
+        return lm.values_of(keys, states, q)
+
+    def paths(slots):
+        tables, odds, seen = [[], []], [], []
+        for i in range(lm.PARTS):
+            own = np.flatnonzero(part == i)
+            got, kept = lm.hashed(h[own], n[own], size[own], slots)
+            for level in (0, 1):
+                tables[level].append(got[level] + np.where(got[level] > 0, np.uint64(sum(map(len, odds))), np.uint64(0)))
+            seen += h[own[kept]].tolist()
+            odds += [model.came[cells[start[j] : start[j] + size[j]]] for j in own[kept]]
+            odds = [np.concatenate([np.zeros(0, np.float32), *odds])]
+        return lm.Paths([np.concatenate(t) for t in tables], np.append(odds[0], np.zeros(255, np.float32))), set(seen)
+
+    other = [*texts, b"", b"a", b"Zebra \xc3\xa9 " * 50, " ".join(r.choice(["alpha", "unseen"]) for _ in range(900)).encode()]
+    want = model.log10(other, look)
+    whole, seen = paths((5000, 5000))
+    assert seen == set(h.tolist()) and (whole.places(h) >= 0).all()
+    few, seen = paths((3, 2))
+    assert 0 < len(seen) < len(h) and [p >= 0 for p in few.places(h).tolist()] == [k in seen for k in h.tolist()]
+    for p in (whole, few):
+        assert model.log10(other, look, paths=p).tolist() == want.tolist() == [model.log10([t], look, paths=p)[0] for t in other]
+    asked.clear()
+    assert model.log10(texts, look, paths=whole).tolist() == want[: len(texts)].tolist() and sum(asked) == 0
+
+
 def test_personal_data():
     tagger = pii.trained([prose(random.Random(1), 300)] * 3)
     ids, gold = pii.examples([prose(random.Random(2), 300)], 200, 64, seed=77)
